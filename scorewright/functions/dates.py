@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# Two-digit years from 70 on belong to the 1900s.
-CENTURY_PIVOT = 70
+# Shape of a date text; two-digit years from 70 on belong to the 1900s.
+MONTH_DAY_YEAR = "^[0-9]{1,2}/[0-9]{1,2}/([0-9]{2}|[0-9]{4})$"
+CENTURY_PIVOT = "70"
 
 # Season names and the months they cover; the last name takes the rest of the year.
 SEASON_MONTHS = ((3, 4, 5), (6, 7, 8), (9, 10, 11))
@@ -13,16 +14,12 @@ SEASON_NAMES = ("spring", "summer", "fall", "winter")
 SORTABLE_SEASON_NAMES = ("0_spring", "1_summer", "2_fall", "3_winter")
 
 
-def parse_month_day_year(text: Column) -> Column:
-    """Parse ``M/D/YY`` or ``M/D/YYYY`` text; NULL when it is no calendar date."""
-    year = F.regexp_extract(text, r"/(\d+)$", 1)
-    short_year = F.try_to_number(year, F.lit("99"))
-    century = F.when(short_year >= CENTURY_PIVOT, F.lit("19")).otherwise(F.lit("20"))
-    month_day = F.regexp_extract(text, r"^(\d{1,2}/\d{1,2}/)\d+$", 1)
-    full_text = F.when(F.length(year) == 2, F.concat(month_day, century, year)).otherwise(
-        F.concat(month_day, year)
-    )
-    return F.try_to_date(full_text, "M/d/yyyy")
+def parse_month_day_year(column: str) -> Column:
+    """Parse the ``M/D/YY`` or ``M/D/YYYY`` texts of a column; NULL for what is no calendar date."""
+    month, day, year = (f"split({column}, '/')[{i}]" for i in range(3))
+    century = f"case when length({year}) = 4 then '' when {year} >= '{CENTURY_PIVOT}' then '19' else '20' end"
+    iso = f"concat({century}, {year}, '-', {month}, '-', {day})"
+    return F.expr(f"case when {column} rlike '{MONTH_DAY_YEAR}' then try_cast({iso} as date) end")
 
 
 def month_start(day: Column) -> Column:

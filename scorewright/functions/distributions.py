@@ -10,13 +10,13 @@ import math
 from functools import reduce
 from statistics import NormalDist
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 _TINY = 1e-300
-_EPS = 1e-16
+_EPS = 1e-15
 
 
-def _continued_fraction(terms, limit: int = 100_000) -> float:
+def _continued_fraction(terms, limit: int = 20_000) -> float:
     """Evaluate ``1 / (1 + a1 / (1 + a2 / ...))`` for an endless iterator of a's."""
     value, c, d = 1.0, 1.0, 0.0
     for _, a in zip(range(limit), terms):
@@ -125,20 +125,27 @@ _FAR_TAIL = (
 )
 
 
-def _polynomial(coefficients: tuple[float, ...], x: Column) -> Column:
-    return reduce(lambda acc, c: acc * x + F.lit(c), reversed(coefficients[:-1]), F.lit(coefficients[-1]))
+def _polynomial(coefficients: tuple[float, ...], x: str) -> str:
+    return reduce(lambda acc, c: f"({acc} * {x} + {c!r}D)", reversed(coefficients[:-1]), f"{coefficients[-1]!r}D")
 
 
-def _rational(pair, x: Column) -> Column:
-    return _polynomial(pair[0], x) / _polynomial(pair[1], x)
+def _rational(pair, x: str) -> str:
+    return f"{_polynomial(pair[0], x)} / {_polynomial(pair[1], x)}"
 
 
-def normal_quantile(p: Column) -> Column:
-    """Inverse of the standard normal distribution function for 0 < p < 1."""
-    q = p - F.lit(0.5)
-    centre = q * _rational(_CENTRE, F.lit(0.180625) - q * q)
-    r = F.sqrt(-F.log(F.least(p, F.lit(1.0) - p)))
-    tail = F.when(r <= 5.0, _rational(_NEAR_TAIL, r - F.lit(1.6))).otherwise(
-        _rational(_FAR_TAIL, r - F.lit(5.0))
+def with_normal_quantile(df: DataFrame, p: Column, name: str) -> DataFrame:
+    """Add the inverse of the standard normal distribution function of ``p``, 0 < p < 1.
+
+    Shared terms are columns of their own, so that each is computed once per row.
+    """
+    terms = (
+        df.withColumn("_p", p)
+        .selectExpr("*", "_p - 0.5D as _q", "sqrt(-ln(least(_p, 1D - _p))) as _r")
+        .selectExpr("*", "0.180625D - _q * _q as _centre", "_r - 1.6D as _near", "_r - 5D as _far")
+    )
+    value = (
+        f"case when abs(_q) <= 0.425D then _q * {_rational(_CENTRE, '_centre')}"
+        f" when _r <= 5D then signum(_q) * {_rational(_NEAR_TAIL, '_near')}"
+        f" else signum(_q) * {_rational(_FAR_TAIL, '_far')} end"
     )
-    return F.when(F.abs(q) <= 0.425, centre).otherwise(F.signum(q) * tail)
+    return terms.select(*df.columns, F.expr(value).alias(name))

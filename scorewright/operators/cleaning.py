@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from scorewright.functions.dates import parse_month_day_year
 from scorewright.functions.text import ID_DIRT, SCORE_DIRT, strip_chars
@@ -15,31 +15,47 @@ from scorewright.sources.schemas import ANALYSIS_DATE, FIRST_VALID_DATE, MAX_ID_
 
 def split_invalid_dates(staging: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows whose date text parses (or is missing), and the rows to drop."""
-    parsed = parse_month_day_year(F.col("event_date"))
-    bad = F.col("event_date").isNotNull() & parsed.isNull()
-    return staging.where(~bad), staging.where(bad)
+    flagged = quality.compute_once(
+        staging.withColumn("_parsed", parse_month_day_year("event_date"))
+    )
+    bad = F.col("event_date").isNotNull() & F.col("_parsed").isNull()
+    return tuple(flagged.where(rows).select(*staging.columns) for rows in (~bad, bad))
+
+
+def _with_parsed_date(staging: DataFrame, **repairs: Column) -> DataFrame:
+    """Rows with a parseable (or missing) date, the date as DATE, and other columns repaired."""
+    parsed = staging.withColumns(
+        {
+            **repairs,
+            "event_date": parse_month_day_year("event_date"),
+            "_no_date": F.col("event_date").isNull(),
+        }
+    )
+    kept = F.col("event_date").isNotNull() | F.col("_no_date")
+    return quality.compute_once(parsed).where(kept).select(*staging.columns)
 
 
 def normalise_dates(staging: DataFrame) -> DataFrame:
-    """The rows with a parseable date, with the date column as DATE."""
-    kept, _ = split_invalid_dates(staging)
-    return kept.withColumn("event_date", parse_month_day_year(F.col("event_date")))
+    """The rows with a parseable (or missing) date, with the date column as DATE."""
+    return _with_parsed_date(staging)
 
 
 def typed_users(staging: DataFrame, attribute: str = "country") -> DataFrame:
-    return staging.select("userid", F.expr("try_cast(subscriber as int)").alias("subscriber"), attribute)
+    return staging.select("userid", F.col("subscriber").try_cast("int").alias("subscriber"), attribute)
 
 
 def typed_facts(
     staging: DataFrame, first: date = FIRST_VALID_DATE, last: date = ANALYSIS_DATE
 ) -> DataFrame:
     """Repaired, typed facts of the events between two days."""
-    repaired = normalise_dates(staging).where(F.col("event_date").between(F.lit(first), F.lit(last)))
-    return repaired.select(
-        strip_chars(F.col("userid"), ID_DIRT).alias("userid"),
-        "event_date",
-        F.expr("try_cast(hour as int)").alias("hour"),
-        strip_chars(F.col("points"), SCORE_DIRT).try_cast("int").alias("points"),
+    repaired = _with_parsed_date(
+        staging,
+        userid=strip_chars(F.col("userid"), ID_DIRT),
+        hour=F.col("hour").try_cast("int"),
+        points=strip_chars(F.col("points"), SCORE_DIRT).try_cast("int"),
+    )
+    return repaired.where(F.col("event_date").between(F.lit(first), F.lit(last))).select(
+        "userid", "event_date", "hour", "points"
     )
 
 

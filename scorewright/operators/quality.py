@@ -76,21 +76,39 @@ def max_length(column: str, length: int) -> Rule:
     return Rule(f"{column}_max_length", F.length(column) > length)
 
 
-def _with_failures(df: DataFrame, rules: Sequence[Rule], unique: str | None) -> DataFrame:
-    checks = [F.when(rule.violated, F.lit(rule.name)) for rule in rules]
-    if unique is None:
-        return df.withColumn("failed_rules", F.array_compact(F.array(*checks)))
+def compute_once(df: DataFrame) -> DataFrame:
+    """The same rows, with the columns fixed as computed here.
+
+    A filter on a computed column is otherwise moved below the computation, which then
+    runs once per mention.  Filters do not move below a generator.
+    """
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
+def _broken(rule: Rule) -> Column:
+    return F.coalesce(rule.violated, F.lit(False))
+
+
+def _with_copies(df: DataFrame, key: str) -> DataFrame:
+    """Add the number of rows of each repeated key; NULL for keys that occur once."""
     repeated = (
-        df.groupBy(unique)
+        df.groupBy(key)
         .agg(F.count("*").alias("_copies"))
-        .where(F.col(unique).isNotNull() & (F.col("_copies") > 1))
-    )
-    checks.append(F.when(F.col("_copies") > 1, F.lit(f"{unique}_unique")))
-    return (
-        df.join(repeated, unique, "left")
-        .withColumn("failed_rules", F.array_compact(F.array(*checks)))
-        .select(*df.columns, "failed_rules")
+        .where(F.col(key).isNotNull() & (F.col("_copies") > 1))
     )
+    return df.join(repeated, key, "left").select(*df.columns, "_copies")
+
+
+def _prepare(
+    df: DataFrame, rules: Sequence[Rule], unique: str | None
+) -> tuple[DataFrame, list[Rule]]:
+    if unique is None:
+        return df, list(rules)
+    return _with_copies(df, unique), [*rules, Rule(f"{unique}_unique", F.col("_copies") > 1)]
+
+
+def _names(rules: Sequence[Rule]) -> Column:
+    return F.array_compact(F.array(*[F.when(r.violated, F.lit(r.name)) for r in rules]))
 
 
 def validate(
@@ -101,20 +119,21 @@ def validate(
     A null passes a rule unless the rule is about nulls.  With ``unique`` every
     copy of a repeated key is rejected.
     """
-    flagged = _with_failures(df, rules, unique)
-    valid = flagged.where(F.size("failed_rules") == 0).drop("failed_rules")
-    rejected = flagged.where(F.size("failed_rules") > 0)
+    rows, all_rules = _prepare(df, rules, unique)
+    broken = reduce(or_, [_broken(rule) for rule in all_rules])
+    valid = rows.where(~broken).select(*df.columns)
+    rejected = rows.where(broken).select(*df.columns, _names(all_rules).alias("failed_rules"))
     return valid, rejected
 
 
 def require(df: DataFrame, rules: Sequence[Rule], unique: str | None = None) -> DataFrame:
     """The same rows, failing the job at the first row that breaks a rule."""
-    flagged = _with_failures(df, rules, unique)
-    message = F.concat(F.lit("row violates "), F.array_join("failed_rules", ", "))
-    broken = F.size("failed_rules") > 0
-    return flagged.where(
+    rows, all_rules = _prepare(df, rules, unique)
+    broken = reduce(or_, [_broken(rule) for rule in all_rules])
+    message = F.concat(F.lit("row violates "), F.array_join(_names(all_rules), ", "))
+    return rows.where(
         F.when(broken, F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
-    ).drop("failed_rules")
+    ).select(*df.columns)
 
 
 def rejection_counts(rejected: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from operator import add
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from scorewright.functions.distributions import normal_quantile, t_quantile, t_two_sided
+from scorewright.functions.distributions import t_quantile, t_two_sided, with_normal_quantile
 from scorewright.operators.ranking import global_rank
 
 
@@ -157,10 +157,10 @@ def probability_plot(df: DataFrame, value: str, key: str) -> DataFrame:
     """Theoretical normal quantile next to each ordered value; ``key`` makes the order unique."""
     ranked = global_rank(df.select(value, key), (value, key))
     n = ranked.agg(F.count("*")).scalar()
-    return ranked.select(
-        "rank",
-        normal_quantile(_order_statistic_median(F.col("rank"), n)).alias("theoretical"),
-        F.col(value).alias("ordered"),
+    ordered = ranked.select("rank", F.col(value).alias("ordered"), n.alias("n"))
+    median = _order_statistic_median(F.col("rank"), F.col("n"))
+    return with_normal_quantile(ordered, median, "theoretical").select(
+        "rank", "theoretical", "ordered"
     )
 
 

@@ -42,6 +42,11 @@ class Inputs:
         """Staging facts after the date repair."""
         return normalise_dates(self.staging_facts)
 
+    @cached_property
+    def event_dates(self) -> DataFrame:
+        """The repaired dates alone."""
+        return normalise_dates(self.staging_facts.select("event_date"))
+
     @cached_property
     def totals(self) -> DataFrame:
         """Registered users with their total points."""

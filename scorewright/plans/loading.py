@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from scorewright.functions.dates import parse_month_day_year
 from scorewright.functions.text import has_illegal_chars, show_spaces, truncate
 from scorewright.operators import cleaning, quality, ranking
 from scorewright.plans.inputs import ATTRIBUTE, LEVELS, Inputs
@@ -97,9 +96,7 @@ def q12_longest_ids(t: Inputs) -> DataFrame:
 
 
 def q13_unparseable_dates(t: Inputs) -> DataFrame:
-    return quality.failed_casts(
-        t.staging_facts, "event_date", parse_month_day_year(F.col("event_date"))
-    )
+    return cleaning.split_invalid_dates(t.staging_facts)[1]
 
 
 def q14_without_invalid_dates(t: Inputs) -> DataFrame:
@@ -112,15 +109,15 @@ def q15_normalised_dates(t: Inputs) -> DataFrame:
 
 
 def q16_first_next_to_last_dates(t: Inputs) -> DataFrame:
-    return ranking.first_next_to_last(t.dated_facts, "event_date", 3)
+    return ranking.first_next_to_last(t.event_dates, "event_date", 3)
 
 
 def q17_earliest_dates(t: Inputs) -> DataFrame:
-    return ranking.first_values(t.dated_facts, "event_date", 5, "earliest_dates")
+    return ranking.first_values(t.event_dates, "event_date", 5, "earliest_dates")
 
 
 def q17_latest_dates(t: Inputs) -> DataFrame:
-    return ranking.last_values(t.dated_facts, "event_date", 5, "latest_dates")
+    return ranking.last_values(t.event_dates, "event_date", 5, "latest_dates")
 
 
 def q18_hours(t: Inputs) -> DataFrame:

@@ -20,18 +20,23 @@ _HOUR = "cast(16 + o_orderkey % 5 as int)"
 _POINTS = "cast(floor(o_totalprice / 100) as int) - 2500"
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = "o_orderkey bigint, o_custkey bigint, o_totalprice double, o_orderdate timestamp_ntz"
+    return spark.read.schema(schema).parquet(f"{sf_dir}/orders.parquet")
 
 
 def _accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customers = _table(spark, sf_dir, "customer").selectExpr(
-        "c_name as userid", "c_acctbal as balance", "c_nationkey as nation"
+    customers = (
+        spark.read.schema("c_name string, c_acctbal double, c_nationkey int")
+        .parquet(f"{sf_dir}/customer.parquet")
+        .toDF("userid", "balance", "nation")
     )
-    suppliers = _table(spark, sf_dir, "supplier").selectExpr(
-        "s_name as userid", "s_acctbal as balance", "s_nationkey as nation"
+    suppliers = (
+        spark.read.schema("s_name string, s_acctbal double, s_nationkey int")
+        .parquet(f"{sf_dir}/supplier.parquet")
+        .toDF("userid", "balance", "nation")
     )
-    return customers.unionByName(suppliers)
+    return customers.union(suppliers)
 
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +48,7 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "orders").selectExpr(
+    return _orders(spark, sf_dir).selectExpr(
         f"{_PLAYER} as userid",
         f"{_EVENT_DAY} as event_date",
         f"{_HOUR} as hour",
@@ -63,7 +68,7 @@ def staging_users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def staging_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = _table(spark, sf_dir, "orders").selectExpr(
+    scores = _orders(spark, sf_dir).selectExpr(
         "explode(sequence(1, case when o_totalprice >= 499000 then 2 else 1 end)) as copy",
         "o_orderkey % 200 as fault",
         f"{_PLAYER} as player",

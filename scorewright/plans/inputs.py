@@ -1,41 +1,41 @@
-"""The input tables of one data folder."""
+"""The tables the named jobs run on."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Sequence
+from datetime import date
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scorewright.operators.cleaning import normalise_dates
+from scorewright.operators import encoding
+from scorewright.operators.cleaning import clean_facts, clean_users, normalise_dates
 from scorewright.operators.joins import users_with_totals
-from scorewright.sources import derived
-from scorewright.sources.schemas import COUNTRY_LEVELS
+from scorewright.sources import derived, schemas
+from scorewright.sources.csv_files import load_csv
+from scorewright.sources.storage import materialize
 
-ATTRIBUTE = "country"
-LEVELS = COUNTRY_LEVELS
 
-
-@dataclass(frozen=True)
 class Inputs:
-    spark: SparkSession
-    sf_dir: str
+    """Raw and clean users and facts, and the user attribute under study with its levels."""
 
-    @cached_property
-    def users(self) -> DataFrame:
-        return derived.users(self.spark, self.sf_dir)
+    staging_users: DataFrame
+    staging_facts: DataFrame
+    users: DataFrame
+    facts: DataFrame
 
-    @cached_property
-    def facts(self) -> DataFrame:
-        return derived.facts(self.spark, self.sf_dir)
+    def __init__(self, spark: SparkSession, attribute: str, levels: Sequence[str]):
+        self.spark = spark
+        self.attribute = attribute
+        self.levels = tuple(levels)
 
-    @cached_property
-    def staging_users(self) -> DataFrame:
-        return derived.staging_users(self.spark, self.sf_dir)
+    @property
+    def profile(self) -> list[str]:
+        return ["subscriber", self.attribute]
 
-    @cached_property
-    def staging_facts(self) -> DataFrame:
-        return derived.staging_facts(self.spark, self.sf_dir)
+    @property
+    def dummies(self) -> list[str]:
+        return encoding.dummy_columns(self.attribute, self.levels)
 
     @cached_property
     def dated_facts(self) -> DataFrame:
@@ -50,4 +50,61 @@ class Inputs:
     @cached_property
     def totals(self) -> DataFrame:
         """Registered users with their total points."""
-        return users_with_totals(self.users, self.facts, ATTRIBUTE)
+        return users_with_totals(self.users, self.facts, self.attribute)
+
+    @cached_property
+    def dummy_totals(self) -> DataFrame:
+        """User totals with one 0/1 column per attribute level."""
+        return encoding.one_hot(self.totals, self.attribute, self.levels)
+
+
+class OrderTables(Inputs):
+    """Tables derived from the orders, customers and suppliers in a folder."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        super().__init__(spark, "country", schemas.COUNTRY_LEVELS)
+        self.folder = folder
+
+    @cached_property
+    def staging_users(self) -> DataFrame:
+        return derived.staging_users(self.spark, self.folder)
+
+    @cached_property
+    def staging_facts(self) -> DataFrame:
+        return derived.staging_facts(self.spark, self.folder)
+
+    @cached_property
+    def users(self) -> DataFrame:
+        return derived.users(self.spark, self.folder)
+
+    @cached_property
+    def facts(self) -> DataFrame:
+        return derived.facts(self.spark, self.folder)
+
+
+class CsvTables(Inputs):
+    """Raw CSV files; their cleaned tables are written once to the shared folder."""
+
+    def __init__(
+        self,
+        spark: SparkSession,
+        users_path: str,
+        facts_path: str,
+        attribute: str = "country",
+        levels: Sequence[str] = schemas.COUNTRY_LEVELS,
+        as_of: date = schemas.ANALYSIS_DATE,
+    ):
+        super().__init__(spark, attribute, levels)
+        self.as_of = as_of
+        self.staging_users = load_csv(spark, users_path, schemas.staging_users(attribute))
+        self.staging_facts = load_csv(spark, facts_path, schemas.staging_facts())
+
+    @cached_property
+    def users(self) -> DataFrame:
+        valid, _ = clean_users(self.staging_users, self.levels, self.attribute)
+        return materialize(valid, "users")
+
+    @cached_property
+    def facts(self) -> DataFrame:
+        valid, _ = clean_facts(self.staging_facts, self.as_of)
+        return materialize(valid, "event-performance")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from scorewright.functions.text import has_illegal_chars, show_spaces, truncate
 from scorewright.operators import cleaning, quality, ranking
-from scorewright.plans.inputs import ATTRIBUTE, LEVELS, Inputs
+from scorewright.plans.inputs import Inputs
 from scorewright.sources import schemas, tables
 from scorewright.sources.csv_files import export_csv, load_csv
 from scorewright.sources.storage import new_path
@@ -15,7 +15,7 @@ from scorewright.sources.storage import new_path
 def s01_load_users_csv(t: Inputs) -> DataFrame:
     path = new_path(t.spark, "users-csv")
     export_csv(t.staging_users, path)
-    return load_csv(t.spark, path, schemas.staging_users(ATTRIBUTE))
+    return load_csv(t.spark, path, schemas.staging_users(t.attribute))
 
 
 def s02_load_facts_csv(t: Inputs) -> DataFrame:
@@ -83,7 +83,7 @@ def q09_subscriber_values(t: Inputs) -> DataFrame:
 
 
 def q10_attribute_levels(t: Inputs) -> DataFrame:
-    return quality.distinct_values(t.staging_users, truncate(F.col(ATTRIBUTE), 2), ATTRIBUTE)
+    return quality.distinct_values(t.staging_users, truncate(F.col(t.attribute), 2), t.attribute)
 
 
 def q11_fact_id_lengths(t: Inputs) -> DataFrame:
@@ -134,7 +134,7 @@ def q20_points_failing_cast(t: Inputs) -> DataFrame:
 
 
 def q21_clean_users(t: Inputs) -> DataFrame:
-    return cleaning.clean_users(t.staging_users, LEVELS, ATTRIBUTE)[0]
+    return cleaning.clean_users(t.staging_users, t.levels, t.attribute)[0]
 
 
 def _rules_as_text(rejected: DataFrame) -> DataFrame:
@@ -142,7 +142,7 @@ def _rules_as_text(rejected: DataFrame) -> DataFrame:
 
 
 def q21_rejected_users(t: Inputs) -> DataFrame:
-    return _rules_as_text(cleaning.clean_users(t.staging_users, LEVELS, ATTRIBUTE)[1])
+    return _rules_as_text(cleaning.clean_users(t.staging_users, t.levels, t.attribute)[1])
 
 
 def q22_clean_facts(t: Inputs) -> DataFrame:

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from scorewright.operators import joins, segments, shares, summary
-from scorewright.plans.inputs import ATTRIBUTE, Inputs
+from scorewright.plans.inputs import Inputs
 from scorewright.sources import tables
 
-_PROFILE = ("subscriber", ATTRIBUTE)
 _FACT_ORDER = ("event_date", "hour", "userid", "points")
 
 
@@ -57,37 +56,37 @@ def q31_subscriber_proportions(t: Inputs) -> DataFrame:
 
 
 def q32_attribute_proportions(t: Inputs) -> DataFrame:
-    return shares.proportions(t.users, [ATTRIBUTE]).orderBy(ATTRIBUTE)
+    return shares.proportions(t.users, [t.attribute]).orderBy(t.attribute)
 
 
 def q33_stacked_frequencies(t: Inputs) -> DataFrame:
-    return shares.stacked_frequencies(t.users, _PROFILE).orderBy("attribute")
+    return shares.stacked_frequencies(t.users, t.profile).orderBy("attribute")
 
 
 def q34_profile_frequencies(t: Inputs) -> DataFrame:
-    counted = shares.frequencies(t.users, _PROFILE)
-    return shares.with_share(counted, "num_users", "rel_freq").orderBy(*_PROFILE)
+    counted = shares.frequencies(t.users, t.profile)
+    return shares.with_share(counted, "num_users", "rel_freq").orderBy(*t.profile)
 
 
 def q34_profile_proportions(t: Inputs) -> DataFrame:
-    return shares.proportions(t.users, _PROFILE).orderBy(*_PROFILE)
+    return shares.proportions(t.users, t.profile).orderBy(*t.profile)
 
 
 def q35_proportions_within_subscriber(t: Inputs) -> DataFrame:
-    return shares.proportions(t.users, _PROFILE, within=["subscriber"]).orderBy(*_PROFILE)
+    return shares.proportions(t.users, t.profile, within=["subscriber"]).orderBy(*t.profile)
 
 
 def q36_enriched_facts(t: Inputs) -> DataFrame:
-    return tables.create_views(t.facts, t.users, ATTRIBUTE)
+    return tables.create_views(t.facts, t.users, t.attribute)
 
 
 def q36_subscriber_facts(t: Inputs) -> DataFrame:
-    tables.create_views(t.facts, t.users, ATTRIBUTE)
+    tables.create_views(t.facts, t.users, t.attribute)
     return tables.run_query(t.spark, "SELECT * FROM subscribers")
 
 
 def q36_non_subscriber_facts(t: Inputs) -> DataFrame:
-    tables.create_views(t.facts, t.users, ATTRIBUTE)
+    tables.create_views(t.facts, t.users, t.attribute)
     return tables.run_query(t.spark, "SELECT * FROM non_subscribers")
 
 
@@ -100,7 +99,7 @@ def q38_subscription_rate(t: Inputs) -> DataFrame:
 
 
 def q39_points_share_by_attribute(t: Inputs) -> DataFrame:
-    return shares.points_share(t.facts, t.users, ATTRIBUTE)
+    return shares.points_share(t.facts, t.users, t.attribute)
 
 
 def q40_points_share_by_subscriber(t: Inputs) -> DataFrame:
@@ -116,14 +115,14 @@ def q42_sign_class_frequencies(t: Inputs) -> DataFrame:
 
 
 def q53_rows_per_level(t: Inputs) -> DataFrame:
-    return shares.rows_per_level(t.facts, t.users, ATTRIBUTE)
+    return shares.rows_per_level(t.facts, t.users, t.attribute)
 
 
 def q54_profile_percentages(t: Inputs) -> DataFrame:
-    keys = [ATTRIBUTE, "subscriber"]
+    keys = [t.attribute, "subscriber"]
     return shares.percentages(t.users, keys).orderBy(*keys)
 
 
 def q55_percentages_within_attribute(t: Inputs) -> DataFrame:
-    keys = [ATTRIBUTE, "subscriber"]
-    return shares.percentages(t.users, keys, within=[ATTRIBUTE]).orderBy(*keys)
+    keys = [t.attribute, "subscriber"]
+    return shares.percentages(t.users, keys, within=[t.attribute]).orderBy(*keys)

@@ -4,27 +4,31 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 
 from scorewright.plans import activity, loading, participation, statistics
-from scorewright.plans.inputs import Inputs
+from scorewright.plans.inputs import Inputs, OrderTables
 
 _JOB_NAME = re.compile(r"[qs]\d\d_\w+")
 
 Job = Callable[[SparkSession, str], DataFrame]
 
 
-def _jobs_of(module: ModuleType) -> dict[str, Job]:
-    def bind(job: Callable[[Inputs], DataFrame]) -> Job:
-        return lambda spark, sf_dir: job(Inputs(spark, sf_dir))
-
-    return {name: bind(job) for name, job in vars(module).items() if _JOB_NAME.fullmatch(name)}
+def jobs_on_inputs() -> dict[str, Callable[[Inputs], DataFrame]]:
+    """The jobs over any loaded tables, such as ``CsvTables``."""
+    found = {
+        name: job
+        for module in (loading, participation, activity, statistics)
+        for name, job in vars(module).items()
+        if _JOB_NAME.fullmatch(name)
+    }
+    return dict(sorted(found.items()))
 
 
 def jobs() -> dict[str, Job]:
-    found: dict[str, Job] = {}
-    for module in (loading, participation, activity, statistics):
-        found.update(_jobs_of(module))
-    return dict(sorted(found.items()))
+    """The jobs over the tables derived from one data folder."""
+    return {
+        name: lambda spark, sf_dir, job=job: job(OrderTables(spark, sf_dir))
+        for name, job in jobs_on_inputs().items()
+    }

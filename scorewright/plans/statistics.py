@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from scorewright.operators import boxplot, encoding, hypothesis, regression, segments
-from scorewright.plans.inputs import ATTRIBUTE, LEVELS, Inputs
+from scorewright.operators import boxplot, hypothesis, regression, segments
+from scorewright.plans.inputs import Inputs
 from scorewright.sources.storage import materialize
 
 _TOTAL = "total_points"
-_DUMMIES = encoding.dummy_columns(ATTRIBUTE, LEVELS)
 
 
 def _rounded(df: DataFrame, places: int = 4) -> DataFrame:
@@ -17,20 +16,16 @@ def _rounded(df: DataFrame, places: int = 4) -> DataFrame:
     return df.withColumns({name: F.round(name, places) for name in doubles})
 
 
-def _dummy_frame(t: Inputs) -> DataFrame:
-    return encoding.one_hot(t.totals, ATTRIBUTE, LEVELS)
-
-
 def q56_user_totals(t: Inputs) -> DataFrame:
     return t.totals
 
 
 def q57_box_stats(t: Inputs) -> DataFrame:
-    return boxplot.box_stats(t.totals, ["subscriber", ATTRIBUTE])
+    return boxplot.box_stats(t.totals, ["subscriber", t.attribute])
 
 
 def q58_top_outliers(t: Inputs) -> DataFrame:
-    return boxplot.top_outliers(t.totals, ATTRIBUTE, LEVELS[-1], 9)
+    return boxplot.top_outliers(t.totals, t.attribute, t.levels[-1], 9)
 
 
 def q59_subscriber_correlation(t: Inputs) -> DataFrame:
@@ -64,23 +59,23 @@ def q62_probability_plot_line(t: Inputs) -> DataFrame:
 
 
 def q63_anova(t: Inputs) -> DataFrame:
-    return _rounded(hypothesis.one_way_anova(t.totals, _TOTAL, ATTRIBUTE))
+    return _rounded(hypothesis.one_way_anova(t.totals, _TOTAL, t.attribute))
 
 
 def q64_dummy_frame(t: Inputs) -> DataFrame:
-    return _dummy_frame(t)
+    return t.dummy_totals
 
 
 def q65_correlations(t: Inputs) -> DataFrame:
-    return regression.correlations_with(_dummy_frame(t), ["subscriber", *_DUMMIES], _TOTAL)
+    return regression.correlations_with(t.dummy_totals, ["subscriber", *t.dummies], _TOTAL)
 
 
 def q65_correlation_matrix(t: Inputs) -> DataFrame:
-    return regression.correlation_matrix(_dummy_frame(t), ["subscriber", *_DUMMIES, _TOTAL])
+    return regression.correlation_matrix(t.dummy_totals, ["subscriber", *t.dummies, _TOTAL])
 
 
 def q66_multiple_regression(t: Inputs) -> DataFrame:
-    fit = regression.fit_linear(_dummy_frame(t), _TOTAL, ["subscriber", *_DUMMIES[1:]])
+    fit = regression.fit_linear(t.dummy_totals, _TOTAL, ["subscriber", *t.dummies[1:]])
     return _rounded(fit.table(t.spark))
 
 
@@ -97,26 +92,26 @@ def q67_positive_facts(t: Inputs) -> DataFrame:
 
 
 def q68_class_row_shares(t: Inputs) -> DataFrame:
-    return hypothesis.class_row_shares(t.users, t.facts, ["subscriber", ATTRIBUTE])
+    return hypothesis.class_row_shares(t.users, t.facts, ["subscriber", t.attribute])
 
 
 def q69_contingency_table(t: Inputs) -> DataFrame:
     return hypothesis.expected_counts(
-        hypothesis.contingency_table(t.users, t.facts, ATTRIBUTE, "row")
+        hypothesis.contingency_table(t.users, t.facts, t.attribute, "row")
     )
 
 
 def q69_contingency_table_by_user(t: Inputs) -> DataFrame:
     return hypothesis.expected_counts(
-        hypothesis.contingency_table(t.users, t.facts, ATTRIBUTE, "user")
+        hypothesis.contingency_table(t.users, t.facts, t.attribute, "user")
     )
 
 
 def q69_chi_square(t: Inputs) -> DataFrame:
-    table = hypothesis.contingency_table(t.users, t.facts, ATTRIBUTE, "row")
+    table = hypothesis.contingency_table(t.users, t.facts, t.attribute, "row")
     return _rounded(hypothesis.chi_square(t.spark, table))
 
 
 def q69_chi_square_by_user(t: Inputs) -> DataFrame:
-    table = hypothesis.contingency_table(t.users, t.facts, ATTRIBUTE, "user")
+    table = hypothesis.contingency_table(t.users, t.facts, t.attribute, "user")
     return _rounded(hypothesis.chi_square(t.spark, table))

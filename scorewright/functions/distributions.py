@@ -82,7 +82,7 @@ def chi2_upper(x: float, df: float) -> float:
         return 1.0
     a, half = df / 2.0, x / 2.0
     log_front = a * math.log(half) - half - math.lgamma(a)
-    if half < a + 30.0:
+    if half < a + 1.0:
         term = total = 1.0 / a
         n = a
         while term > total * _EPS:
@@ -92,7 +92,7 @@ def chi2_upper(x: float, df: float) -> float:
         return max(0.0, 1.0 - math.exp(log_front) * total)
     # Far tail: 1 / (b0 - 1(1-a)/(b1 - 2(2-a)/(b2 - ...))) from the bottom up.
     tail = 0.0
-    for k in range(500, 0, -1):
+    for k in range(3000, 0, -1):
         tail = k * (k - a) / (half + 2 * k + 1 - a - tail)
     return math.exp(log_front) / (half + 1.0 - a - tail)
 

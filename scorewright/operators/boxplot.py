@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from scorewright.operators.ranking import global_rank, group_quantiles
+from scorewright.sources.storage import materialize
 
 # Fixed value: whiskers reach at most this many interquartile ranges beyond the box.
 WHISKER_REACH = 1.5
@@ -26,16 +27,24 @@ def _by_attribute(totals: DataFrame, attributes: Sequence[str]) -> DataFrame:
 
 
 def _with_fences(totals: DataFrame, attributes: Sequence[str]) -> DataFrame:
-    """The users of every level with the quartiles and fences of their level."""
+    """The users of every level with the quartiles and fences of their level.
+
+    The quartiles are written out: Catalyst then sees one small row per level and joins
+    them to the users without a shuffle.
+    """
     ranked = global_rank(_by_attribute(totals, attributes), ("total_points", "userid"), _GROUP)
-    quartiles = group_quantiles(
-        ranked, "total_points", _GROUP, {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    quartiles = materialize(
+        group_quantiles(
+            ranked, "total_points", _GROUP, {"q1": 0.25, "median": 0.5, "q3": 0.75}
+        ),
+        "quartiles",
     )
-    reach = F.lit(WHISKER_REACH) * (F.col("q3") - F.col("q1"))
-    fences = quartiles.withColumns(
-        {"low_fence": F.col("q1") - reach, "high_fence": F.col("q3") + reach}
+    fences = quartiles.selectExpr(
+        "*",
+        f"q1 - {WHISKER_REACH}D * (q3 - q1) as low_fence",
+        f"q3 + {WHISKER_REACH}D * (q3 - q1) as high_fence",
     )
-    return ranked.drop("rank").join(fences, list(_GROUP))
+    return ranked.drop("rank", "n").join(fences, list(_GROUP))
 
 
 def box_stats(totals: DataFrame, attributes: Sequence[str]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import and_, or_
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -53,74 +53,69 @@ def first_next_to_last(df: DataFrame, column: str, k: int = 3) -> DataFrame:
     )
 
 
-def global_rank(
-    df: DataFrame, order: Sequence[str], within: Sequence[str] = (), name: str = "rank"
-) -> DataFrame:
+def global_rank(df: DataFrame, order: Sequence[str], within: Sequence[str] = ()) -> DataFrame:
     """Number the rows 1, 2, ... in a total order, per combination of ``within``.
 
-    No group is ever sorted in one task.  Rows are range-partitioned by ``within`` and
-    the order, which splits large groups and runs of ties alike as long as the order
-    is unique; the placement is fixed by writing it out.  Row numbers inside each range
-    plus the sizes of the ranges before it give the rank; there is one size per range
-    and group in it.
+    Adds ``rank`` and the group's number of rows ``n``.  No group is ever sorted in one
+    task: rows are range-partitioned by ``within`` and the order, which splits large
+    groups and runs of ties alike as long as the order is unique.  Writing the placed
+    rows fixes their range, whatever happens to the tasks later.  Row numbers inside a
+    range plus the sizes of the group's ranges before it give the rank.  The sizes, one
+    row per range and group in it, are written too, so that Catalyst knows their size
+    when it chooses the join.
     """
+    keys = [*within, "_range"]
     placed = materialize(
         df.repartitionByRange(*within, *order).withColumn("_range", F.spark_partition_id()),
-        "ranked",
-    )
-    keys = [*within, "_range"]
-    before = (
-        Window.partitionBy(*within)
-        .orderBy("_range")
-        .rowsBetween(Window.unboundedPreceding, -1)
+        "placed",
     )
-    offsets = (
+    group = Window.partitionBy(*within)
+    before = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = materialize(
         placed.groupBy(*keys)
         .agg(F.count("*").alias("_size"))
         .withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0)))
-        .drop("_size")
-    )
-    numbered = placed.withColumn(
-        "_inside", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        .withColumn("n", F.sum("_size").over(group))
+        .drop("_size"),
+        "range-sizes",
     )
+    inside = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    numbered = placed.withColumn("_inside", inside)
     same_range = reduce(and_, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys])
-    rank = F.col("r._before") + F.col("l._inside")
     return (
         numbered.alias("l")
-        .join(offsets.alias("r"), same_range)
-        .select(*[F.col(f"l.{c}") for c in df.columns], rank.alias(name))
+        .join(sizes.alias("r"), same_range)
+        .select(
+            *[F.col(f"l.{c}") for c in df.columns],
+            (F.col("r._before") + F.col("l._inside")).alias("rank"),
+            F.col("r.n"),
+        )
     )
 
 
 def group_quantiles(
-    ranked: DataFrame,
-    value: str,
-    within: Sequence[str],
-    probabilities: dict[str, float],
+    ranked: DataFrame, value: str, within: Sequence[str], probabilities: dict[str, float]
 ) -> DataFrame:
     """Exact interpolated quantiles per group from the output of ``global_rank``.
 
     Only the one or two rows around each wanted position leave the ranked table.
     """
-    sizes = ranked.groupBy(*within).agg(F.count("*").alias("n"))
-
-    def position(p: float) -> Column:
-        return (F.col("n") - 1) * F.lit(p) + 1
-
-    wanted = [
-        F.col("rank") == rounding(position(p))
-        for p in probabilities.values()
-        for rounding in (F.floor, F.ceil)
-    ]
-    neighbours = ranked.join(sizes, list(within)).where(reduce(or_, wanted))
-
-    def quantile(p: float) -> Column:
-        low = F.max(F.when(F.col("rank") == F.floor(position(p)), F.col(value)))
-        high = F.max(F.when(F.col("rank") == F.ceil(position(p)), F.col(value)))
-        part = F.max(position(p) - F.floor(position(p)))
-        return low + (high - low) * part
-
-    return neighbours.groupBy(*within).agg(
-        F.max("n").alias("n"),
-        *[quantile(p).alias(name) for name, p in probabilities.items()],
+
+    def ends(p: float) -> tuple[str, str, str]:
+        position = f"((n - 1) * {p}D + 1)"
+        return f"floor{position}", f"ceil{position}", f"({position} - floor{position})"
+
+    near = " or ".join(
+        f"rank = {end}" for p in probabilities.values() for end in ends(p)[:2]
+    )
+
+    def quantile(p: float, name: str) -> Column:
+        low, high, part = ends(p)
+        at_low, at_high = (f"max(case when rank = {end} then {value} end)" for end in (low, high))
+        return F.expr(f"{at_low} + ({at_high} - {at_low}) * max({part})").alias(name)
+
+    return (
+        ranked.where(near)
+        .groupBy(*within)
+        .agg(F.max("n").alias("n"), *[quantile(p, name) for name, p in probabilities.items()])
     )

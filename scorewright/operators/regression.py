@@ -156,8 +156,7 @@ def _order_statistic_median(rank: Column, n: Column) -> Column:
 def probability_plot(df: DataFrame, value: str, key: str) -> DataFrame:
     """Theoretical normal quantile next to each ordered value; ``key`` makes the order unique."""
     ranked = global_rank(df.select(value, key), (value, key))
-    n = ranked.agg(F.count("*")).scalar()
-    ordered = ranked.select("rank", F.col(value).alias("ordered"), n.alias("n"))
+    ordered = ranked.select("rank", F.col(value).alias("ordered"), "n")
     median = _order_statistic_median(F.col("rank"), F.col("n"))
     return with_normal_quantile(ordered, median, "theoretical").select(
         "rank", "theoretical", "ordered"

@@ -53,14 +53,19 @@ def _rows(columns: list[str], rows) -> list[tuple[str, ...]]:
     return sorted(tuple(_cell(row[i]) for i in order) for row in rows)
 
 
+# Spark types and their names in the SQL engine.
+_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "date": "DATE"}
+
+
 def difference(result: DataFrame, connection: duckdb.DuckDBPyConnection, sql: str) -> str | None:
-    """None when both results hold the same rows under the same names, else what differs."""
+    """None when both results hold the same rows, names and types, else what differs."""
+    relation = connection.sql(sql)
+    expected_types = sorted(zip(relation.columns, map(str, relation.types)))
+    actual_types = sorted((name, _TYPES.get(kind, kind)) for name, kind in result.dtypes)
+    if actual_types != expected_types:
+        return f"columns {actual_types} against {expected_types}"
     actual = _rows(result.columns, result.collect())
-    cursor = connection.execute(sql)
-    names = [d[0] for d in cursor.description]
-    expected = _rows(names, cursor.fetchall())
-    if sorted(names) != sorted(result.columns):
-        return f"columns {sorted(result.columns)} against {sorted(names)}"
+    expected = _rows(relation.columns, relation.fetchall())
     if len(actual) != len(expected):
         return f"{len(actual)} rows against {len(expected)}"
     for a, e in zip(actual, expected):

@@ -6,6 +6,7 @@ check of its size; the tail probability is one number on the driver.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Row, SparkSession, Window, functions as F
@@ -42,7 +43,7 @@ def one_way_anova(df: DataFrame, value: str, group: str) -> DataFrame:
     between = sum(g["n"] * (g["mean"] - grand_mean) ** 2 for g in groups)
     within = sum(g["n"] * g["variance"] for g in groups)
     df_between, df_within = len(groups) - 1, n - len(groups)
-    f = (between / df_between) / (within / df_within)
+    f = (between / df_between) / (within / df_within) if within else math.inf
     return df.sparkSession.createDataFrame(
         [(f, f_upper(f, df_between, df_within), df_between, df_within)],
         "f_statistic double, p_value double, df_between int, df_within bigint",
@@ -145,6 +146,8 @@ def chi_square(spark: SparkSession, table: DataFrame) -> DataFrame:
     """
     rows = [(r["positive_users"], r["negative_users"]) for r in _collect_levels(table)]
     column_sums = [sum(column) for column in zip(*rows)]
+    if not rows or 0 in column_sums or any(sum(row) == 0 for row in rows):
+        raise ValueError("every level and every class needs at least one count")
     n = sum(column_sums)
     dof = len(rows) - 1
     statistic = 0.0

@@ -127,6 +127,8 @@ def fit_linear(df: DataFrame, y: str, xs: Sequence[str]) -> LinearFit:
     block = np.zeros((p + 1, p + 1))
     for i, j in pairs:
         block[i, j] = block[j, i] = n * sums[f"c{i}_{j}"]
+    if np.linalg.matrix_rank(block[:p, :p]) < p:
+        raise ValueError(f"the predictors {', '.join(xs)} depend on each other or are constant")
     inverse = np.linalg.inv(block[:p, :p])
     slopes = inverse @ block[:p, p]
     rss = block[p, p] - slopes @ block[:p, p]

@@ -83,7 +83,10 @@ def q09_subscriber_values(t: Inputs) -> DataFrame:
 
 
 def q10_attribute_levels(t: Inputs) -> DataFrame:
-    return quality.distinct_values(t.staging_users, truncate(F.col(t.attribute), 2), t.attribute)
+    width = max(map(len, t.levels))
+    return quality.distinct_values(
+        t.staging_users, truncate(F.col(t.attribute), width), t.attribute
+    )
 
 
 def q11_fact_id_lengths(t: Inputs) -> DataFrame:

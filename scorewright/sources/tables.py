@@ -7,13 +7,13 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from scorewright.operators.joins import enrich_facts
-from scorewright.sources.storage import shared_dir
+from scorewright.sources.storage import app_dir
 
 
 def replace_table(df: DataFrame, name: str) -> DataFrame:
     """Drop and re-create a table from a frame; its files live in the shared folder."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/scorewright/tables/{name}"
+    path = f"{app_dir(spark)}/tables/{name}"
     df.write.mode("overwrite").option("path", path).saveAsTable(name)
     return spark.table(name)
 

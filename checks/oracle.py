@@ -833,6 +833,14 @@ def oracle_sql() -> dict[str, str]:
             "select * from event_performance where userid in"
             " (select userid from player_classes where total_points > 0)",
         ),
+        **{
+            f"q68_users_with_{kind}_facts": _with(
+                "class_rows",
+                "select userid, subscriber, country, event_date, hour, points from class_rows"
+                f" where user_type = 'total_points_{kind}'",
+            )
+            for kind in ("negative", "positive")
+        },
         "q68_class_row_shares": _with(
             "class_rows",
             "\nunion all\n".join(

@@ -19,8 +19,10 @@ def dummy_columns(column: str, levels: Sequence[str]) -> list[str]:
     return [f"{column}_{level}" for level in levels]
 
 
-def one_hot(df: DataFrame, column: str, levels: Sequence[str]) -> DataFrame:
-    """Replace a category by one 0/1 column per level."""
+def one_hot(df: DataFrame, column: str, levels: Sequence[str] | None = None) -> DataFrame:
+    """Replace a category by one 0/1 column per level; unnamed levels are looked up."""
+    if levels is None:
+        levels = levels_of(df, column)
     dummies = {
         name: F.when(F.col(column) == level, 1.0).otherwise(0.0)
         for name, level in zip(dummy_columns(column, levels), levels)

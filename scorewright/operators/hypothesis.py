@@ -1,7 +1,7 @@
 """Tests of independence: one-way analysis of variance and chi-square.
 
-Each test needs one small table, a row per level, which is collected behind a
-check of its size; the tail probability is one number on the driver.
+Each test is an aggregation over the levels that ends in one row; only that row
+reaches the driver, for the tail probability.
 """
 
 from __future__ import annotations
@@ -9,26 +9,17 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Row, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from scorewright.functions.distributions import chi2_upper, f_upper
 from scorewright.functions.numbers import ratio
 from scorewright.operators.joins import user_totals
 from scorewright.operators.segments import NEGATIVE, POSITIVE, sign_class
 
-MAX_LEVELS = 10_000
-
-
-def _collect_levels(table: DataFrame) -> list[Row]:
-    rows = table.limit(MAX_LEVELS + 1).collect()
-    if len(rows) > MAX_LEVELS:
-        raise ValueError(f"more than {MAX_LEVELS} levels: the column is no category")
-    return rows
-
 
 def one_way_anova(df: DataFrame, value: str, group: str) -> DataFrame:
     """F statistic and p-value of equal group means, from group sizes, means and variances."""
-    groups = _collect_levels(
+    groups = (
         df.where(F.col(group).isNotNull())
         .groupBy(group)
         .agg(
@@ -38,12 +29,22 @@ def one_way_anova(df: DataFrame, value: str, group: str) -> DataFrame:
         )
         .where("n > 0")
     )
-    n = sum(g["n"] for g in groups)
-    grand_mean = sum(g["n"] * g["mean"] for g in groups) / n
-    between = sum(g["n"] * (g["mean"] - grand_mean) ** 2 for g in groups)
-    within = sum(g["n"] * g["variance"] for g in groups)
-    df_between, df_within = len(groups) - 1, n - len(groups)
-    f = (between / df_between) / (within / df_within) if within else math.inf
+    grand_mean = groups.agg(F.expr("sum(n * mean) / sum(n)")).scalar()
+    sums = (
+        groups.withColumn("deviation", F.col("mean") - grand_mean)
+        .agg(
+            F.expr("count(*) - 1").alias("df_between"),
+            F.expr("sum(n) - count(*)").alias("df_within"),
+            F.expr("sum(n * deviation * deviation)").alias("between"),
+            F.expr("sum(n * variance)").alias("within"),
+        )
+        .first()
+    )
+    df_between, df_within = sums["df_between"], sums["df_within"]
+    if not df_between or not df_within:
+        raise ValueError("the test needs two groups and more values than groups")
+    within = sums["within"] / df_within
+    f = sums["between"] / df_between / within if within else math.inf
     return df.sparkSession.createDataFrame(
         [(f, f_upper(f, df_between, df_within), df_between, df_within)],
         "f_statistic double, p_value double, df_between int, df_within bigint",
@@ -122,20 +123,27 @@ def contingency_table(
     )
 
 
-def expected_counts(table: DataFrame, places: int = 4) -> DataFrame:
-    """Counts expected under independence for a (level, positive, negative) table."""
-    totals = table.agg(
-        F.sum("positive_users").alias("positive"), F.sum("negative_users").alias("negative")
-    )
-    positive = totals.select("positive").scalar()
-    negative = totals.select("negative").scalar()
+def _with_expected(table: DataFrame) -> DataFrame:
+    """Add the counts expected under independence to a (level, positive, negative) table."""
+    positive = table.agg(F.sum("positive_users")).scalar()
+    negative = table.agg(F.sum("negative_users")).scalar()
     both = F.col("positive_users") + F.col("negative_users")
-    return table.select(
+    return table.withColumns(
+        {
+            "expected_positive": both * positive / (positive + negative),
+            "expected_negative": both * negative / (positive + negative),
+        }
+    )
+
+
+def expected_counts(table: DataFrame, places: int = 4) -> DataFrame:
+    """Observed and expected counts of a (level, positive, negative) table."""
+    return _with_expected(table).select(
         "level",
         "positive_users",
         "negative_users",
-        F.round(both * positive / (positive + negative), places).alias("expected_positive"),
-        F.round(both * negative / (positive + negative), places).alias("expected_negative"),
+        F.round("expected_positive", places).alias("expected_positive"),
+        F.round("expected_negative", places).alias("expected_negative"),
     )
 
 
@@ -144,21 +152,30 @@ def chi_square(spark: SparkSession, table: DataFrame) -> DataFrame:
 
     With one degree of freedom the deviations are reduced by up to one half (Yates).
     """
-    rows = [(r["positive_users"], r["negative_users"]) for r in _collect_levels(table)]
-    column_sums = [sum(column) for column in zip(*rows)]
-    if not rows or 0 in column_sums or any(sum(row) == 0 for row in rows):
+
+    def statistic(correction: float) -> Column:
+        terms = []
+        for side in ("positive", "negative"):
+            expected = F.col(f"expected_{side}")
+            deviation = F.abs(F.col(f"{side}_users") - expected)
+            reduced = deviation - F.least(F.lit(correction), deviation)
+            terms.append(F.try_divide(reduced * reduced, expected))
+        return F.sum(terms[0] + terms[1])
+
+    sums = (
+        _with_expected(table)
+        .agg(
+            (F.count("*") - 1).alias("dof"),
+            F.min(F.least("expected_positive", "expected_negative")).alias("least_expected"),
+            statistic(0.0).alias("plain"),
+            statistic(0.5).alias("corrected"),
+        )
+        .first()
+    )
+    if not sums["least_expected"]:
         raise ValueError("every level and every class needs at least one count")
-    n = sum(column_sums)
-    dof = len(rows) - 1
-    statistic = 0.0
-    for row in rows:
-        for observed, column_sum in zip(row, column_sums):
-            expected = sum(row) * column_sum / n
-            deviation = abs(observed - expected)
-            if dof == 1:
-                deviation -= min(0.5, deviation)
-            statistic += deviation * deviation / expected
+    dof = sums["dof"]
+    chi2 = sums["corrected"] if dof == 1 else sums["plain"]
     return spark.createDataFrame(
-        [(statistic, chi2_upper(statistic, dof), dof)],
-        "chi2 double, p_value double, dof int",
+        [(chi2, chi2_upper(chi2, dof), dof)], "chi2 double, p_value double, dof int"
     )

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from scorewright.functions.numbers import percent, ratio
+from scorewright.operators.quality import compute_once
 
 
 def with_share(
@@ -85,32 +86,37 @@ def stacked_frequencies(users: DataFrame, attributes: Sequence[str], places: int
 def points_share(facts: DataFrame, users: DataFrame, key: str, places: int = 4) -> DataFrame:
     """Share of all points, unregistered ids included, per level of a user attribute.
 
-    Levels nobody plays for keep a row, without a share.
+    The outer join keeps both the points of unregistered ids, as a group without a level,
+    and the levels nobody plays for, without a share; the facts are read once.
     """
     per_player = facts.groupBy("userid").agg(F.sum("points").alias("points"))
-    all_points = per_player.agg(F.sum("points")).scalar()
     per_level = (
-        users.join(per_player, "userid", "left").groupBy(key).agg(F.sum("points").alias("points"))
-    )
-    return per_level.select(
-        key, ratio(F.col("points"), all_points, places).alias("prop_pts_scored")
+        users.select("userid", key)
+        .join(per_player, "userid", "full_outer")
+        .groupBy(key)
+        .agg(F.sum("points").alias("points"))
     )
+    # Fixed before the filter, which would otherwise reach only one of the two reads of per_level.
+    shares = compute_once(with_share(per_level, "points", "prop_pts_scored", places=places))
+    return shares.where(F.col(key).isNotNull()).select(key, "prop_pts_scored")
 
 
 def participants_by_status(facts: DataFrame, users: DataFrame) -> DataFrame:
     """Participating users per subscription status and their percentage of all player ids."""
-    players = facts.select("userid").distinct()
-    num_players = players.agg(F.count("*")).scalar()
-    counted = players.join(users, "userid").agg(
+    players = facts.select("userid").where(F.col("userid").isNotNull()).distinct()
+    counted = players.join(users, "userid", "left").agg(
         F.count_if(F.col("subscriber") == 0).alias("non_subscribers"),
         F.count_if(F.col("subscriber") == 1).alias("subscribers"),
+        F.count("*").alias("all_players"),
     )
     rows = [
         F.struct(F.lit(status).alias("subscriber_status"), F.col(status).alias("count"))
-        for status in counted.columns
+        for status in ("non_subscribers", "subscribers")
     ]
-    return counted.select(F.inline(F.array(*rows))).withColumn(
-        "perc", percent(F.col("count"), num_players, 2)
+    return counted.select(F.inline(F.array(*rows)), "all_players").select(
+        "subscriber_status",
+        "count",
+        percent(F.col("count"), F.col("all_players"), 2).alias("perc"),
     )
 
 

@@ -144,6 +144,14 @@ def test_chi_square_with_and_without_yates(spark):
     assert row["chi2"] == pytest.approx(31 * (abs(12 * 7 - 5 * 7) - 15.5) ** 2 / (17 * 14 * 19 * 12))
 
 
+def test_tests_refuse_empty_cells(spark):
+    names = "level string, positive_users bigint, negative_users bigint"
+    with pytest.raises(ValueError, match="at least one count"):
+        hypothesis.chi_square(spark, spark.createDataFrame([("a", 1, 0), ("b", 2, 0)], names))
+    with pytest.raises(ValueError, match="two groups"):
+        hypothesis.one_way_anova(spark.createDataFrame([("a", 1), ("a", 2)], "g string, v int"), "v", "g")
+
+
 def test_contingency_grains(spark):
     users = spark.sql("select * from values ('p', 0, 'A'), ('n', 0, 'A'), ('z', 1, 'B') as t(userid, subscriber, category)")
     facts = spark.sql(

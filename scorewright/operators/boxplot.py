@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from scorewright.operators.ranking import global_rank, group_quantiles
+from scorewright.operators.ranking import group_quantiles, place_by_range
 from scorewright.sources.storage import materialize
 
 # Fixed value: whiskers reach at most this many interquartile ranges beyond the box.
@@ -32,11 +32,9 @@ def _with_fences(totals: DataFrame, attributes: Sequence[str]) -> DataFrame:
     The quartiles are written out: Catalyst then sees one small row per level and joins
     them to the users without a shuffle.
     """
-    ranked = global_rank(_by_attribute(totals, attributes), ("total_points", "userid"), _GROUP)
+    placed = place_by_range(_by_attribute(totals, attributes), ("total_points", "userid"), _GROUP)
     quartiles = materialize(
-        group_quantiles(
-            ranked, "total_points", _GROUP, {"q1": 0.25, "median": 0.5, "q3": 0.75}
-        ),
+        group_quantiles(placed, "total_points", {"q1": 0.25, "median": 0.5, "q3": 0.75}),
         "quartiles",
     )
     fences = quartiles.selectExpr(
@@ -44,7 +42,7 @@ def _with_fences(totals: DataFrame, attributes: Sequence[str]) -> DataFrame:
         f"q1 - {WHISKER_REACH}D * (q3 - q1) as low_fence",
         f"q3 + {WHISKER_REACH}D * (q3 - q1) as high_fence",
     )
-    return ranked.drop("rank", "n").join(fences, list(_GROUP))
+    return placed.rows.join(fences, list(_GROUP))
 
 
 def box_stats(totals: DataFrame, attributes: Sequence[str]) -> DataFrame:

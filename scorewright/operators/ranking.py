@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
@@ -53,61 +54,86 @@ def first_next_to_last(df: DataFrame, column: str, k: int = 3) -> DataFrame:
     )
 
 
-def global_rank(df: DataFrame, order: Sequence[str], within: Sequence[str] = ()) -> DataFrame:
-    """Number the rows 1, 2, ... in a total order, per combination of ``within``.
-
-    Adds ``rank`` and the group's number of rows ``n``.  No group is ever sorted in one
-    task: rows are range-partitioned by ``within`` and the order, which splits large
-    groups and runs of ties alike as long as the order is unique.  Writing the placed
-    rows fixes their range, whatever happens to the tasks later.  Row numbers inside a
-    range plus the sizes of the group's ranges before it give the rank.  The sizes, one
-    row per range and group in it, are written too, so that Catalyst knows their size
-    when it chooses the join.
+@dataclass(frozen=True)
+class Placed:
+    """Rows written in range order, and the size of every range (per group in it).
+
+    ``sizes`` has ``_before``, the group's rows in earlier ranges, ``_size`` and the
+    group's number of rows ``n``.
+    """
+
+    rows: DataFrame
+    sizes: DataFrame
+    order: tuple[str, ...]
+    within: tuple[str, ...]
+
+    @property
+    def keys(self) -> list[str]:
+        return [*self.within, "_range"]
+
+
+def place_by_range(df: DataFrame, order: Sequence[str], within: Sequence[str] = ()) -> Placed:
+    """Range-partition rows by ``within`` and a unique order, and write them out.
+
+    Large groups and runs of ties are split alike, because the order is unique.  The
+    write fixes each row's range, whatever happens to tasks later.  The sizes, one row
+    per range and group in it, are written too, so that Catalyst knows their size when
+    it chooses a join.
     """
-    keys = [*within, "_range"]
-    placed = materialize(
+    rows = materialize(
         df.repartitionByRange(*within, *order).withColumn("_range", F.spark_partition_id()),
         "placed",
     )
     group = Window.partitionBy(*within)
     before = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     sizes = materialize(
-        placed.groupBy(*keys)
+        rows.groupBy(*within, "_range")
         .agg(F.count("*").alias("_size"))
         .withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0)))
-        .withColumn("n", F.sum("_size").over(group))
-        .drop("_size"),
+        .withColumn("n", F.sum("_size").over(group)),
         "range-sizes",
     )
-    inside = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    numbered = placed.withColumn("_inside", inside)
-    same_range = reduce(and_, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys])
-    return (
-        numbered.alias("l")
-        .join(sizes.alias("r"), same_range)
-        .select(
-            *[F.col(f"l.{c}") for c in df.columns],
-            (F.col("r._before") + F.col("l._inside")).alias("rank"),
-            F.col("r.n"),
-        )
+    return Placed(rows, sizes, tuple(order), tuple(within))
+
+
+def ranks(placed: Placed, ranges: Column | None = None) -> DataFrame:
+    """The placed rows with their ``rank`` in the group and the group's size ``n``.
+
+    ``ranges`` is a condition on the sizes: rows of other ranges are left out before
+    anything is sorted.
+    """
+    sizes = placed.sizes if ranges is None else placed.sizes.where(ranges)
+    same_range = reduce(
+        and_, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in placed.keys]
     )
+    rows = placed.rows.alias("l").join(sizes.alias("r"), same_range).select("l.*", "r._before", "r.n")
+    inside = F.row_number().over(Window.partitionBy(*placed.keys).orderBy(*placed.order))
+    return rows.withColumn("rank", F.col("_before") + inside).drop("_range", "_before")
 
 
-def group_quantiles(
-    ranked: DataFrame, value: str, within: Sequence[str], probabilities: dict[str, float]
-) -> DataFrame:
-    """Exact interpolated quantiles per group from the output of ``global_rank``.
+def global_rank(df: DataFrame, order: Sequence[str], within: Sequence[str] = ()) -> DataFrame:
+    """Number the rows 1, 2, ... in a unique order, per combination of ``within``.
 
-    Only the one or two rows around each wanted position leave the ranked table.
+    No group is ever sorted in one task: row numbers inside each range plus the sizes of
+    the group's earlier ranges give the ``rank``.
+    """
+    return ranks(place_by_range(df, order, within))
+
+
+def group_quantiles(placed: Placed, value: str, probabilities: dict[str, float]) -> DataFrame:
+    """Exact interpolated quantiles of ``value``, the first order column, per group.
+
+    Only the ranges that hold a wanted position are sorted, and only the one or two rows
+    around each position go on.
     """
 
     def ends(p: float) -> tuple[str, str, str]:
         position = f"((n - 1) * {p}D + 1)"
         return f"floor{position}", f"ceil{position}", f"({position} - floor{position})"
 
-    near = " or ".join(
-        f"rank = {end}" for p in probabilities.values() for end in ends(p)[:2]
-    )
+    wanted = [end for p in probabilities.values() for end in ends(p)[:2]]
+    holds = " or ".join(f"{end} between _before + 1 and _before + _size" for end in wanted)
+    near = " or ".join(f"rank = {end}" for end in wanted)
 
     def quantile(p: float, name: str) -> Column:
         low, high, part = ends(p)
@@ -115,7 +141,8 @@ def group_quantiles(
         return F.expr(f"{at_low} + ({at_high} - {at_low}) * max({part})").alias(name)
 
     return (
-        ranked.where(near)
-        .groupBy(*within)
+        ranks(placed, F.expr(holds))
+        .where(near)
+        .groupBy(*placed.within)
         .agg(F.max("n").alias("n"), *[quantile(p, name) for name, p in probabilities.items()])
     )

@@ -47,11 +47,27 @@ def test_interpolated_quartiles(spark):
         [("a", k, float(v)) for k, v in enumerate((1, 2, 3, 10))] + [("b", 9, 4.0)],
         "g string, k int, v double",
     )
-    ranked = ranking.global_rank(frame, ("v", "k"), ("g",))
-    found = ranking.group_quantiles(ranked, "v", ("g",), {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    placed = ranking.place_by_range(frame, ("v", "k"), ("g",))
+    found = ranking.group_quantiles(placed, "v", {"q1": 0.25, "median": 0.5, "q3": 0.75})
     assert {tuple(r) for r in found.collect()} == {("a", 4, 1.75, 2.5, 4.75), ("b", 1, 4.0, 4.0, 4.0)}
 
 
+def test_quantiles_over_many_ranges(spark):
+    rng = random.Random(11)
+    rows = [(rng.choice("aab"), k, rng.choice((0, 0, rng.randint(-999, 999)))) for k in range(5000)]
+    frame = spark.createDataFrame(rows, "g string, k int, v bigint")
+    wide = ranking.place_by_range(frame.repartition(9), ("v", "k"), ("g",))
+    probabilities = {"p1": 0.01, "p25": 0.25, "p50": 0.5, "p99": 0.99}
+    found = ranking.group_quantiles(wide, "v", probabilities)
+    exact = frame.groupBy("g").agg(
+        F.count("*").alias("n"),
+        *[F.percentile("v", p).alias(name) for name, p in probabilities.items()],
+    )
+    for ours, built_in in zip(found.orderBy("g").collect(), exact.orderBy("g").collect(), strict=True):
+        assert tuple(ours)[:2] == tuple(built_in)[:2]
+        assert tuple(ours)[2:] == pytest.approx(tuple(built_in)[2:])
+
+
 def test_box_stats_and_outliers(spark):
     values = [1, 2, 3, 4, 5, 6, 7, 8, 9, 100, 200, -90]
     totals = spark.createDataFrame(

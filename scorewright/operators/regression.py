@@ -145,13 +145,17 @@ def fit_linear(df: DataFrame, y: str, xs: Sequence[str]) -> LinearFit:
     )
 
 
+# Shift and stretch of the inner ranks in Filliben's estimate.
+RANK_SHIFT, RANK_STRETCH = 0.3175, 0.365
+
+
 def _order_statistic_median(rank: Column, n: Column) -> Column:
     """Median of the uniform order statistics (Filliben's estimate)."""
     last = F.pow(F.lit(0.5), F.lit(1.0) / n)
     return (
         F.when(rank == n, last)
         .when(rank == 1, F.lit(1.0) - last)
-        .otherwise((rank - 0.3175) / (n + 0.365))
+        .otherwise((rank - RANK_SHIFT) / (n + RANK_STRETCH))
     )
 
 

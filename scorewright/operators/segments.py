@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from scorewright.operators.joins import user_totals
 from scorewright.operators.shares import with_share
 
+# Names of the sign classes.
 POSITIVE, NEGATIVE, ZERO = "total_points_positive", "total_points_negative", "total_points_zero"
 
 
@@ -54,8 +55,8 @@ def classified_facts(facts: DataFrame) -> DataFrame:
 def monthly_points_by_class(facts: DataFrame) -> DataFrame:
     """Points per month and sign class.
 
-    The facts are read and shuffled once: points per player and month give both the
-    player's total (a window over at most one row per month) and the monthly sums.
+    The facts are read once: points per player and month give both the player's total
+    (a window over at most one row per month) and the monthly sums.
     """
     per_month = facts.groupBy("userid", F.trunc("event_date", "month").alias("month")).agg(
         F.sum("points").alias("points")

@@ -1,4 +1,7 @@
-"""One-row statistics shown as (statistic, value) tables."""
+"""One-row statistics shown as (statistic, value) tables.
+
+The names of the statistics are fixed values.
+"""
 
 from __future__ import annotations
 

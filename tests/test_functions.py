@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import random
 from datetime import date
 from statistics import NormalDist
 
@@ -38,6 +39,34 @@ def test_parse_month_day_year(spark, raw, parsed):
     assert frame.select(dates.parse_month_day_year("d")).first()[0] == parsed
 
 
+def _python_date(text):
+    parts = text.split("/")
+    if len(parts) != 3 or not all(p.isdigit() for p in parts):
+        return None
+    month, day, year = parts
+    if not (len(month) <= 2 and len(day) <= 2 and len(year) in (2, 4)):
+        return None
+    century = "" if len(year) == 4 else "19" if year >= "70" else "20"
+    try:
+        return date(int(century + year), int(month), int(day))
+    except ValueError:
+        return None
+
+
+def test_parse_random_dates(spark):
+    rng = random.Random(3)
+    pick = lambda *choices: rng.choice(choices)
+    texts = [
+        f"{pick('', '0', ' ') if rng.random() < 0.1 else ''}{rng.randint(0, 14)}{pick('/', '/', '/', '-')}"
+        f"{rng.randint(0, 33)}/{pick(rng.randint(0, 99), rng.randint(1900, 2100), f'{rng.randint(0, 99):02}')}"
+        for _ in range(4000)
+    ]
+    frame = spark.createDataFrame([(t,) for t in texts], "d string")
+    rows = frame.select("d", dates.parse_month_day_year("d").alias("parsed")).collect()
+    assert sum(r["parsed"] is not None for r in rows) > 1000
+    assert [(r["d"], r["parsed"]) for r in rows] == [(r["d"], _python_date(r["d"])) for r in rows]
+
+
 def test_seasons(spark):
     frame = spark.sql("select make_date(2019, id, 15) as d from range(1, 13) t(id)")
     plain = [r[0] for r in frame.orderBy("d").select(dates.season(F.col("d"))).collect()]

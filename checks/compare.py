@@ -54,7 +54,10 @@ def _rows(columns: list[str], rows) -> list[tuple[str, ...]]:
 
 
 # Spark types and their names in the SQL engine.
-_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "date": "DATE"}
+_TYPES = {
+    "bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "date": "DATE",
+    "boolean": "BOOLEAN",
+}
 
 
 def difference(result: DataFrame, connection: duckdb.DuckDBPyConnection, sql: str) -> str | None:

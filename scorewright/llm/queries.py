@@ -4,10 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scorewright.llm import block_names, chat_windows, source_mix
+from scorewright.llm import (
+    block_names,
+    chat_windows,
+    piece_codec,
+    source_mix,
+    token_files,
+    word_languages,
+)
 from scorewright.llm.common import table
+from scorewright.sources.storage import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,9 +45,26 @@ def op7_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_windows.formatted_chats(given.unionByName(extra))
 
 
+def op5_token_files(
+    spark: SparkSession, sf_dir: str, tokenizer: str | None = None, end_id: int = 2
+) -> DataFrame:
+    folder = new_path(spark, "token-files")
+    path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
+    token_files.write_tokens(table(spark, sf_dir, "documents"), folder, path, end_id)
+    return token_files.digests(token_files.read_tokens(spark, folder))
+
+
+def op6_piece_codec(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    path = model or public_tokenizers.path("piece_bpe_32k.model")
+    return piece_codec.digests(piece_codec.encode_decode(table(spark, sf_dir, "documents"), path))
+
+
+def op10_word_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_languages.document_languages(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    found = {name: job for name, job in globals().items() if name.startswith("op")}
-    return found
+    return {name: job for name, job in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -11,6 +11,7 @@ from scorewright.llm import (
     block_names,
     chat_windows,
     piece_codec,
+    repeated_spans,
     source_mix,
     token_files,
     word_languages,
@@ -21,6 +22,12 @@ from scorewright.sources.storage import new_path
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans.digests(
+        repeated_spans.without_repeats(table(spark, sf_dir, "documents"))
+    )
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix_report(table(spark, sf_dir, "documents"))
 

@@ -24,6 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from scorewright.llm.common import n_words
+from scorewright.sources.storage import materialize
 
 WEIGHTS = (5, 2, 1)
 #: Share of all tokens in per cent, and the most repeats of a source.
@@ -84,15 +85,25 @@ def _draw(doc_id: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("long") / float(16**13)
 
 
-def with_copies(docs: DataFrame, seed: str = SEED, **shares) -> DataFrame:
-    """(row, size, source_size, target, copies): how often each row of ``docs`` is emitted."""
-    rows = docs.select(
-        F.struct("*").alias("row"), F.col("source").alias("source"), n_words(F.col("text")).alias("size")
-    )
-    sizes = docs.select("source", n_words(F.col("text")).alias("size"))
-    per_source = targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), **shares)
-    rates = per_source.select(
-        F.col("source").alias("of"), "source_size", "target", F.try_divide("target", "source_size").alias("rate")
+def with_copies(
+    docs: DataFrame, *columns: str, seed: str = SEED, **shares
+) -> DataFrame:
+    """(row, size, source_size, target, copies): how often each row of ``docs`` is emitted.
+
+    ``row`` holds the named columns, or all.  The rates are written, one row per source,
+    so that Spark knows their size when it chooses how to join them.
+    """
+    size = n_words(F.col("text")).alias("size")
+    rows = docs.select(F.struct(*(columns or ["*"])).alias("row"), "source", size)
+    sizes = docs.select("source", size).groupBy("source").agg(F.sum("size").alias("source_size"))
+    rates = materialize(
+        targets(sizes, **shares).select(
+            F.col("source").alias("of"),
+            "source_size",
+            "target",
+            F.try_divide("target", "source_size").alias("rate"),
+        ),
+        "mix-rates",
     )
     whole = F.floor("rate")
     extra = (_draw(F.col("row.doc_id"), seed) < F.col("rate") - whole).cast("long")
@@ -103,14 +114,14 @@ def with_copies(docs: DataFrame, seed: str = SEED, **shares) -> DataFrame:
 
 def mix(docs: DataFrame, seed: str = SEED, **shares) -> DataFrame:
     """The documents of the mix, each as often as it is taken, with the columns of ``docs``."""
-    drawn = with_copies(docs, seed, **shares).where("copies > 0")
+    drawn = with_copies(docs, seed=seed, **shares).where("copies > 0")
     repeated = drawn.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return repeated.select("row.*")
 
 
 def mix_report(docs: DataFrame, seed: str = SEED, **shares) -> DataFrame:
     """doc_id, size, source_size, target, taken (words, repeats counted), copies."""
-    return with_copies(docs, seed, **shares).select(
+    return with_copies(docs, "doc_id", seed=seed, **shares).select(
         F.col("row.doc_id").alias("doc_id"),
         "size",
         "source_size",

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from scorewright.llm import (
     block_names,
     chat_windows,
+    near_duplicates,
     piece_codec,
     repeated_spans,
     source_mix,
@@ -66,6 +67,10 @@ def op6_piece_codec(spark: SparkSession, sf_dir: str, model: str | None = None)
     return piece_codec.digests(piece_codec.encode_decode(table(spark, sf_dir, "documents"), path))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_word_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_languages.document_languages(table(spark, sf_dir, "documents"))
 

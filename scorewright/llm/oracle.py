@@ -57,7 +57,46 @@ FROM normalised
 WINDOW same AS (PARTITION BY words)
 """
 
+_LINES = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS uid, doc_id, coalesce(text, '') AS text,
+         string_split(coalesce(text, ''), chr(10)) AS lines
+  FROM documents
+), numbered AS (
+  SELECT uid, doc_id, text, unnest(lines) AS line, generate_subscripts(lines, 1) AS nr FROM docs
+), cut AS (
+  SELECT uid, doc_id, text, nr,
+         list_transform(
+           list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda t: t <> ''),
+           lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS tokens
+  FROM numbered
+), quarters AS (
+  SELECT uid, doc_id, text, nr, len(tokens) AS n,
+         array_to_string(tokens[1 : n // 4], ' ') AS q0,
+         array_to_string(tokens[n // 4 + 1 : n * 2 // 4], ' ') AS q1,
+         array_to_string(tokens[n * 2 // 4 + 1 : n * 3 // 4], ' ') AS q2,
+         array_to_string(tokens[n * 3 // 4 + 1 : n], ' ') AS q3
+  FROM cut WHERE len(tokens) > 0
+), keyed AS (
+  SELECT uid, doc_id, text, nr, (0, n, q0, q1, q2, q3) AS key FROM quarters
+  UNION ALL SELECT uid, doc_id, text, nr, (1, n, q0, '', q2, q3) FROM quarters WHERE n >= 8
+  UNION ALL SELECT uid, doc_id, text, nr, (2, n, q0, q1, '', q3) FROM quarters WHERE n >= 8
+  UNION ALL SELECT uid, doc_id, text, nr, (3, n, q0, q1, q2, '') FROM quarters WHERE n >= 8
+), recurring AS (
+  SELECT key, min(doc_id) AS first FROM keyed GROUP BY key HAVING count(DISTINCT text) >= 5
+), dropped AS (
+  SELECT DISTINCT uid, nr FROM keyed JOIN recurring USING (key) WHERE doc_id > first
+), kept AS (
+  SELECT uid, string_agg(line, chr(10) ORDER BY nr) AS words
+  FROM numbered ANTI JOIN dropped USING (uid, nr) GROUP BY uid
+)
+SELECT doc_id, len(lines) AS n_lines, (SELECT count(*) FROM dropped WHERE dropped.uid = docs.uid) AS n_dropped,
+       sha256(coalesce(words, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (uid)
+"""
+
 SQL = {
+    "op1_line_templates": _LINES,
     "op3_mix_sources": _MIX,
     "op4_exact_duplicates": _COPIES,
 }

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from scorewright.llm import (
     block_names,
     chat_windows,
+    line_templates,
     near_duplicates,
     piece_codec,
     repeated_spans,
@@ -23,6 +24,10 @@ from scorewright.sources.storage import new_path
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_templates.digests(table(spark, sf_dir, "documents"))
+
+
 def op2_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans.digests(
         repeated_spans.without_repeats(table(spark, sf_dir, "documents"))

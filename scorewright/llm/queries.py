@@ -12,6 +12,7 @@ from scorewright.llm import (
     chat_windows,
     line_templates,
     near_duplicates,
+    neighbours,
     piece_codec,
     repeated_spans,
     source_mix,
@@ -72,6 +73,11 @@ def op6_piece_codec(spark: SparkSession, sf_dir: str, model: str | None = None)
     return piece_codec.digests(piece_codec.encode_decode(table(spark, sf_dir, "documents"), path))
 
 
+def op8_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    is_query = F.col("vec_id") % 20 == 0
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), is_query, 20)
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
 

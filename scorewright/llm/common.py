@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -18,3 +19,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def n_words(text: Column) -> Column:
     """Number of words of a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def in_groups(texts: list[str], characters: int = 1_000_000) -> Iterator[list[str]]:
+    """The texts in order, in groups of about so many characters, to bound a task's memory."""
+    group: list[str] = []
+    size = 0
+    for text in texts:
+        group.append(text)
+        size += len(text)
+        if size >= characters:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group

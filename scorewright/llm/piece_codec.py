@@ -34,9 +34,11 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import Column, DataFrame, functions as F
 
+from scorewright.llm.common import in_groups
+
 MARK = "▁"
-#: Words whose ids a worker keeps.
-CACHED_WORDS = 750_000
+#: Entries of each table that a worker keeps.
+CACHED = 400_000
 _RUN = re.compile(f"{MARK}+[^{MARK}]*")
 
 
@@ -88,17 +90,22 @@ class PieceModel:
         self.unknown = library.unk_id()
         self.byte_ids = [byte_ids.get(f"<0x{b:02X}>", self.unknown) for b in range(256)]
         self.score = {piece: library.get_score(i) for piece, i in self.plain.items()}
-        self.known_run = re.compile(
-            "([" + "".join(map(re.escape, (p for p in self.plain if len(p) == 1))) + "]+)"
-        )
+        #: Neighbouring characters of pieces: merges can go over nothing else.
+        self.joints = {p[i : i + 2] for p in self.plain for i in range(len(p) - 1)}
         self.automaton = ahocorasick.Automaton()
         self.right: dict[int, tuple] = {}
         self.left: dict[int, tuple] = {}
-        for piece, i in self.plain.items():
+        #: Characters that merges can use though they are no pieces: bytes, if left alone.
+        loose = sorted({c for piece in self.plain for c in piece} - self.plain.keys())
+        self.loose = dict(enumerate(loose, len(self.pieces)))
+        self.stride = len(self.pieces) + len(loose)
+        self.letters = {c for piece in self.plain for c in piece}
+        for i, piece in [*((i, piece) for piece, i in self.plain.items()), *self.loose.items()]:
             self._add(piece, i)
         self.automaton.make_automaton()
         self.outcome: dict[int, bool] = {}
-        #: Ids of words with a mark before them.
+        #: Ids of words with a mark before them, and of their parts.
+        self.parts: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         self.texts = [self._bytes_of(i, library) for i in ids]
 
@@ -123,7 +130,7 @@ class PieceModel:
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether merging the characters of both tokens ends in these two tokens."""
-        key = a * len(self.pieces) + b
+        key = a * self.stride + b
         found = self.outcome.get(key)
         if found is None:
             found = self.outcome[key] = self._stay_apart(a, b)
@@ -156,30 +163,44 @@ class PieceModel:
                 before = end - length
                 if before == 0 or (last[before] >= 0 and self.compatible(last[before], token)):
                     last[end], size[end] = token, length
-        ids = []
+        backwards: list[int] = []
         end = len(run)
         while end:
-            ids.append(last[end])
+            token = last[end]
+            if token in self.loose:
+                backwards += self._fallback(self.loose[token])[::-1]
+            else:
+                backwards.append(token)
             end -= size[end]
-        return ids[::-1]
-
-    def _encode_chunk(self, chunk: str) -> bytes:
-        ids: list[int] = []
-        for i, part in enumerate(self.known_run.split(chunk)):
-            ids += self._encode_run(part) if i % 2 else self._fallback(part)
-        return np.array(ids, "<i4").tobytes()
+        return backwards[::-1]
+
+    def _encode_word(self, word: str) -> bytes:
+        """Ids of a mark and a word; parts between which no piece can reach are kept alone."""
+        chunk, begin, found = MARK + word, 0, []
+        for i in range(1, len(chunk) + 1):
+            if i == len(chunk) or chunk[i - 1 : i + 1] not in self.joints:
+                part = chunk[begin:i]
+                ids = self.parts.get(part)
+                if ids is None:
+                    run = self._encode_run if part[0] in self.letters else self._fallback
+                    ids = self.parts[part] = np.array(run(part), "<i4").tobytes()
+                found.append(ids)
+                begin = i
+        return b"".join(found)
 
     def _fallback(self, text: str) -> list[int]:
         return [self.byte_ids[b] for b in text.encode()]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
-        known = self.words
-        if len(known) > CACHED_WORDS:
-            known.clear()
+        for table in (self.words, self.parts, self.outcome):
+            if len(table) > CACHED:
+                table.clear()
         cut = [_marked_words(text) for text in texts]
-        for word in set().union(*cut) - known.keys():
-            known[word] = self._encode_chunk(MARK + word)
+        known = self.words
+        for word in set().union(*cut):
+            if word not in known:
+                known[word] = self._encode_word(word)
         return [b"".join(map(known.__getitem__, words)) for words in cut]
 
     def decode(self, ids: list[int]) -> str:
@@ -200,13 +221,14 @@ def codec(path: str) -> Column:
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = load(path)
         for batch in batches:
-            packed = model.encode([text or "" for text in batch.to_pylist()])
+            some = list(in_groups([text or "" for text in batch.to_pylist()]))
+            packed = [ids for group in some for ids in model.encode(group)]
             sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
             values = np.frombuffer(b"".join(packed), "<i4")
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            texts = [model.decode(np.frombuffer(p, "<i4").tolist()) for p in packed]
+            texts = pa.array([model.decode(np.frombuffer(p, "<i4").tolist()) for p in packed], pa.string())
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))
-            yield pa.StructArray.from_arrays([ids, pa.array(texts, pa.string())], ["ids", "decoded"])
+            yield pa.StructArray.from_arrays([ids, texts], ["ids", "decoded"])
 
     return encoded
 

@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.taskcontext import TaskContext
 
 from scorewright.llm import range_coder
+from scorewright.llm.common import in_groups
 
 #: Unicode white space; a text without the rarer ones is cut faster.
 _RARE = "\t\x0b\x0c\r\x85\xa0  -     　"
@@ -45,7 +46,7 @@ _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _SPELLING = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 _SLOW = re.compile(f"[{_RARE}]")
 #: Words whose ids a worker keeps.
-CACHED_WORDS = 750_000
+CACHED_WORDS = 400_000
 #: Tokens of a block and of a partition of the files.
 BLOCK_TOKENS = 1 << 18
 PARTITION_TOKENS = 1 << 23
@@ -86,7 +87,7 @@ class Tokens:
         self.units: dict[str, bytes] = {"": b""}
         self.table: dict[str, bytes] = {}
 
-    def _learn(self, words: set[str]) -> None:
+    def _learn(self, words: list[str]) -> None:
         """Ids of words of a text as they stand after a space or, with it, a line end.
 
         A run of Latin letters is one unit of the pattern, with the space before it, and so
@@ -120,10 +121,8 @@ class Tokens:
         if len(self.units) > CACHED_WORDS:
             self.units = {"": b""}
         cut = [self._words(text) for text in texts]
-        met: set[str] = set()
-        for words in cut:
-            met.update(words[1:])
-        self._learn(met - self.table.keys())
+        met = set().union(*(words[1:] for words in cut))
+        self._learn([word for word in met if word not in self.table])
         found = []
         for text, words in zip(texts, cut):
             if words:
@@ -158,8 +157,9 @@ def token_ids(path: str, end_id: int) -> Column:
     def packed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tokens = load(path)
         for batch in batches:
-            texts = [text or "" for text in batch.to_pylist()]
-            yield pa.array([ids + ending for ids in tokens.encode(texts)], pa.binary())
+            some = in_groups([text or "" for text in batch.to_pylist()])
+            packed = [ids + ending for group in some for ids in tokens.encode(group)]
+            yield pa.array(packed, pa.binary())
 
     return packed
 

@@ -30,6 +30,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from scorewright.llm.common import in_groups
+
 UNKNOWN = "und"
 HELD_OUT_PART = 5
 CHAIN_WORDS = 128
@@ -37,8 +39,6 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 #: Hashed features, and potentials that a worker keeps.
 BUCKETS = 1 << 16
 CACHED_WORDS = 500_000
-#: Characters that are labelled in one go.
-_GO = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -291,16 +291,8 @@ def predict(docs: DataFrame, model: Model) -> Column:
 
 
 def _answers(model: Model, texts: list[str | None]) -> list[tuple[str, float, int, int]]:
-    answers: list[tuple[str, float, int, int]] = []
-    group: list[str] = []
-    size = 0
-    for text in texts:
-        group.append(text or "")
-        size += len(group[-1])
-        if size > _GO:
-            answers += _group_answers(model, group)
-            group, size = [], 0
-    return answers + _group_answers(model, group)
+    groups = in_groups([text or "" for text in texts])
+    return [answer for group in groups for answer in _group_answers(model, group)]
 
 
 def _group_answers(model: Model, texts: list[str]) -> list[tuple[str, float, int, int]]:

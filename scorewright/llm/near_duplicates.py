@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from scorewright.llm import bag_signatures
 from scorewright.llm.components import components
@@ -92,19 +92,18 @@ def _signed(rule: Rule):
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts, bags, size = [], [], [], 0
-            rows = zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()))
-            for i, (doc_id, text) in enumerate(rows, 1):
-                ids.append(doc_id)
+            texts, bags, size, begin = [], [], 0, 0
+            for i, text in enumerate(batch.column(1).cast(pa.binary()), 1):
                 texts.append(text.as_py())
                 bags.append(bag_of(texts[-1], rule.words))
                 size += len(bags[-1][0])
                 if size >= _GO or i == batch.num_rows:
                     found = group(texts, bags)
+                    doc_id, th = (batch.column(c).slice(begin, i - begin) for c in (0, 2))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids, pa.int64()), *found.columns], ["doc_id", *found.schema.names]
+                        [doc_id, th, *found.columns], ["doc_id", "th", *found.schema.names]
                     )
-                    ids, texts, bags, size = [], [], [], 0
+                    texts, bags, size, begin = [], [], 0, i
 
     return made
 
@@ -242,19 +241,26 @@ def _across_blocks(large: DataFrame, classes: DataFrame, rule: Rule) -> DataFram
     return every_p.unionByName(every_q)
 
 
+def _text_hash(text: str) -> Column:
+    """Tells rows with the same id apart."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th")
+
+
 def _signatures(docs: DataFrame, text: str, rule: Rule) -> DataFrame:
     """uid, doc_id, digest, bands, packed; written, so that the row numbers are fixed."""
     rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.coalesce(F.col(text), F.lit("")).alias("text"),
+        _text_hash(text),
     )
     signed = rows.mapInArrow(
-        _signed(rule), "doc_id long, digest binary, bands array<long>, packed binary"
+        _signed(rule), "doc_id long, th long, digest binary, bands array<long>, packed binary"
     )
     return materialize(signed.withColumn("uid", F.monotonically_increasing_id()), "near-signatures")
 
 
 def classes(docs: DataFrame, text: str = "text", rule: Rule = Rule()) -> DataFrame:
-    """(uid, doc_id, class): the class of each row is the smallest uid in it."""
+    """(uid, doc_id, th, class): the class of each row is the smallest uid in it."""
     return classes_of(_signatures(docs, text, rule), rule)
 
 
@@ -273,16 +279,31 @@ def classes_of(signed: DataFrame, rule: Rule = Rule()) -> DataFrame:
     joined = components(edges)
     of = joined.select(F.col("node").alias("first"), "component")
     return (
-        signed.select("uid", "doc_id", "digest")
+        signed.select("uid", "doc_id", "th", "digest")
         .join(same, "digest", "left")
         .join(of, "first", "left")
-        .select("uid", "doc_id", F.coalesce("component", "first", "uid").alias("class"))
+        .select("uid", "doc_id", "th", F.coalesce("component", "first", "uid").alias("class"))
     )
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", rule: Rule = Rule()) -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id, class_size, kept."""
-    return _named(materialize(classes(docs, text, rule), "near-classes")).drop("uid")
+    return _named(materialize(classes(docs, text, rule), "near-classes")).drop("uid", "th")
+
+
+def keep_one(docs: DataFrame, text: str = "text", rule: Rule = Rule()) -> DataFrame:
+    """The rows that stay, one of each class, all columns as they are.
+
+    Of rows with the same id and text one stays at most, as they are in one class.
+    """
+    named = _named(materialize(classes(docs, text, rule), "near-classes"))
+    stays = named.where("kept").select(F.col("doc_id").alias("id"), "th")
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc"), _text_hash(text).alias("hash"), F.struct("*").alias("row")
+    )
+    same = F.col("doc").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("th"))
+    kept = rows.join(stays, same, "left_semi")
+    return kept.dropDuplicates(["doc", "hash"]).select("row.*")
 
 
 def _named(found: DataFrame) -> DataFrame:
@@ -293,6 +314,7 @@ def _named(found: DataFrame) -> DataFrame:
     )
     return found.join(groups, "class").select(
         "uid",
+        "th",
         "doc_id",
         F.col("stays.doc_id").alias("class_id"),
         "class_size",

@@ -36,7 +36,8 @@ def local_session(name: str, cores: int = 8) -> SparkSession:
 def oracle_connection(sf_dir: str) -> duckdb.DuckDBPyConnection:
     connection = duckdb.connect()
     for file in sorted(Path(sf_dir).glob("*.parquet")):
-        connection.execute(f"create view {file.stem} as select * from '{file}'")
+        files = f"{file}/*.parquet" if file.is_dir() else file
+        connection.execute(f"create view {file.stem} as select * from '{files}'")
     return connection
 
 

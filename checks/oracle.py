@@ -68,19 +68,27 @@ _VIEWS = {
                ) as failed_rules
         from typed_users""",
     "typed_facts": """
-        select regexp_replace(userid, '[" ]', '', 'g') as userid, event_date,
-               try_cast(hour as int) as hour,
+        select regexp_replace(userid, '[" ]', '', 'g') as userid, parsed_date as event_date,
+               event_date as date_text, try_cast(hour as int) as hour,
                try_cast(regexp_replace(points, '["?]', '', 'g') as int) as points
-        from dated where event_date between date '2013-01-01' and date '2023-07-13'""",
+        from parsed""",
     "flagged_facts": """
-        select *, concat_ws(',',
+        select userid, event_date, hour, points, concat_ws(',',
                case when userid is null then 'userid_not_null' end,
-               case when event_date is null then 'event_date_not_null' end,
+               case when date_text is null then 'event_date_not_null' end,
                case when hour is null then 'hour_not_null' end,
                case when points is null then 'points_not_null' end,
                case when length(userid) > 36 then 'userid_max_length' end,
-               case when hour not between 0 and 23 then 'valid_hour' end) as failed_rules
+               case when date_text is not null and event_date is null
+                    then 'parseable_event_date' end,
+               case when hour not between 0 and 23 then 'valid_hour' end,
+               case when event_date < date '2013-01-01' or event_date > date '2023-07-13'
+                    then 'valid_event_date' end) as failed_rules
         from typed_facts""",
+    "clean_users": """
+        select userid, subscriber, country from flagged_users where failed_rules = ''""",
+    "clean_facts": """
+        select userid, event_date, hour, points from flagged_facts where failed_rules = ''""",
     "joined": """
         select e.userid, u.subscriber, u.country, e.event_date, e.hour, e.points
         from event_performance e left join users u on u.userid = e.userid""",
@@ -144,8 +152,10 @@ _DEPENDS = {
     "dated": ["parsed"],
     "typed_users": ["users_staging"],
     "flagged_users": ["typed_users"],
-    "typed_facts": ["dated"],
+    "typed_facts": ["parsed"],
     "flagged_facts": ["typed_facts"],
+    "clean_users": ["flagged_users"],
+    "clean_facts": ["flagged_facts"],
     "joined": ["users", "event_performance"],
     "monthly": ["event_performance"],
     "daily": ["event_performance"],
@@ -378,6 +388,8 @@ def _statistics(*entries: tuple[str, str]) -> str:
 
 
 _EVENTS = "(select count(distinct event_date) from event_performance)"
+_YEAR_DAYS = """(select cast(sum(date_diff('day', make_date(y, 1, 1), make_date(y + 1, 1, 1))) as bigint)
+    from (select distinct year(event_date) as y from event_performance))"""
 _PLAYERS = "(select count(distinct userid) from event_performance)"
 _USERS = "(select count(userid) from users)"
 
@@ -408,7 +420,27 @@ def _correlation_matrix() -> str:
     )
 
 
+def _after_cleaning(text: str) -> str:
+    """A query on the clean tables made from the raw ones, instead of the derived ones."""
+    chains = {
+        "users": "users_staging typed_users flagged_users clean_users",
+        "event_performance": "event_performance_staging parsed typed_facts flagged_facts clean_facts",
+    }
+    for name, chain in chains.items():
+        views = chain.split()
+        ctes = [f"{view} as ({_VIEWS[view]})" for view in views]
+        ctes.append(f"{name} as (select * from {views[-1]})")
+        text = text.replace(f"{name} as ({_VIEWS[name]})", ",\n".join(ctes))
+    return text
+
+
 def oracle_sql() -> dict[str, str]:
+    texts = _texts()
+    names = ("q30_points_summary", "q52_top_players_per_month", "q66_multiple_regression")
+    return texts | {f"{name}_after_cleaning": _after_cleaning(texts[name]) for name in names}
+
+
+def _texts() -> dict[str, str]:
     return {
         "s01_load_users_csv": _with("users_staging", "select * from users_staging"),
         "s02_load_facts_csv": _with(
@@ -421,11 +453,16 @@ def oracle_sql() -> dict[str, str]:
             " where event_date is not null group by event_date",
         ),
         "s07_persisted_step": _with("dated", "select * from dated"),
-        "s08_insert_select": _with(
+        "s02_malformed_lines": _with(
             "event_performance",
-            "select * from event_performance"
-            " where event_date between date '2013-01-01' and date '2023-07-13'",
-        ),
+            """
+            , lines as (
+                select *, userid || ',' || strftime(event_date, '%Y-%m-%d') || ',' || hour as line
+                from event_performance)
+            select line || ',' || points || ',x' as malformed_line from lines where points % 50 = 0
+            union all select line from lines where points % 50 = 1""",
+        ),
+        "s08_insert_select": _with("clean_facts", "select * from clean_facts"),
         "q01_registered_players": _with(
             "users", "select count(distinct userid) as num_players from users"
         ),
@@ -528,9 +565,18 @@ def oracle_sql() -> dict[str, str]:
         "q21_rejected_users": _with(
             "flagged_users", "select * from flagged_users where failed_rules <> ''"
         ),
-        "q22_clean_facts": _with(
-            "flagged_facts",
-            "select userid, event_date, hour, points from flagged_facts where failed_rules = ''",
+        "q22_clean_facts": _with("clean_facts", "select * from clean_facts"),
+        "q22_row_account": _with(
+            "event_performance_staging flagged_facts",
+            """
+            , counts as (
+                select count(*) filter (where failed_rules = '') as valid,
+                       count(*) filter (where failed_rules <> '') as rejected
+                from flagged_facts),
+            staging as (select count(*) as n from event_performance_staging)
+            select 'valid' as outcome, valid as num_rows from counts
+            union all select 'rejected', rejected from counts
+            union all select 'unaccounted', n - valid - rejected from counts, staging""",
         ),
         "q22_rejected_facts": _with(
             "flagged_facts", "select * from flagged_facts where failed_rules <> ''"
@@ -540,10 +586,7 @@ def oracle_sql() -> dict[str, str]:
             "select unnest(string_split(failed_rules, ',')) as rule, count(*) as num_rows"
             " from flagged_facts where failed_rules <> '' group by 1",
         ),
-        "q23_exported_facts": _with(
-            "flagged_facts",
-            "select userid, event_date, hour, points from flagged_facts where failed_rules = ''",
-        ),
+        "q23_exported_facts": _with("clean_facts", "select * from clean_facts"),
         "q24_matched_ids": _with(
             "users event_performance",
             "select count(distinct u.userid) as num_unique_users_tbl,"
@@ -567,14 +610,14 @@ def oracle_sql() -> dict[str, str]:
             "event_performance",
             _statistics(
                 ("num_gaming_events", _EVENTS),
-                ("gaming_event_yrly_pct", _percent(_EVENTS, "365", 2)),
+                ("gaming_event_yrly_pct", _percent(_EVENTS, _YEAR_DAYS, 2)),
             ),
         ),
         "q29_participation_stats": _with(
             "users event_performance",
             _statistics(
                 ("num_gaming_events", _EVENTS),
-                ("gaming_event_yrly_pct", _percent(_EVENTS, "365", 2)),
+                ("gaming_event_yrly_pct", _percent(_EVENTS, _YEAR_DAYS, 2)),
                 ("num_unique_users", _USERS),
                 ("participating_users_pct", _percent(_PLAYERS, _USERS, 2)),
             ),

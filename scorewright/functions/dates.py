@@ -16,7 +16,8 @@ SORTABLE_SEASON_NAMES = ("0_spring", "1_summer", "2_fall", "3_winter")
 
 def parse_month_day_year(column: str) -> Column:
     """Parse the ``M/D/YY`` or ``M/D/YYYY`` texts of a column; NULL for what is no calendar date."""
-    month, day, year = (f"split({column}, '/')[{i}]" for i in range(3))
+    column = "`" + column.replace("`", "``") + "`"
+    month, day, year = (f"split_part({column}, '/', {i})" for i in (1, 2, 3))
     century = f"case when length({year}) = 4 then '' when {year} >= '{CENTURY_PIVOT}' then '19' else '20' end"
     iso = f"concat({century}, {year}, '-', {month}, '-', {day})"
     return F.expr(f"case when {column} rlike '{MONTH_DAY_YEAR}' then try_cast({iso} as date) end")

@@ -14,9 +14,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 _TINY = 1e-300
 _EPS = 1e-15
+# Degrees of freedom from which the t tail is the normal one and its first correction: the
+# rest is below their inverse square, while the beta function loses digits in proportion.
+_NEARLY_NORMAL = 1e6
 
 
-def _continued_fraction(terms, limit: int = 20_000) -> float:
+def _continued_fraction(terms, limit: int = 1_000_000) -> float:
     """Evaluate ``1 / (1 + a1 / (1 + a2 / ...))`` for an endless iterator of a's."""
     value, c, d = 1.0, 1.0, 0.0
     for _, a in zip(range(limit), terms):
@@ -24,18 +27,35 @@ def _continued_fraction(terms, limit: int = 20_000) -> float:
         c = (1.0 + a / c) or _TINY
         value *= c * d
         if abs(c * d - 1.0) < _EPS:
-            break
-    return 1.0 / value
+            return 1.0 / value
+    raise ArithmeticError("a tail probability did not converge")
+
+
+def _log_gamma_rest(x: float) -> float:
+    """What Stirling's formula leaves out of the logarithm of the gamma function, x >= 10."""
+    y = 1.0 / (x * x)
+    return (1 / 12 - y * (1 / 360 - y * (1 / 1260 - y / 1680))) / x
+
+
+def _log_gamma_quotient(a: float, b: float) -> float:
+    """log(gamma(a + b) / gamma(a)), without the difference of two large numbers."""
+    if a < 100.0:
+        return math.lgamma(a + b) - math.lgamma(a)
+    stirling = (a - 0.5) * math.log1p(b / a) + b * math.log(a + b) - b
+    return stirling + _log_gamma_rest(a + b) - _log_gamma_rest(a)
 
 
-def beta_cdf(x: float, a: float, b: float) -> float:
-    """Regularised incomplete beta function."""
+def beta_cdf(x: float, a: float, b: float, rest: float | None = None) -> float:
+    """Regularised incomplete beta function; ``rest`` is 1 - x where it is known better."""
+    rest = 1.0 - x if rest is None else rest
+    if math.isnan(x) or math.isnan(rest):
+        return math.nan
     if x <= 0.0:
         return 0.0
-    if x >= 1.0:
+    if rest <= 0.0:
         return 1.0
     if x > (a + 1.0) / (a + b + 2.0):
-        return 1.0 - beta_cdf(1.0 - x, b, a)
+        return 1.0 - beta_cdf(rest, b, a, x)
 
     def terms():
         m = 0
@@ -44,15 +64,23 @@ def beta_cdf(x: float, a: float, b: float) -> float:
             m += 1
             yield m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
 
+    log_x = math.log(x) if x < 0.5 else math.log1p(-rest)
+    log_rest = math.log(rest) if rest < 0.5 else math.log1p(-x)
+    large, small = max(a, b), min(a, b)
     log_front = (
-        math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
+        _log_gamma_quotient(large, small) - math.lgamma(small) + a * log_x + b * log_rest
     )
     return math.exp(log_front) / a * _continued_fraction(terms())
 
 
 def t_two_sided(t: float, df: float) -> float:
     """P(|T| > |t|)."""
-    return beta_cdf(df / (df + t * t), df / 2.0, 0.5)
+    if math.isinf(t):
+        return 0.0
+    if df > _NEARLY_NORMAL:
+        density = math.exp(-t * t / 2.0) / math.sqrt(2.0 * math.pi)
+        return math.erfc(abs(t) / math.sqrt(2.0)) + density * (abs(t) ** 3 + abs(t)) / (2.0 * df)
+    return beta_cdf(df / (df + t * t), df / 2.0, 0.5, t * t / (df + t * t))
 
 
 def t_quantile(p: float, df: float) -> float:
@@ -73,7 +101,12 @@ def t_quantile(p: float, df: float) -> float:
 
 def f_upper(f: float, df_between: float, df_within: float) -> float:
     """P(F > f)."""
-    return beta_cdf(df_within / (df_within + df_between * f), df_within / 2.0, df_between / 2.0)
+    if math.isinf(f):
+        return 0.0
+    if df_within > _NEARLY_NORMAL**1.5:
+        return chi2_upper(f * df_between, df_between)
+    whole = df_within + df_between * f
+    return beta_cdf(df_within / whole, df_within / 2.0, df_between / 2.0, df_between * f / whole)
 
 
 def chi2_upper(x: float, df: float) -> float:
@@ -90,11 +123,15 @@ def chi2_upper(x: float, df: float) -> float:
             term *= half / n
             total += term
         return max(0.0, 1.0 - math.exp(log_front) * total)
-    # Far tail: 1 / (b0 - 1(1-a)/(b1 - 2(2-a)/(b2 - ...))) from the bottom up.
-    tail = 0.0
-    for k in range(3000, 0, -1):
-        tail = k * (k - a) / (half + 2 * k + 1 - a - tail)
-    return math.exp(log_front) / (half + 1.0 - a - tail)
+    # Far tail: 1 / (b0 - 1(1-a)/(b1 - 2(2-a)/(b2 - ...))), as a quotient 1 / (1 + a1 / (1 + ...)).
+    def terms():
+        k = 1
+        while True:
+            above, below = half + 2 * k - 1 - a, half + 2 * k + 1 - a
+            yield -k * (k - a) / (above * below)
+            k += 1
+
+    return math.exp(log_front) / (half + 1.0 - a) * _continued_fraction(terms())
 
 
 # Rational approximation of the normal quantile by Wichura (1988), algorithm AS 241,

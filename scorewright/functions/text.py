@@ -7,7 +7,7 @@ from pyspark.sql import Column, functions as F
 # Characters to strip from raw values, and the pattern of a suspicious score text.
 ID_DIRT = '[" ]'
 SCORE_DIRT = '["?]'
-ILLEGAL_SCORE = "^.*[^A-Za-z0-9 .-].*$"
+ILLEGAL_SCORE = "[^A-Za-z0-9 .-]"
 
 
 def show_spaces(text: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from scorewright.operators.ranking import group_quantiles, place_by_range
 from scorewright.sources.storage import materialize
@@ -86,5 +86,9 @@ def top_outliers(totals: DataFrame, attribute: str, level: str, k: int = 9) -> D
         .orderBy(F.desc("total_points"), "userid")
         .limit(k)
     )
-    threshold = top.agg(F.min("total_points")).scalar()
-    return top.withColumn("threshold", threshold).orderBy(F.desc("total_points"), "userid")
+    everything = Window.orderBy(F.desc("total_points"), "userid").rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing
+    )
+    return top.withColumn("threshold", F.min("total_points").over(everything)).orderBy(
+        F.desc("total_points"), "userid"
+    )

@@ -44,19 +44,18 @@ def typed_users(staging: DataFrame, attribute: str = "country") -> DataFrame:
     return staging.select("userid", F.col("subscriber").try_cast("int").alias("subscriber"), attribute)
 
 
-def typed_facts(
-    staging: DataFrame, first: date = FIRST_VALID_DATE, last: date = ANALYSIS_DATE
-) -> DataFrame:
-    """Repaired, typed facts of the events between two days."""
-    repaired = _with_parsed_date(
-        staging,
-        userid=strip_chars(F.col("userid"), ID_DIRT),
-        hour=F.col("hour").try_cast("int"),
-        points=strip_chars(F.col("points"), SCORE_DIRT).try_cast("int"),
-    )
-    return repaired.where(F.col("event_date").between(F.lit(first), F.lit(last))).select(
-        "userid", "event_date", "hour", "points"
-    )
+def typed_facts(staging: DataFrame) -> DataFrame:
+    """All rows, repaired and typed; ``no_date`` marks texts that are no calendar date."""
+    day = parse_month_day_year("event_date")
+    return quality.compute_once(
+        staging.select(
+            strip_chars(F.col("userid"), ID_DIRT).alias("userid"),
+            day.alias("event_date"),
+            F.col("hour").try_cast("int").alias("hour"),
+            strip_chars(F.col("points"), SCORE_DIRT).try_cast("int").alias("points"),
+            F.col("event_date").isNotNull().alias("no_date"),
+        )
+    ).withColumn("no_date", F.col("no_date") & F.col("event_date").isNull())
 
 
 def user_rules(levels: Sequence[str], attribute: str = "country") -> list[quality.Rule]:
@@ -70,22 +69,54 @@ def user_rules(levels: Sequence[str], attribute: str = "country") -> list[qualit
 
 def fact_rules(as_of: date = ANALYSIS_DATE) -> list[quality.Rule]:
     return [
-        *quality.not_null("userid", "event_date", "hour", "points"),
+        *quality.not_null("userid"),
+        quality.Rule("event_date_not_null", F.col("event_date").isNull() & ~F.col("no_date")),
+        *quality.not_null("hour", "points"),
         quality.max_length("userid", MAX_ID_LENGTH),
+        quality.Rule("parseable_event_date", F.col("no_date")),
         quality.in_range("hour", 0, 23),
         quality.in_range("event_date", F.lit(FIRST_VALID_DATE), F.lit(as_of)),
     ]
 
 
+def flagged_users(
+    staging: DataFrame, levels: Sequence[str], attribute: str = "country"
+) -> DataFrame:
+    """Every user row, typed, with the rules it breaks."""
+    return quality.flag(
+        typed_users(staging, attribute), user_rules(levels, attribute), unique="userid"
+    )
+
+
+def flagged_facts(staging: DataFrame, as_of: date = ANALYSIS_DATE) -> DataFrame:
+    """Every fact row, repaired and typed, with the rules it breaks."""
+    return quality.flag(typed_facts(staging), fact_rules(as_of), helpers=["no_date"])
+
+
 def clean_users(
     staging: DataFrame, levels: Sequence[str], attribute: str = "country"
 ) -> tuple[DataFrame, DataFrame]:
     """Valid users, and rejected rows with their reasons."""
-    return quality.validate(
-        typed_users(staging, attribute), user_rules(levels, attribute), unique="userid"
-    )
+    return quality.split_flagged(quality.compute_once(flagged_users(staging, levels, attribute)))
 
 
 def clean_facts(staging: DataFrame, as_of: date = ANALYSIS_DATE) -> tuple[DataFrame, DataFrame]:
-    """Valid facts, and rejected rows with their reasons (date drops are reported apart)."""
-    return quality.validate(typed_facts(staging, last=as_of), fact_rules(as_of))
+    """Valid facts, and rejected rows with their reasons; each row is in one of them."""
+    return quality.split_flagged(quality.compute_once(flagged_facts(staging, as_of)))
+
+
+def row_account(staging: DataFrame, flagged: DataFrame) -> DataFrame:
+    """Where the staging rows are: (outcome, num_rows) for valid and rejected ones, and the rest."""
+    fine = F.size("failed_rules") == 0
+    row = flagged.agg(
+        F.count_if(fine).alias("valid"),
+        F.count_if(~fine).alias("rejected"),
+        staging.agg(F.count("*")).scalar().alias("staging"),
+    )
+    unaccounted = F.col("staging") - F.col("valid") - F.col("rejected")
+    entries = [("valid", F.col("valid")), ("rejected", F.col("rejected")), ("unaccounted", unaccounted)]
+    return row.select(
+        F.inline(
+            F.array(*[F.struct(F.lit(name).alias("outcome"), n.alias("num_rows")) for name, n in entries])
+        )
+    )

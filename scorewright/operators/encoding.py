@@ -7,24 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 
-def levels_of(df: DataFrame, column: str, limit: int = 1000) -> list[str]:
-    """The sorted levels of a category; an error when there are more than ``limit``."""
-    found = df.select(column).where(F.col(column).isNotNull()).distinct().limit(limit + 1).collect()
-    if len(found) > limit:
-        raise ValueError(f"{column} has more than {limit} levels and is no category")
-    return sorted(row[0] for row in found)
-
-
 def dummy_columns(column: str, levels: Sequence[str]) -> list[str]:
     return [f"{column}_{level}" for level in levels]
 
 
-def one_hot(df: DataFrame, column: str, levels: Sequence[str] | None = None) -> DataFrame:
-    """Replace a category by one 0/1 column per level; unnamed levels are looked up."""
-    if levels is None:
-        levels = levels_of(df, column)
+def one_hot(df: DataFrame, column: str, levels: Sequence[str]) -> DataFrame:
+    """Replace a category by one 0/1 column per level; null stays null, other values fail."""
+    value = F.col(column)
+    message = F.concat(F.lit(f"{column} has no level "), value.cast("string"))
+    known = F.when(value.isNull() | value.isin(*levels), value).otherwise(
+        F.raise_error(message).cast(df.schema[column].dataType)
+    )
     dummies = {
-        name: F.when(F.col(column) == level, 1.0).otherwise(0.0)
+        name: (known == level).cast("double")
         for name, level in zip(dummy_columns(column, levels), levels)
     }
     return df.withColumns(dummies).drop(column)

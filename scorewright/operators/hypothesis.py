@@ -124,10 +124,13 @@ def contingency_table(
 
 
 def _with_expected(table: DataFrame) -> DataFrame:
-    """Add the counts expected under independence to a (level, positive, negative) table."""
+    """Add the counts expected under independence to a (level, positive, negative) table.
+
+    Products of counts are formed as doubles: they leave the range of whole numbers.
+    """
     positive = table.agg(F.sum("positive_users")).scalar()
     negative = table.agg(F.sum("negative_users")).scalar()
-    both = F.col("positive_users") + F.col("negative_users")
+    both = (F.col("positive_users") + F.col("negative_users")).cast("double")
     return table.withColumns(
         {
             "expected_positive": both * positive / (positive + negative),

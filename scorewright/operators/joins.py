@@ -26,11 +26,6 @@ def enrich_facts(facts: DataFrame, users: DataFrame, attribute: str = "country")
     )
 
 
-def users_with_facts(users: DataFrame, facts: DataFrame) -> DataFrame:
-    """Every registered user beside each of their fact rows, or one row without a fact."""
-    return users.join(facts, "userid", "left")
-
-
 def users_with_totals(users: DataFrame, facts: DataFrame, attribute: str = "country") -> DataFrame:
     """Every registered user with the total points, 0 for those who never played."""
     totals = facts.groupBy("userid").agg(F.sum("points").alias("total_points"))

@@ -9,6 +9,8 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from scorewright.sources.storage import materialize, new_path
+
 
 def rows_with_nulls(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Rows that miss a value in any of the columns."""
@@ -90,11 +92,16 @@ def _broken(rule: Rule) -> Column:
 
 
 def _with_copies(df: DataFrame, key: str) -> DataFrame:
-    """Add the number of rows of each repeated key; NULL for keys that occur once."""
-    repeated = (
+    """Add the number of rows of each repeated key; NULL for keys that occur once.
+
+    The repeated keys are written: with a plain scan on each side, adaptive execution can
+    split the rows of a key that occurs very often.
+    """
+    repeated = materialize(
         df.groupBy(key)
         .agg(F.count("*").alias("_copies"))
-        .where(F.col(key).isNotNull() & (F.col("_copies") > 1))
+        .where(F.col(key).isNotNull() & (F.col("_copies") > 1)),
+        "repeated-keys",
     )
     return df.join(repeated, key, "left").select(*df.columns, "_copies")
 
@@ -111,19 +118,42 @@ def _names(rules: Sequence[Rule]) -> Column:
     return F.array_compact(F.array(*[F.when(r.violated, F.lit(r.name)) for r in rules]))
 
 
+def flag(
+    df: DataFrame, rules: Sequence[Rule], unique: str | None = None, helpers: Sequence[str] = ()
+) -> DataFrame:
+    """Every row, with the names of the rules it breaks in ``failed_rules``.
+
+    A null passes a rule unless the rule is about nulls.  With ``unique`` every copy of a
+    repeated key breaks a rule.  ``helpers`` are columns for the rules alone; they go.
+    """
+    rows, all_rules = _prepare(df, rules, unique)
+    kept = [name for name in df.columns if name not in helpers]
+    return rows.select(*kept, _names(all_rules).alias("failed_rules"))
+
+
+def split_flagged(flagged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The valid rows of a flagged table, and the rejected ones with their reasons."""
+    fine = F.size("failed_rules") == 0
+    return flagged.where(fine).drop("failed_rules"), flagged.where(~fine)
+
+
+def write_split(flagged: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
+    """The valid and the rejected rows, written in one pass as two parts of the shared folder."""
+    spark, path = flagged.sparkSession, new_path(flagged.sparkSession, label)
+    marked = flagged.withColumn("valid", F.size("failed_rules") == 0)
+    marked.write.partitionBy("valid").parquet(path)
+    rows = spark.read.schema(marked.schema).parquet(path)
+    return rows.where("valid").drop("valid", "failed_rules"), rows.where("NOT valid").drop("valid")
+
+
 def validate(
-    df: DataFrame, rules: Sequence[Rule], unique: str | None = None
+    df: DataFrame, rules: Sequence[Rule], unique: str | None = None, helpers: Sequence[str] = ()
 ) -> tuple[DataFrame, DataFrame]:
     """Split rows into valid ones and rejected ones with the names of the rules they break.
 
-    A null passes a rule unless the rule is about nulls.  With ``unique`` every
-    copy of a repeated key is rejected.
+    A caller that needs both parts writes the flagged rows once and splits what it reads.
     """
-    rows, all_rules = _prepare(df, rules, unique)
-    broken = reduce(or_, [_broken(rule) for rule in all_rules])
-    valid = rows.where(~broken).select(*df.columns)
-    rejected = rows.where(broken).select(*df.columns, _names(all_rules).alias("failed_rules"))
-    return valid, rejected
+    return split_flagged(compute_once(flag(df, rules, unique, helpers)))
 
 
 def require(df: DataFrame, rules: Sequence[Rule], unique: str | None = None) -> DataFrame:

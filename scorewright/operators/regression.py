@@ -6,6 +6,7 @@ Only means and pairwise covariances reach the driver: p + 1 means and a
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -56,6 +57,10 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str], places: int = 4) -
     return row.select(F.inline(F.array(*lines)))
 
 
+# Shares of the variance below this are rounding of the covariances.
+_ROUNDING = 1e-13
+
+
 @dataclass(frozen=True)
 class LinearFit:
     """A least-squares fit with constant; the constant comes first in every list."""
@@ -67,7 +72,11 @@ class LinearFit:
 
     @property
     def t_values(self) -> list[float]:
-        return [c / s for c, s in zip(self.coefficients, self.std_errors)]
+        """Infinite for a coefficient without error, undefined for 0 without error."""
+        return [
+            c / s if s else math.copysign(math.inf, c) if c else math.nan
+            for c, s in zip(self.coefficients, self.std_errors)
+        ]
 
     @property
     def p_values(self) -> list[float]:
@@ -127,12 +136,18 @@ def fit_linear(df: DataFrame, y: str, xs: Sequence[str]) -> LinearFit:
     block = np.zeros((p + 1, p + 1))
     for i, j in pairs:
         block[i, j] = block[j, i] = n * sums[f"c{i}_{j}"]
-    if np.linalg.matrix_rank(block[:p, :p]) < p:
+    # The block is scaled to correlations, so that the units of the columns do not matter.
+    scale = np.sqrt(np.diag(block))
+    correlations = block / np.outer(np.where(scale > 0, scale, 1), np.where(scale > 0, scale, 1))
+    inner = correlations[:p, :p]
+    if not scale[:p].all() or np.linalg.matrix_rank(inner, hermitian=True) < p:
         raise ValueError(f"the predictors {', '.join(xs)} depend on each other or are constant")
-    inverse = np.linalg.inv(block[:p, :p])
-    slopes = inverse @ block[:p, p]
-    rss = block[p, p] - slopes @ block[:p, p]
-    variance = max(rss, 0.0) / df_residual
+    inverse = np.linalg.inv(inner) / np.outer(scale[:p], scale[:p])
+    weights = np.linalg.solve(inner, correlations[:p, p])
+    slopes = weights * scale[p] / scale[:p]
+    unexplained = 1.0 - weights @ correlations[:p, p]
+    exact = not scale[p] or unexplained <= p * _ROUNDING
+    variance = 0.0 if exact else unexplained * block[p, p] / df_residual
     x_means = means[:p]
     constant = means[p] - slopes @ x_means
     constant_error = np.sqrt(variance * (1.0 / n + x_means @ inverse @ x_means))

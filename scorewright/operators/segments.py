@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from scorewright.operators.joins import user_totals
 from scorewright.operators.shares import with_share
+from scorewright.sources.storage import materialize
 
 # Names of the sign classes.
 POSITIVE, NEGATIVE, ZERO = "total_points_positive", "total_points_negative", "total_points_zero"
@@ -35,19 +36,43 @@ def sign_class_frequencies(facts: DataFrame, places: int = 4) -> DataFrame:
 
 def facts_of_class(facts: DataFrame, user_type: str) -> DataFrame:
     """The fact rows of the players of one class (a semi-join on the class's ids)."""
+    return facts.join(_ids_of_class(facts, user_type), "userid", "left_semi")
+
+
+def _ids_of_class(facts: DataFrame, user_type: str) -> DataFrame:
+    """The ids of a class, written: adaptive execution splits a hot player's rows only where
+    the other side of the join is a plain scan."""
     ids = classified_totals(facts).where(F.col("user_type") == user_type).select("userid")
-    return facts.join(ids, "userid", "left_semi")
+    return materialize(ids, "class-ids")
+
+
+def users_with_facts_of_class(users: DataFrame, facts: DataFrame, user_type: str) -> DataFrame:
+    """Every user beside each fact row, if the user is of the class, or one row without a fact.
+
+    The users of the class are joined to the facts as the smaller side of an inner join; the
+    others follow with nulls.
+    """
+    ids = _ids_of_class(facts, user_type)
+    of_class = materialize(users.join(ids, "userid"), "class-users")
+    matched = of_class.join(facts, "userid")
+    rest = users.join(ids, "userid", "left_anti")
+    missing = [f for f in facts.schema.fields if f.name != "userid"]
+    return matched.unionByName(
+        rest.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in missing])
+    )
 
 
 def classified_facts(facts: DataFrame) -> DataFrame:
     """Every fact row of a player above or below zero, with the player's class.
 
-    One join serves both classes; a hot player's rows are split by adaptive execution.
+    One join serves both classes.  The classes are written first, so that adaptive
+    execution can split a hot player's rows.
     """
-    classes = (
+    classes = materialize(
         classified_totals(facts)
         .where(F.col("user_type").isin(POSITIVE, NEGATIVE))
-        .select("userid", "user_type")
+        .select("userid", "user_type"),
+        "class-ids",
     )
     return facts.join(classes, "userid")
 

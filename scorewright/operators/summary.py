@@ -36,29 +36,42 @@ def daily_points(facts: DataFrame) -> DataFrame:
 
 
 def _num_events(facts: DataFrame) -> DataFrame:
-    return facts.agg(F.count_distinct("event_date").alias("num_events"))
+    """Number of events, and of all days of the years they are in."""
+    first = F.trunc("event_date", "year")
+    days = F.datediff(F.add_months(first, 12), first)
+    return (
+        facts.select("event_date")
+        .distinct()
+        .groupBy(F.year("event_date").alias("year"))
+        .agg(F.count("event_date").alias("events"), F.max(days).alias("days"))
+        .agg(
+            F.coalesce(F.sum("events"), F.lit(0)).cast("bigint").alias("num_events"),
+            F.sum("days").alias("num_days"),
+        )
+    )
 
 
-def _event_share(num_events: Column, days_in_year: int) -> Column:
-    return percent(num_events, F.lit(days_in_year), 2)
+def _event_share() -> Column:
+    return percent(F.col("num_events"), F.col("num_days"), 2)
 
 
-def event_stats(facts: DataFrame, days_in_year: int = 365) -> DataFrame:
-    """Number of events, and events as a percentage of the days of a year."""
+def event_stats(facts: DataFrame) -> DataFrame:
+    """Number of events, and events as a percentage of the days of their years."""
     num_events = F.col("num_events")
     return unpivot_row(
         _num_events(facts),
         [
             ("num_gaming_events", num_events),
-            ("gaming_event_yrly_pct", _event_share(num_events, days_in_year)),
+            ("gaming_event_yrly_pct", _event_share()),
         ],
     )
 
 
-def participation_stats(facts: DataFrame, users: DataFrame, days_in_year: int = 365) -> DataFrame:
+def participation_stats(facts: DataFrame, users: DataFrame) -> DataFrame:
     """Events, registered users and the percentage of them who played."""
     row = _num_events(facts).select(
         "num_events",
+        "num_days",
         users.agg(F.count("userid")).scalar().alias("num_users"),
         facts.agg(F.count_distinct("userid")).scalar().alias("num_players"),
     )
@@ -67,7 +80,7 @@ def participation_stats(facts: DataFrame, users: DataFrame, days_in_year: int =
         row,
         [
             ("num_gaming_events", num_events),
-            ("gaming_event_yrly_pct", _event_share(num_events, days_in_year)),
+            ("gaming_event_yrly_pct", _event_share()),
             ("num_unique_users", num_users),
             ("participating_users_pct", percent(F.col("num_players"), num_users, 2)),
         ],

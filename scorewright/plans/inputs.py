@@ -9,11 +9,11 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from scorewright.operators import encoding
-from scorewright.operators.cleaning import clean_facts, clean_users, normalise_dates
+from scorewright.operators.cleaning import flagged_facts, flagged_users, normalise_dates
 from scorewright.operators.joins import users_with_totals
+from scorewright.operators.quality import write_split
 from scorewright.sources import derived, schemas
-from scorewright.sources.csv_files import load_csv
-from scorewright.sources.storage import materialize
+from scorewright.sources.csv_files import load_csv_lines
 
 
 class Inputs:
@@ -24,8 +24,15 @@ class Inputs:
     users: DataFrame
     facts: DataFrame
 
-    def __init__(self, spark: SparkSession, attribute: str, levels: Sequence[str]):
+    def __init__(
+        self,
+        spark: SparkSession,
+        attribute: str,
+        levels: Sequence[str],
+        as_of: date = schemas.ANALYSIS_DATE,
+    ):
         self.spark = spark
+        self.as_of = as_of
         self.attribute = attribute
         self.levels = tuple(levels)
 
@@ -37,6 +44,14 @@ class Inputs:
     def dummies(self) -> list[str]:
         return encoding.dummy_columns(self.attribute, self.levels)
 
+    def flagged_users(self) -> DataFrame:
+        """Every staging user with the rules it breaks."""
+        return flagged_users(self.staging_users, self.levels, self.attribute)
+
+    def flagged_facts(self) -> DataFrame:
+        """Every staging fact, repaired, with the rules it breaks."""
+        return flagged_facts(self.staging_facts, self.as_of)
+
     @cached_property
     def dated_facts(self) -> DataFrame:
         """Staging facts after the date repair."""
@@ -82,8 +97,43 @@ class OrderTables(Inputs):
         return derived.facts(self.spark, self.folder)
 
 
-class CsvTables(Inputs):
-    """Raw CSV files; their cleaned tables are written once to the shared folder."""
+class Cleaned(Inputs):
+    """Inputs whose users and facts are the valid staging rows.
+
+    The flagged rows are written once to the shared folder, valid and rejected rows apart.
+    """
+
+    @cached_property
+    def _checked_users(self) -> tuple[DataFrame, DataFrame]:
+        return write_split(self.flagged_users(), "users")
+
+    @cached_property
+    def _checked_facts(self) -> tuple[DataFrame, DataFrame]:
+        return write_split(self.flagged_facts(), "event-performance")
+
+    @cached_property
+    def users(self) -> DataFrame:
+        return self._checked_users[0]
+
+    @cached_property
+    def facts(self) -> DataFrame:
+        return self._checked_facts[0]
+
+    @property
+    def rejected_users(self) -> DataFrame:
+        return self._checked_users[1]
+
+    @property
+    def rejected_facts(self) -> DataFrame:
+        return self._checked_facts[1]
+
+
+class CleanedOrderTables(Cleaned, OrderTables):
+    """The raw form of the derived tables, cleaned."""
+
+
+class CsvTables(Cleaned):
+    """Raw CSV files, cleaned; lines that do not fit the columns are kept apart."""
 
     def __init__(
         self,
@@ -94,17 +144,10 @@ class CsvTables(Inputs):
         levels: Sequence[str] = schemas.COUNTRY_LEVELS,
         as_of: date = schemas.ANALYSIS_DATE,
     ):
-        super().__init__(spark, attribute, levels)
-        self.as_of = as_of
-        self.staging_users = load_csv(spark, users_path, schemas.staging_users(attribute))
-        self.staging_facts = load_csv(spark, facts_path, schemas.staging_facts())
-
-    @cached_property
-    def users(self) -> DataFrame:
-        valid, _ = clean_users(self.staging_users, self.levels, self.attribute)
-        return materialize(valid, "users")
-
-    @cached_property
-    def facts(self) -> DataFrame:
-        valid, _ = clean_facts(self.staging_facts, self.as_of)
-        return materialize(valid, "event-performance")
+        super().__init__(spark, attribute, levels, as_of)
+        self.staging_users, self.malformed_users = load_csv_lines(
+            spark, users_path, schemas.staging_users(attribute)
+        )
+        self.staging_facts, self.malformed_facts = load_csv_lines(
+            spark, facts_path, schemas.staging_facts()
+        )

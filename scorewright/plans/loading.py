@@ -8,10 +8,16 @@ from scorewright.functions.text import has_illegal_chars, show_spaces, truncate
 from scorewright.operators import cleaning, quality, ranking
 from scorewright.plans.inputs import Inputs
 from scorewright.sources import schemas, tables
-from scorewright.sources.csv_files import export_csv, load_csv
+from scorewright.sources.csv_files import export_csv, load_csv, load_csv_lines
 from scorewright.sources.storage import new_path
 
 
+def _own_table(t: Inputs, name: str) -> tuple[str, str]:
+    """A table name and a place that no other table has."""
+    place = new_path(t.spark, name)
+    return f"{name}_{place.rsplit('-', 1)[1]}", place
+
+
 def s01_load_users_csv(t: Inputs) -> DataFrame:
     path = new_path(t.spark, "users-csv")
     export_csv(t.staging_users, path)
@@ -24,8 +30,22 @@ def s02_load_facts_csv(t: Inputs) -> DataFrame:
     return load_csv(t.spark, path, schemas.staging_facts())
 
 
+def s02_malformed_lines(t: Inputs) -> DataFrame:
+    """Facts as text, with lines that have a field too many or too few."""
+    path = new_path(t.spark, "ragged-csv")
+    day = F.date_format("event_date", "yyyy-MM-dd")
+    line = F.concat_ws(",", "userid", day, "hour", "points")
+    ragged = (
+        F.when(F.col("points") % 50 == 0, F.concat(line, F.lit(",x")))
+        .when(F.col("points") % 50 == 1, F.concat_ws(",", "userid", day, "hour"))
+        .otherwise(line)
+    )
+    t.facts.select(ragged.alias("value")).write.text(path)
+    return load_csv_lines(t.spark, path, schemas.staging_facts(), header=False)[1]
+
+
 def s03_replace_staging_table(t: Inputs) -> DataFrame:
-    return tables.replace_table(t.staging_users, "users_staging")
+    return tables.replace_table(t.staging_users, *_own_table(t, "users_staging"))
 
 
 def s06_sql_with_dates(t: Inputs) -> DataFrame:
@@ -40,19 +60,21 @@ def s06_sql_with_dates(t: Inputs) -> DataFrame:
 
 
 def s07_persisted_step(t: Inputs) -> DataFrame:
-    return tables.run_step(cleaning.normalise_dates, t.staging_facts, table="dated_facts")
+    name, location = _own_table(t, "dated_facts")
+    return tables.run_step(
+        cleaning.normalise_dates, t.staging_facts, table=name, location=location
+    )
 
 
 def s08_insert_select(t: Inputs) -> DataFrame:
-    empty = t.spark.createDataFrame([], schemas.clean_facts())
-    tables.replace_table(empty, "event_performance")
+    """Staging rows, repaired, into an empty clean table, but for those that break a rule."""
+    name, location = _own_table(t, "event_performance")
+    tables.replace_table(t.spark.createDataFrame([], schemas.clean_facts()), name, location)
     return tables.insert_select(
-        t.facts,
-        "event_performance",
+        t.flagged_facts(),
+        name,
         ["points", "hour", "event_date", "userid"],
-        where=F.col("event_date").between(
-            F.lit(schemas.FIRST_VALID_DATE), F.lit(schemas.ANALYSIS_DATE)
-        ),
+        where=F.size("failed_rules") == 0,
     )
 
 
@@ -149,18 +171,22 @@ def q21_rejected_users(t: Inputs) -> DataFrame:
 
 
 def q22_clean_facts(t: Inputs) -> DataFrame:
-    return cleaning.clean_facts(t.staging_facts)[0]
+    return cleaning.clean_facts(t.staging_facts, t.as_of)[0]
 
 
 def q22_rejected_facts(t: Inputs) -> DataFrame:
-    return _rules_as_text(cleaning.clean_facts(t.staging_facts)[1])
+    return _rules_as_text(cleaning.clean_facts(t.staging_facts, t.as_of)[1])
 
 
 def q22_rejection_counts(t: Inputs) -> DataFrame:
-    return quality.rejection_counts(cleaning.clean_facts(t.staging_facts)[1])
+    return quality.rejection_counts(cleaning.clean_facts(t.staging_facts, t.as_of)[1])
+
+
+def q22_row_account(t: Inputs) -> DataFrame:
+    return cleaning.row_account(t.staging_facts, t.flagged_facts())
 
 
 def q23_exported_facts(t: Inputs) -> DataFrame:
     path = new_path(t.spark, "event-performance-clean")
-    export_csv(cleaning.clean_facts(t.staging_facts)[0], path)
+    export_csv(cleaning.clean_facts(t.staging_facts, t.as_of)[0], path)
     return load_csv(t.spark, path, schemas.clean_facts())

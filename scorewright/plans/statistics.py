@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from scorewright.operators import boxplot, hypothesis, joins, regression, segments
+from scorewright.operators import boxplot, hypothesis, regression, segments
 from scorewright.plans.inputs import Inputs
 from scorewright.sources.storage import materialize
 
@@ -92,13 +92,11 @@ def q67_positive_facts(t: Inputs) -> DataFrame:
 
 
 def q68_users_with_negative_facts(t: Inputs) -> DataFrame:
-    facts = segments.facts_of_class(t.facts, segments.NEGATIVE)
-    return joins.users_with_facts(t.users, facts)
+    return segments.users_with_facts_of_class(t.users, t.facts, segments.NEGATIVE)
 
 
 def q68_users_with_positive_facts(t: Inputs) -> DataFrame:
-    facts = segments.facts_of_class(t.facts, segments.POSITIVE)
-    return joins.users_with_facts(t.users, facts)
+    return segments.users_with_facts_of_class(t.users, t.facts, segments.POSITIVE)
 
 
 def q68_class_row_shares(t: Inputs) -> DataFrame:

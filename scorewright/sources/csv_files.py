@@ -2,20 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from scorewright.sources.storage import materialize
 
-def load_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Read headed CSV by position: header texts are skipped, doubled quotes are unescaped."""
+
+_MALFORMED = "malformed_line"
+
+
+def _reader(spark: SparkSession, schema: T.StructType, header: bool, mode: str):
     return (
         spark.read.schema(schema)
-        .option("header", True)
+        .option("header", header)
+        .option("enforceSchema", True)
         .option("escape", '"')
         .option("dateFormat", "yyyy-MM-dd")
-        .csv(path)
+        .option("columnPruning", False)
+        .option("mode", mode)
     )
 
 
+def load_csv(spark: SparkSession, path: str, schema: T.StructType, header: bool = True) -> DataFrame:
+    """Read CSV by position: header texts are skipped, doubled quotes are unescaped.
+
+    A line with another number of fields, or a value that does not fit its type, fails the job.
+    """
+    return _reader(spark, schema, header, "FAILFAST").csv(path)
+
+
+def load_csv_lines(
+    spark: SparkSession, path: str, schema: T.StructType, header: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    """The lines that fit the schema, and the others as they stand (``malformed_line``).
+
+    The parsed lines are written once to the shared folder; both parts are read from there.
+    """
+    noted = T.StructType([*schema.fields, T.StructField(_MALFORMED, T.StringType())])
+    reader = _reader(spark, noted, header, "PERMISSIVE")
+    parsed = reader.option("columnNameOfCorruptRecord", _MALFORMED).csv(path)
+    lines = materialize(parsed, "csv-lines")
+    bad = F.col(_MALFORMED).isNotNull()
+    return lines.where(~bad).drop(_MALFORMED), lines.where(bad).select(_MALFORMED)
+
+
 def export_csv(df: DataFrame, path: str) -> None:
     """Write headed CSV that keeps outer blanks and doubles inner quotes."""
     (

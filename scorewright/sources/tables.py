@@ -7,15 +7,18 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from scorewright.operators.joins import enrich_facts
-from scorewright.sources.storage import app_dir
+from scorewright.sources.storage import new_path
 
 
-def replace_table(df: DataFrame, name: str) -> DataFrame:
-    """Drop and re-create a table from a frame; its files live in the shared folder."""
-    spark = df.sparkSession
-    path = f"{app_dir(spark)}/tables/{name}"
-    df.write.mode("overwrite").option("path", path).saveAsTable(name)
-    return spark.table(name)
+def replace_table(df: DataFrame, name: str, location: str | None = None) -> DataFrame:
+    """Drop and re-create a table from a frame; ``name`` may hold a database.
+
+    Without a ``location`` the files are this application's, in the shared folder; a table
+    that is to outlive it in a lasting catalog needs a location that does so too.
+    """
+    place = location or new_path(df.sparkSession, name)
+    df.write.mode("overwrite").option("path", place).saveAsTable(name)
+    return df.sparkSession.table(name)
 
 
 def insert_select(
@@ -42,9 +45,11 @@ def run_query(
     return result.select(*index_columns, *others)
 
 
-def run_step(step: Callable[..., DataFrame], *inputs: DataFrame, table: str) -> DataFrame:
+def run_step(
+    step: Callable[..., DataFrame], *inputs: DataFrame, table: str, location: str | None = None
+) -> DataFrame:
     """Run one pipeline step and persist its result as a table."""
-    return replace_table(step(*inputs), table)
+    return replace_table(step(*inputs), table, location)
 
 
 def create_views(

@@ -101,9 +101,15 @@ def test_cleaning_of_every_kind_of_dirt(spark):
     ]
     assert sorted((str(r["userid"]), *r["failed_rules"]) for r in rejected.collect()) == [
         ("None", "userid_not_null"),
+        ("u4", "parseable_event_date"),
+        ("u5", "valid_event_date"),
+        ("u6", "valid_event_date"),
         ("u7", "valid_hour"),
         ("u8", "points_not_null"),
+        ("u9", "event_date_not_null"),
     ]
+    account = cleaning.row_account(staging, cleaning.flagged_facts(staging)).collect()
+    assert {tuple(r) for r in account} == {("valid", 3), ("rejected", 7), ("unaccounted", 0)}
     kept, dropped = cleaning.split_invalid_dates(staging)
     assert [r["userid"] for r in dropped.collect()] == ["u4"]
     assert kept.count() == 9 and cleaning.normalise_dates(staging).count() == 9

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from checks.compare import difference, oracle_connection
 from checks.oracle import oracle_sql
+from scorewright.operators import quality
 from scorewright.plans.registry import jobs
 
 SETTINGS = {
@@ -23,13 +25,13 @@ NAMES = """
     q42_sign_class_frequencies q43_monthly_activity q45_monthly_points_of_positive_users
     q47_class_changes q52_top_players_per_month q53_rows_per_level q56_user_totals q57_box_stats
     q58_top_outliers q62_probability_plot q67_classified_facts q67_positive_facts
-    q68_class_row_shares q69_contingency_table
+    q68_class_row_shares q68_users_with_positive_facts q68_users_with_negative_facts q69_contingency_table
 """.split()
 
 
 @pytest.fixture(scope="module")
 def skewed(spark, tmp_path_factory):
-    folder = tmp_path_factory.mktemp("skewed")
+    folder = tmp_path_factory.mktemp("uneven")
     orders = spark.range(0, 30_000, 1, 6).selectExpr(
         "id as o_orderkey",
         "case when hash(id) % 3 = 0 then 7L else pmod(xxhash64(id), 3000) end as o_custkey",
@@ -53,9 +55,7 @@ def skewed(spark, tmp_path_factory):
         ),
     }
     for name, frame in tables.items():
-        frame.toPandas().astype(
-            {"o_orderdate": "datetime64[us]"} if name == "orders" else {}
-        ).to_parquet(folder / f"{name}.parquet", coerce_timestamps="us")
+        frame.write.parquet(str(folder / f"{name}.parquet"))
     before = {key: spark.conf.get(key, None) for key in SETTINGS}
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
@@ -72,9 +72,40 @@ def test_job_on_skewed_tables(spark, skewed, name):
     assert difference(jobs()[name](spark, folder), connection, oracle_sql()[name]) is None
 
 
-@pytest.mark.parametrize("name", ["q36_enriched_facts", "q67_classified_facts"])
-def test_the_hot_player_is_split(spark, skewed, name):
-    folder, _ = skewed
+def _joins_that_ran(spark, folder, name):
     result = jobs()[name](spark, folder)
     result.collect()
-    assert "skewed" in result._jdf.queryExecution().executedPlan().toString()
+    plan = result._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.split("== Initial Plan ==")[0].splitlines() if "SortMergeJoin" in line]
+
+
+SPLIT = """
+    q36_enriched_facts q67_classified_facts q67_positive_facts q68_users_with_positive_facts
+    q68_users_with_negative_facts
+""".split()
+
+
+@pytest.mark.parametrize("name", SPLIT)
+def test_the_hot_player_is_split(spark, skewed, name):
+    assert any("skew=true" in join for join in _joins_that_ran(spark, skewed[0], name))
+
+
+def test_without_the_settings_nothing_is_split(spark, skewed):
+    key = "spark.sql.adaptive.skewJoin.enabled"
+    spark.conf.set(key, "false")
+    try:
+        joins = _joins_that_ran(spark, skewed[0], "q67_positive_facts")
+    finally:
+        spark.conf.unset(key)
+    assert joins and not any("skew=true" in join for join in joins)
+
+
+def test_rows_of_a_hot_repeated_key_are_split(spark, skewed):
+    users = spark.range(0, 60_000, 1, 6).selectExpr(
+        "case when id % 3 = 0 then 'same' else cast(id as string) end as userid", "sha2(cast(id as string), 256) as note"
+    )
+    users.write.parquet(f"{skewed[0]}/repeats")
+    flagged = quality.flag(spark.read.parquet(f"{skewed[0]}/repeats"), [], unique="userid")
+    assert flagged.where(F.size("failed_rules") > 0).count() == 20_000
+    flagged.collect()
+    assert "skew=true" in flagged._jdf.queryExecution().executedPlan().toString()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from scorewright.plans.inputs import CsvTables
 from scorewright.plans.registry import jobs_on_inputs
 from scorewright.sources import schemas, tables
-from scorewright.sources.csv_files import export_csv, load_csv
+from scorewright.sources.csv_files import export_csv, load_csv, load_csv_lines
 from scorewright.sources.storage import materialize, shared_dir
 
 USERS = """id,attribute1,attribute2
@@ -47,6 +47,23 @@ def loaded(spark, tmp_path_factory):
 def test_loading_by_position(loaded):
     raw = {tuple(r) for r in loaded.staging_facts.collect()}
     assert ("u1 ", "1/2/19", "16", '"732"') in raw and len(raw) == 9
+    assert loaded.malformed_facts.count() == loaded.malformed_users.count() == 0
+
+
+def test_lines_that_do_not_fit_are_kept_apart_or_fail(spark, tmp_path):
+    (tmp_path / "ragged.csv").write_text("a,b,c,d\nu1,x,1,2\nu2,x,1\nu3,x,1,2,3\n")
+    rows, bad = load_csv_lines(spark, str(tmp_path / "ragged.csv"), schemas.staging_facts())
+    assert [tuple(r) for r in rows.collect()] == [("u1", "x", "1", "2")]
+    assert sorted(r[0] for r in bad.collect()) == ["u2,x,1", "u3,x,1,2,3"]
+    for line in ("u1,bad,1,2", "u1,2019-01-02,x,2", "u1,2019-01-02,99999999999,2", "u1,2019-01-02,1"):
+        (tmp_path / "typed.csv").write_text(f"a,b,c,d\n{line}\n")
+        with pytest.raises(Exception, match="(?i)malformed|failfast|cast|parse"):
+            load_csv(spark, str(tmp_path / "typed.csv"), schemas.clean_facts()).collect()
+
+
+def test_rejected_rows_of_loaded_files(loaded):
+    assert {r["userid"] for r in loaded.rejected_facts.collect()} == {"u3", "g9"}
+    assert loaded.rejected_users.count() == 0
     assert loaded.staging_users.columns == ["userid", "subscriber", "category"]
 
 

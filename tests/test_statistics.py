@@ -9,6 +9,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
+from scorewright.functions.distributions import t_two_sided
 from scorewright.operators import boxplot, encoding, hypothesis, ranking, regression, segments, series
 from scorewright.plans.inputs import OrderTables
 from tests.conftest import SMALL
@@ -188,11 +189,43 @@ def test_probability_plot(spark):
     assert [r["theoretical"] for r in rows] == pytest.approx([NormalDist().inv_cdf(m) for m in medians])
 
 
-def test_levels_are_bounded(spark):
-    frame = spark.createDataFrame([("b",), ("a",), (None,), ("b",)], "c string")
-    assert encoding.levels_of(frame, "c") == ["a", "b"]
-    with pytest.raises(ValueError, match="more than 1"):
-        encoding.levels_of(frame, "c", 1)
+def test_one_hot_keeps_null_and_refuses_other_levels(spark):
+    frame = spark.createDataFrame([("b",), ("a",), (None,)], "c string")
+    coded = encoding.one_hot(frame, "c", ["a", "b"])
+    assert [tuple(r) for r in coded.collect()] == [(0.0, 1.0), (1.0, 0.0), (None, None)]
+    with pytest.raises(Exception, match="c has no level b"):
+        encoding.one_hot(frame, "c", ["a"]).collect()
+
+
+def test_expected_counts_beyond_whole_numbers(spark):
+    n = 4_000_000_000
+    table = spark.createDataFrame([("a", n, n), ("b", n, 3 * n)], "level string, positive_users long, negative_users long")
+    rows = {r["level"]: r for r in hypothesis.expected_counts(table).collect()}
+    assert rows["a"]["expected_positive"] == pytest.approx(2 * n / 3)
+    assert hypothesis.chi_square(spark, table).first()["p_value"] == 0.0
+
+
+def test_exact_fit_and_columns_of_very_different_size(spark):
+    flat = spark.range(10).selectExpr("cast(id as double) as x", "0D as y", "2D * id + 1 as z")
+    fit = regression.fit_linear(flat, "y", ["x"])
+    assert fit.coefficients == [0.0, 0.0] and all(map(math.isnan, fit.t_values))
+    line = regression.fit_linear(flat, "z", ["x"])
+    assert line.coefficients == pytest.approx([1, 2]) and line.t_values[1] == math.inf
+    assert line.p_values == [0.0, 0.0] and line.table(spark).count() == 2
+    mixed = spark.range(200).selectExpr(
+        "id % 2 as flag", "(id * 7919 % 200) * 1e12 as huge", "id % 2 * 3 + (id * 7919 % 200) * 5 + id % 3 as y"
+    )
+    fit = regression.fit_linear(mixed, "y", ["flag", "huge"])
+    assert fit.coefficients[1] == pytest.approx(3, abs=0.1)
+    assert fit.coefficients[2] == pytest.approx(5e-12, rel=1e-2)
+    with pytest.raises(ValueError, match="depend on each other"):
+        regression.fit_linear(mixed.withColumn("twice", F.col("huge") * 2), "y", ["huge", "twice"])
+
+
+def test_tails_at_very_many_degrees_of_freedom():
+    for df in (1e6, 1e9, 1e11):
+        assert t_two_sided(1.959963984540054, df) == pytest.approx(0.05, abs=1e-6 if df < 1e9 else 1e-9)
+        assert t_two_sided(1e-3, df) == pytest.approx(2 * (1 - NormalDist().cdf(1e-3)), abs=1e-9)
 
 
 def test_totals_agree_between_views_of_the_facts(spark):

@@ -40,8 +40,14 @@ def last_values(df: DataFrame, column: str, k: int, name: str) -> DataFrame:
 
 
 def first_next_to_last(df: DataFrame, column: str, k: int = 3) -> DataFrame:
-    """The ``k`` smallest values beside the ``k`` largest ones, paired by position."""
-    ends = df.where(F.col(column).isNotNull())
+    """The ``k`` smallest values beside the ``k`` largest ones, paired by position.
+
+    The rows are counted by value first, so both ends read one small shuffle; at most ``k``
+    repeats of a value matter.
+    """
+    counted = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_n"))
+    repeats = F.sequence(F.lit(1), F.least("_n", F.lit(k)).cast("int"))
+    ends = counted.select(column, F.explode(repeats))
     first = first_values(ends, column, k, "earliest_dates")
     last = last_values(ends, column, k, "latest_dates")
     up = F.row_number().over(Window.orderBy("earliest_dates"))
@@ -58,8 +64,9 @@ def first_next_to_last(df: DataFrame, column: str, k: int = 3) -> DataFrame:
 class Placed:
     """Rows written in range order, and the size of every range (per group in it).
 
-    ``sizes`` has ``_before``, the group's rows in earlier ranges, ``_size`` and the
-    group's number of rows ``n``.
+    ``rows`` has ``_place``, which counts up with the order in each range.  ``sizes`` has
+    ``_first``, the group's first place in the range, ``_before``, the group's rows in
+    earlier ranges, ``_size`` and the group's number of rows ``n``.
     """
 
     rows: DataFrame
@@ -73,22 +80,26 @@ class Placed:
 
 
 def place_by_range(df: DataFrame, order: Sequence[str], within: Sequence[str] = ()) -> Placed:
-    """Range-partition rows by ``within`` and a unique order, and write them out.
+    """Range-partition and sort rows by ``within`` and a unique order, and write them out.
 
     Large groups and runs of ties are split alike, because the order is unique.  The
-    write fixes each row's range, whatever happens to tasks later.  The sizes, one row
-    per range and group in it, are written too, so that Catalyst knows their size when
-    it chooses a join.
+    write fixes each row's range and place in it, whatever happens to tasks later, so the
+    rows are shuffled and sorted once.  The sizes, one row per range and group in it, are
+    written too, so that Catalyst knows their size when it chooses a join.
     """
+    keys = [*within, *order]
     rows = materialize(
-        df.repartitionByRange(*within, *order).withColumn("_range", F.spark_partition_id()),
+        df.repartitionByRange(*keys)
+        .sortWithinPartitions(*keys)
+        .withColumn("_place", F.monotonically_increasing_id())
+        .withColumn("_range", F.shiftright("_place", 33)),
         "placed",
     )
     group = Window.partitionBy(*within)
     before = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     sizes = materialize(
         rows.groupBy(*within, "_range")
-        .agg(F.count("*").alias("_size"))
+        .agg(F.count("*").alias("_size"), F.min("_place").alias("_first"))
         .withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0)))
         .withColumn("n", F.sum("_size").over(group)),
         "range-sizes",
@@ -99,23 +110,22 @@ def place_by_range(df: DataFrame, order: Sequence[str], within: Sequence[str] =
 def ranks(placed: Placed, ranges: Column | None = None) -> DataFrame:
     """The placed rows with their ``rank`` in the group and the group's size ``n``.
 
-    ``ranges`` is a condition on the sizes: rows of other ranges are left out before
-    anything is sorted.
+    ``ranges`` is a condition on the sizes: rows of other ranges are left out.
     """
     sizes = placed.sizes if ranges is None else placed.sizes.where(ranges)
     same_range = reduce(
         and_, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in placed.keys]
     )
-    rows = placed.rows.alias("l").join(sizes.alias("r"), same_range).select("l.*", "r._before", "r.n")
-    inside = F.row_number().over(Window.partitionBy(*placed.keys).orderBy(*placed.order))
-    return rows.withColumn("rank", F.col("_before") + inside).drop("_range", "_before")
+    rows = placed.rows.alias("l").join(sizes.alias("r"), same_range)
+    rank = F.col("r._before") + F.col("l._place") - F.col("r._first") + 1
+    return rows.select("l.*", "r.n", rank.alias("rank")).drop("_place", "_range")
 
 
 def global_rank(df: DataFrame, order: Sequence[str], within: Sequence[str] = ()) -> DataFrame:
     """Number the rows 1, 2, ... in a unique order, per combination of ``within``.
 
-    No group is ever sorted in one task: row numbers inside each range plus the sizes of
-    the group's earlier ranges give the ``rank``.
+    No group is ever sorted in one task: the places inside each range and the sizes of the
+    group's earlier ranges give the ``rank``.
     """
     return ranks(place_by_range(df, order, within))
 
@@ -123,8 +133,8 @@ def global_rank(df: DataFrame, order: Sequence[str], within: Sequence[str] = ())
 def group_quantiles(placed: Placed, value: str, probabilities: dict[str, float]) -> DataFrame:
     """Exact interpolated quantiles of ``value``, the first order column, per group.
 
-    Only the ranges that hold a wanted position are sorted, and only the one or two rows
-    around each position go on.
+    Only the ranges that hold a wanted position are read again, and only the one or two
+    rows around each position go on.
     """
 
     def ends(p: float) -> tuple[str, str, str]:

@@ -115,9 +115,10 @@ def test_search_of_all_cells_is_exact_and_ties_go_by_id(spark):
     assert {r.query_id for r in found} == set(range(0, 400, 20))
 
 
-def test_search_finds_nine_tenths(spark):
+def test_search_of_a_part_finds_nine_tenths(spark):
+    """On 500 vectors without structure; tables this small are searched whole by default."""
     vectors = table(spark, SMALL, "embeddings")
-    shape = neighbours.Shape(least=0, share=0.6)
+    shape = neighbours.Shape(least=0, share=0.8)
     found = neighbours.nearest(vectors, F.col("vec_id") % 20 == 0, 20, shape=shape).collect()
     rows = vectors.select("vec_id", "embedding").collect()
     ids, points = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])

@@ -112,13 +112,17 @@ def _without(dropped: Column, lines: Column) -> Column:
 
 
 def with_kept_text(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """(row, n_lines, n_dropped, kept): each row, and its text without the dropped lines."""
+    """(row, n_lines, n_dropped, kept): each row, and its text without the dropped lines.
+
+    The rows are always dealt out by their key: whether the dropped lines are few enough to
+    be broadcast depends on the data.
+    """
     found = materialize(dropped_lines(docs, rule), "dropped-lines")
     lines = lines_of(F.coalesce("row.text", F.lit("")))
     kept = F.when(
         F.col("lines").isNotNull(), F.array_join(_without(F.col("lines"), lines), "\n")
     ).otherwise(F.col("row.text"))
-    return _rows(docs).join(found, ["doc", "th"], "left").select(
+    return _rows(docs).join(found.hint("merge"), ["doc", "th"], "left").select(
         "row",
         F.size(lines).cast("long").alias("n_lines"),
         F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_dropped"),

@@ -36,6 +36,7 @@ from pyspark.taskcontext import TaskContext
 
 from scorewright.llm import range_coder
 from scorewright.llm.common import in_groups
+from scorewright.sources.storage import materialize
 
 #: Unicode white space; a text without the rarer ones is cut faster.
 _RARE = "\t\x0b\x0c\r\x85\xa0  -     　"
@@ -44,6 +45,7 @@ _CHUNK = re.compile(rf"[ \n{_RARE}]*[^ \n{_RARE}]+|[ \n{_RARE}]+")
 #: themselves, the others in order from U+0100.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _SPELLING = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
+_SPACE = chr(_SPELLING[32])
 _SLOW = re.compile(f"[{_RARE}]")
 #: Words whose ids a worker keeps.
 CACHED_WORDS = 400_000
@@ -57,6 +59,21 @@ _BLOCK_SCHEMA = """
 """
 
 
+class _Table(dict):
+    """Ids of words.  A full table is followed by a new one that takes over what is used."""
+
+    def __init__(self, tokens: Tokens, before: dict[str, bytes]):
+        super().__init__()
+        self.tokens, self.before = tokens, dict(before)
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.before.get(word)
+        if found is None:
+            found = self.tokens.learn(word)
+        self[word] = found
+        return found
+
+
 class Tokens:
     """Ids of texts as little-endian 32-bit integers."""
 
@@ -83,32 +100,27 @@ class Tokens:
         )
         self.size = self.library.get_vocab_size()
         self.line_end = self._encode_chunk("\n")
-        #: Ids of units, and of words as they are cut.
-        self.units: dict[str, bytes] = {"": b""}
-        self.table: dict[str, bytes] = {}
+        self.table = _Table(self, {})
+        self.tail = lru_cache(maxsize=1000)(self._unit)
 
-    def _learn(self, words: list[str]) -> None:
-        """Ids of words of a text as they stand after a space or, with it, a line end.
+    def learn(self, word: str) -> bytes:
+        """Ids of a word of a text as it stands after a space or, with it, a line end.
 
         A run of Latin letters is one unit of the pattern, with the space before it, and so
         are the full stops and commas after it; units go straight to the model.
         """
-        for word in words:
-            lead, rest = (self.line_end, word[1:]) if word[:1] == "\n" else (b"", word)
-            stem = rest.rstrip(".,")
-            if stem.isalpha() and (stem.isascii() or max(stem) < "\u0250"):
-                unit = stem if lead else " " + stem
-                self.table[word] = lead + self._unit(unit) + self._unit(rest[len(stem) :])
-            else:
-                self.table[word] = self._encode_chunk(word if lead else " " + word)
+        lead, rest = (self.line_end, word[1:]) if word[:1] == "\n" else (b"", word)
+        stem = rest.rstrip(".,")
+        if stem.isalpha() and (stem.isascii() or max(stem) < "\u0250"):
+            ids = lead + self._unit(stem if lead else " " + stem)
+            tail = rest[len(stem) :]
+            return ids + self.tail(tail) if tail else ids
+        return self._encode_chunk(word if lead else " " + word)
 
     def _unit(self, unit: str) -> bytes:
-        found = self.units.get(unit)
-        if found is None:
-            spelled = unit.encode().decode("latin-1").translate(_SPELLING)
-            ids = array("I", [token.id for token in self.library.model.tokenize(spelled)])
-            found = self.units[unit] = ids.tobytes()
-        return found
+        spelled = unit if unit.isascii() else unit.encode().decode("latin-1").translate(_SPELLING)
+        found = self.library.model.tokenize(spelled.replace(" ", _SPACE))
+        return array("I", [token.id for token in found]).tobytes()
 
     def _encode_chunk(self, chunk: str) -> bytes:
         ids = self.library.encode(chunk, add_special_tokens=False).ids
@@ -117,17 +129,14 @@ class Tokens:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of whole texts."""
         if len(self.table) > CACHED_WORDS:
-            self.table.clear()
-        if len(self.units) > CACHED_WORDS:
-            self.units = {"": b""}
-        cut = [self._words(text) for text in texts]
-        met = set().union(*(words[1:] for words in cut))
-        self._learn([word for word in met if word not in self.table])
+            self.table = _Table(self, self.table)
+        look_up = self.table.__getitem__
         found = []
-        for text, words in zip(texts, cut):
+        for text in texts:
+            words = self._words(text)
             if words:
-                first = self._encode_chunk(words[0])
-                found.append(first + b"".join(map(self.table.__getitem__, words[1:])))
+                first = look_up("\n" + words[0])[len(self.line_end) :]
+                found.append(first + b"".join(map(look_up, words[1:])))
             elif self.by_chunk:
                 found.append(b"".join(map(self._encode_chunk, _CHUNK.findall(text))))
             else:
@@ -257,11 +266,9 @@ def _decoded(frequencies) -> callable:
                     pa.binary(), len(sizes), [None, offsets, pa.py_buffer(tokens.tobytes())]
                 )
                 starts = pa.array(row["start"] + ends - sizes)
-                part = pa.array(np.full(len(sizes), row["part"], np.int32))
                 doc_ids = pa.array(row["doc_ids"], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [part, doc_ids, starts, pa.array(sizes), ids],
-                    ["part", "doc_id", "at", "n_tokens", "ids"],
+                    [doc_ids, starts, pa.array(sizes), ids], ["doc_id", "start", "n_tokens", "ids"]
                 )
 
     return read
@@ -276,15 +283,16 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     blocks = spark.read.parquet(f"{folder}/blocks")
     totals = blocks.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select(  # one row per partition of the files
-        F.col("part").alias("of"), F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base")
+    bases = materialize(  # one row per partition of the files
+        totals.select(
+            F.col("part").alias("of"), F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base")
+        ),
+        "token-bases",
     )
-    docs = blocks.mapInArrow(
+    placed = blocks.join(bases, F.col("part") == F.col("of"))
+    return placed.withColumn("start", F.col("base") + F.col("start")).mapInArrow(
         _decoded(spark.sparkContext.broadcast(frequencies)),
-        "part int, doc_id long, at long, n_tokens long, ids binary",
-    )
-    return docs.join(bases, F.col("part") == F.col("of")).select(
-        "doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids"
+        "doc_id long, start long, n_tokens long, ids binary",
     )
 
 

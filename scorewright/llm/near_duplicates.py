@@ -187,8 +187,12 @@ _CELL = ["band", "key", "p", "q"]
 
 
 def _links(cells: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
-    """Edges (a, b) between members of the same cell."""
-    joined = cells.join(texts, "uid").repartition(*_CELL).sortWithinPartitions(*_CELL, "uid")
+    """Edges (a, b) between members of the same cell.
+
+    The texts are always dealt out by their number: whether the cells are few enough to be
+    broadcast depends on the data.
+    """
+    joined = cells.join(texts.hint("merge"), "uid").repartition(*_CELL).sortWithinPartitions(*_CELL, "uid")
     return materialize(joined.mapInArrow(_compared(rule), "a long, b long"), "near-links")
 
 

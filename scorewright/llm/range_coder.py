@@ -15,8 +15,8 @@ from dataclasses import dataclass
 import numpy as np
 
 BITS = 18
-LANES = 512
-CHECK_STEPS = 128
+LANES = 1024
+CHECK_STEPS = 256
 _LOW = np.uint64(1 << 31)
 _WORD = np.uint64(32)
 

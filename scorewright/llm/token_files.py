@@ -26,7 +26,7 @@ import json
 import os
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -50,7 +50,7 @@ _SLOW = re.compile(f"[{_RARE}]")
 #: Words whose ids a worker keeps.
 CACHED_WORDS = 400_000
 #: Tokens of a block and of a partition of the files.
-BLOCK_TOKENS = 1 << 18
+BLOCK_TOKENS = 1 << 19
 PARTITION_TOKENS = 1 << 23
 
 _BLOCK_SCHEMA = """
@@ -75,7 +75,7 @@ class _Table(dict):
 
 
 class Tokens:
-    """Ids of texts as little-endian 32-bit integers."""
+    """Ids of texts as little-endian integers of 16 bits, or of 32 for large vocabularies."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -99,6 +99,8 @@ class Tokens:
             )
         )
         self.size = self.library.get_vocab_size()
+        self.code = "H" if self.library.get_vocab_size() <= 1 << 16 else "I"
+        self.kind = np.dtype(f"<u{array(self.code).itemsize}")
         self.line_end = self._encode_chunk("\n")
         self.table = _Table(self, {})
         self.tail = lru_cache(maxsize=1000)(self._unit)
@@ -120,11 +122,11 @@ class Tokens:
     def _unit(self, unit: str) -> bytes:
         spelled = unit if unit.isascii() else unit.encode().decode("latin-1").translate(_SPELLING)
         found = self.library.model.tokenize(spelled.replace(" ", _SPACE))
-        return array("I", [token.id for token in found]).tobytes()
+        return array(self.code, [token.id for token in found]).tobytes()
 
     def _encode_chunk(self, chunk: str) -> bytes:
         ids = self.library.encode(chunk, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+        return array(self.code, ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of whole texts."""
@@ -135,8 +137,8 @@ class Tokens:
         for text in texts:
             words = self._words(text)
             if words:
-                first = look_up("\n" + words[0])[len(self.line_end) :]
-                found.append(first + b"".join(map(look_up, words[1:])))
+                words[0] = "\n" + words[0]
+                found.append(b"".join(map(look_up, words))[len(self.line_end) :])
             elif self.by_chunk:
                 found.append(b"".join(map(self._encode_chunk, _CHUNK.findall(text))))
             else:
@@ -160,11 +162,10 @@ def load(path: str) -> Tokens:
 
 def token_ids(path: str, end_id: int) -> Column:
     """The ids of the text column it is applied to, with the end id, as packed integers."""
-    ending = np.array([end_id], "<u4").tobytes()
-
     @F.arrow_udf("binary")
     def packed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tokens = load(path)
+        ending = np.array([end_id], tokens.kind).tobytes()
         for batch in batches:
             some = in_groups([text or "" for text in batch.to_pylist()])
             packed = [ids + ending for group in some for ids in tokens.encode(group)]
@@ -173,20 +174,24 @@ def token_ids(path: str, end_id: int) -> Column:
     return packed
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted(kind: np.dtype) -> Callable:
     """(id, n) of a partition."""
-    counts = np.zeros(0, np.int64)
-    for batch in batches:
-        for ids in batch.column(0):
-            now = np.bincount(np.frombuffer(ids.as_buffer(), "<u4"))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(0, np.int64)
+        for batch in batches:
+            ids = b"".join(batch.column(0).to_pylist())
+            now = np.bincount(np.frombuffer(ids, kind))
             if len(now) > len(counts):
                 now, counts = counts, now
             counts[: len(now)] += now
-    found = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts[found])], ["id", "n"])
+        found = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts[found])], ["id", "n"])
+
+    return counted
 
 
-def _blocks(frequencies) -> callable:
+def _blocks(frequencies, kind: np.dtype) -> Callable:
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = range_coder.Table(frequencies.value)
         part, number, start = TaskContext.get().partitionId(), 0, 0
@@ -207,7 +212,7 @@ def _blocks(frequencies) -> callable:
         for batch in batches:
             for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
                 doc_ids.append(doc_id)
-                parts.append(np.frombuffer(ids.as_py(), "<u4"))
+                parts.append(np.frombuffer(ids.as_py(), kind))
                 size += len(parts[-1])
                 if size >= BLOCK_TOKENS:
                     yield finished()
@@ -226,14 +231,14 @@ def _arrow_schema() -> pa.Schema:
 
 def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int, text: str = "text") -> None:
     """Write the ids of all documents and their frequency table below ``folder``."""
-    spark = docs.sparkSession
+    spark, kind = docs.sparkSession, load(path).kind
     ids = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         token_ids(path, end_id)(F.coalesce(F.col(text), F.lit(""))).alias("ids"),
     )
     ids.write.option("compression", "zstd").parquet(f"{folder}/ids")
     ids = spark.read.parquet(f"{folder}/ids")
-    counted = ids.select("ids").mapInArrow(_counted, "id long, n long")
+    counted = ids.select("ids").mapInArrow(_counted(kind), "id long, n long")
     counts = counted.groupBy("id").agg(F.sum("n").alias("n")).collect()  # one row per id
     seen = np.zeros(max((row["id"] for row in counts), default=0) + 1, np.int64)
     for row in counts:
@@ -246,11 +251,11 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int, text: str
     n_parts = max(1, -(-int(seen.sum()) // PARTITION_TOKENS))
     order = [F.col("doc_id").isNull(), F.col("doc_id")]
     dealt = ids.repartitionByRange(n_parts, *order).sortWithinPartitions(*order, "ids")
-    blocks = dealt.mapInArrow(_blocks(spark.sparkContext.broadcast(frequencies)), _BLOCK_SCHEMA)
+    blocks = dealt.mapInArrow(_blocks(spark.sparkContext.broadcast(frequencies), kind), _BLOCK_SCHEMA)
     blocks.write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
 
 
-def _decoded(frequencies) -> callable:
+def _decoded(frequencies) -> Callable:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = range_coder.Table(frequencies.value)
         for batch in batches:

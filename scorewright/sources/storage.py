@@ -42,3 +42,9 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove_intermediates(spark: SparkSession) -> None:
+    """Delete this application's part of the shared folder, once its results are consumed."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(app_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scorewright.plans.inputs import CsvTables
 from scorewright.plans.registry import jobs_on_inputs
-from scorewright.sources import schemas, tables
+from scorewright.sources import schemas, storage, tables
 from scorewright.sources.csv_files import export_csv, load_csv, load_csv_lines
 from scorewright.sources.storage import materialize, shared_dir
 
@@ -138,6 +138,14 @@ def test_preview_is_repeatable(loaded):
     assert first == tables.preview(loaded.facts.repartition(5), order, 3).collect()
 
 
+def test_intermediates_can_be_removed(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(storage, "app_dir", lambda _: f"file://{tmp_path}/own")
+    assert storage.materialize(spark.range(3).toDF("x"), "gone").count() == 3
+    assert (tmp_path / "own").exists()
+    storage.remove_intermediates(spark)
+    assert not (tmp_path / "own").exists()
+
+
 def test_materialized_rows_live_in_the_shared_folder(spark):
     frame = materialize(spark.range(10).toDF("x"), "test")
     assert frame.count() == 10

@@ -207,7 +207,7 @@ def _bucketed(bands: DataFrame) -> DataFrame:
     )
     several = buckets.where("size > 1").dropDuplicates(["size", "least", "most", "members"])
     kept = materialize(several.select("band", "key", "size"), "near-buckets")
-    return materialize(rows.join(kept, ["band", "key"]), "near-members")
+    return materialize(rows.join(kept.hint("merge"), ["band", "key"]), "near-members")
 
 
 def _in_blocks(members: DataFrame, rule: Rule) -> DataFrame:

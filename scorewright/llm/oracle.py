@@ -95,7 +95,91 @@ SELECT doc_id, len(lines) AS n_lines, (SELECT count(*) FROM dropped WHERE droppe
 FROM docs LEFT JOIN kept USING (uid)
 """
 
+_SPANS = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS uid, doc_id,
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+  FROM documents
+), places AS (
+  SELECT uid, doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i,
+         unnest(list_transform(range(1, len(words) + 1), lambda i:
+           CASE WHEN i + 49 <= len(words) THEN array_to_string(words[i : i + 49], ' ') END)) AS passage
+  FROM docs
+), starts AS (
+  SELECT uid, i, word,
+         passage IS NOT NULL AND doc_id > min(doc_id) OVER (PARTITION BY passage) AS again
+  FROM places
+), covered AS (
+  SELECT uid, i, word,
+         bool_or(again) OVER (PARTITION BY uid ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone
+  FROM starts
+), kept AS (
+  SELECT uid, count(*) FILTER (WHERE gone) AS n_removed,
+         string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS words
+  FROM covered GROUP BY uid
+)
+SELECT doc_id, len(docs.words) AS n_words, coalesce(n_removed, 0) AS n_removed,
+       sha256(coalesce(kept.words, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (uid)
+"""
+
+#: What op7 puts a backslash into.
+_CONTROLS = (
+    "<|", "<s>", "</s>", "<SYS>", "</SYS>", "<<SYS>", "<</SYS>", "</<SYS>", "</</SYS>", "<//SYS>",
+    "[INST]", "[/INST]",
+)
+
+
+def _escaped_length(x: str) -> str:
+    parts = [f"(len({x}) - len(replace({x}, '{c}', ''))) // {len(c)}" for c in (*_CONTROLS, "\\")]
+    return f"(len({x}) + {' + '.join(parts)})"
+
+
+_CHATS = rf"""
+WITH given AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS nr
+  FROM given
+), costed AS (
+  SELECT *, nr = 0 AND role = 'system' AS is_system,
+         len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + 4 AS cost,
+         {_escaped_length('role')} + {_escaped_length('text')} + 23 AS chars
+  FROM numbered
+), summed AS (
+  SELECT *, sum(CASE WHEN is_system THEN 0 ELSE cost END) OVER (PARTITION BY conv_id ORDER BY nr) AS after,
+         greatest(384 - max(CASE WHEN is_system THEN cost ELSE 0 END) OVER (PARTITION BY conv_id), 128) AS room
+  FROM costed
+), cells AS (
+  SELECT *, after - CASE WHEN is_system THEN 0 ELSE cost END AS before,
+         greatest(after - 1, 0) // room AS cell
+  FROM summed
+), crossed AS (
+  SELECT *, before < cell * room AND NOT is_system AS crosses FROM cells
+), started AS (
+  SELECT *, nr = 0 OR crosses OR cell <> lag(cell) OVER w OR crosses <> lag(crosses) OVER w AS starts
+  FROM crossed WINDOW w AS (PARTITION BY conv_id ORDER BY nr)
+), repeated AS (
+  SELECT s.conv_id, sum(t.chars) AS chars
+  FROM started s JOIN started t ON s.conv_id IS NOT DISTINCT FROM t.conv_id AND t.nr < s.nr
+    AND (t.is_system OR (t.after <= s.before AND t.before >= s.before - 128))
+  WHERE s.starts GROUP BY s.conv_id
+), whole AS (
+  SELECT conv_id, count(*) AS n_turns, sum(chars) AS chars,
+         string_agg(role || chr(10) || text || chr(10), '' ORDER BY nr) AS turns,
+         coalesce(string_agg(text, '' ORDER BY nr) FILTER (WHERE role = 'assistant'), '') AS loss
+  FROM costed GROUP BY conv_id
+)
+SELECT whole.conv_id, n_turns, sha256(turns) AS turns_sha256, len(loss) AS loss_chars,
+       sha256(loss) AS loss_sha256, (whole.chars + coalesce(repeated.chars, 0))::BIGINT AS formatted_chars
+FROM whole LEFT JOIN repeated ON whole.conv_id IS NOT DISTINCT FROM repeated.conv_id
+"""
+
 SQL = {
+    "op7_chat_windows": _CHATS,
+    "op2_repeated_spans": _SPANS,
     "op1_line_templates": _LINES,
     "op3_mix_sources": _MIX,
     "op4_exact_duplicates": _COPIES,

@@ -10,8 +10,8 @@ A template recurs if at least ``Rule.documents`` documents with different texts
 (exact copies of a document count once).  A line with a recurring template is dropped,
 except in the document with the smallest doc_id that has the template.
 
-Templates are counted as 64-bit keys, combined before the shuffle; only those of two
-texts or more are joined back to their lines and counted exactly, from a written table,
+Lines are cut once and their 64-bit keys written; the keys are counted, combined before
+the shuffle; only those of two texts or more are joined back to their lines and counted exactly, from a written table,
 so that a line that a third of the documents share is split by Spark.
 
 Defined results: null and empty texts have no lines to drop and stay as they are; lines
@@ -88,7 +88,7 @@ def _templates(docs: DataFrame, rule: Rule) -> DataFrame:
 
 def dropped_lines(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """(doc, th, lines): numbers of the lines to drop from each text."""
-    lines = _templates(docs, rule)
+    lines = materialize(_templates(docs, rule), "line-keys")
     several = materialize(
         lines.groupBy("key")
         .agg(F.min("doc").alias("first"), F.min("th").alias("a"), F.max("th").alias("b"))

@@ -93,13 +93,13 @@ def _bundles_of(text: bytes, shape: Shape) -> list[np.ndarray] | None:
     return [kmers[places[starts]].view(np.int64), digests, starts, ends - starts, before, after]
 
 
-_BUNDLE = "anchor long, digest long, doc long, th int, start int, n int, before int, after int"
+_BUNDLE = "anchor long, digest long, doc long, th long, start int, n int, before int, after int"
 
 
 def _bundled(shape: Shape):
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["anchor", "digest", "doc", "th", "start", "n", "before", "after"]
-        kinds = [np.int64, np.int64, np.int64, np.int32, np.int32, np.int32, np.int32, np.int32]
+        kinds = [np.int64, np.int64, np.int64, np.int64, np.int32, np.int32, np.int32, np.int32]
         for batch in batches:
             texts = batch.column(2).cast(pa.binary())
             columns: list[list[np.ndarray]] = [[] for _ in names]
@@ -108,7 +108,7 @@ def _bundled(shape: Shape):
                 if found is None:
                     continue
                 size = len(found[0])
-                found[2:2] = [np.full(size, doc, np.int64), np.full(size, th, np.int32)]
+                found[2:2] = [np.full(size, doc, np.int64), np.full(size, th, np.int64)]
                 for column, values in zip(columns, found):
                     column.append(values)
             if columns[0]:
@@ -123,7 +123,7 @@ def _texts(docs: DataFrame, text: str) -> DataFrame:
     whole = F.coalesce(F.col(text), F.lit(""))
     return docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"),
-        F.xxhash64(whole).cast("string").substr(-9, 9).cast("int").alias("th"),
+        F.xxhash64(whole).alias("th"),
         whole.alias("text"),
     )
 
@@ -257,7 +257,7 @@ def _packed(docs: DataFrame, text: str) -> DataFrame:
                 [batch.column(0), batch.column(1), small], ["doc", "th", "packed"]
             )
 
-    return _texts(docs, text).mapInArrow(pack, "doc long, th int, packed binary")
+    return _texts(docs, text).mapInArrow(pack, "doc long, th long, packed binary")
 
 
 @dataclass(frozen=True)

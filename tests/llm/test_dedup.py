@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 
 from scorewright.llm import bag_signatures, block_names, line_templates, near_duplicates, repeated_spans
 from scorewright.llm.components import components
@@ -118,6 +119,23 @@ def test_repeated_spans_of_odd_rows(spark):
     assert repeated_spans.without_repeats(no_docs(spark)).count() == 0
 
 
+def test_rows_of_one_id_whose_hashes_end_alike_keep_their_own_words(spark):
+    passage = " ".join(f"p{i}" for i in range(20))
+
+    def tail(text):
+        value = xxhash.xxh64_intdigest(text.encode(), 42)
+        return str(value - (value >> 63 << 64))[-9:]
+
+    copies = {tail(t): t for t in (f"a{i} {passage}" for i in range(200_000))}
+    others = ((tail(t), t) for t in (f"b{i} own words here" for i in range(200_000)))
+    copy, other = next((copies[end], t) for end, t in others if end in copies)
+    docs = spark.createDataFrame([(0, passage), (None, copy), (None, other)], "doc_id long, text string")
+    shape = repeated_spans.Shape(window=8, anchor=3)
+    found = repeated_spans.without_repeats(docs, shape=shape).collect()
+    kept = {(r.doc_id, r.n_words, r.n_removed, r.kept) for r in found}
+    assert kept == {(0, 20, 0, passage), (None, 21, 20, copy.split()[0]), (None, 4, 0, other)}
+
+
 def plain_classes(texts, k=5, similarity=0.8):
     bags = []
     for text in texts:

@@ -38,8 +38,8 @@ def without_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates."""
-    return near_duplicates.keep_one(docs)
+    """One document of each class of near duplicates; those emptied before are one class."""
+    return near_duplicates.keep_one(docs, rule=near_duplicates.Rule(wordless=True))
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

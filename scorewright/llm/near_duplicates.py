@@ -15,8 +15,9 @@ With 24 bands of 4 slots a pair at the threshold of 0.8 shares a bucket with a
 probability of 1 - (1 - 0.8 ** 4) ** 24 > 0.999996.
 
 Defined results: a text of fewer words than a shingle is one shingle; texts without
-words (null, empty) are each a class of their own; repeated rows are copies; the member
-with the smallest doc_id (null last) stays; other columns are ignored or handed through.
+words (null, empty) are each a class of their own, or all one class if ``Rule.wordless``
+is set; repeated rows are copies; the member with the smallest doc_id (null last) stays;
+other columns are ignored or handed through.
 """
 
 from __future__ import annotations
@@ -38,12 +39,16 @@ from scorewright.sources.storage import materialize
 
 @dataclass(frozen=True)
 class Rule:
-    """Words of a shingle, least similarity, and the size of blocks of large buckets."""
+    """Words of a shingle, least similarity, and the size of blocks of large buckets.
+
+    ``wordless``: texts without words are copies of each other.
+    """
 
     words: int = 5
     similarity: float = 0.8
     block: int = 512
     shared: int = 64
+    wordless: bool = False
 
 
 def bag_of(text: bytes, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,6 +72,7 @@ _GO = 300_000
 
 def _signed(rule: Rule):
     """digest, bands and packed text of each document."""
+    wordless = b"" if rule.wordless else None
 
     def group(texts: list[bytes], bags: list) -> pa.RecordBatch:
         tool = zstandard.ZstdCompressor(level=1)
@@ -79,7 +85,7 @@ def _signed(rule: Rule):
         )
         keys = bag_signatures.band_keys(bag_signatures.short(times))
         digests = [
-            blake2b(b.tobytes() + n.tobytes(), digest_size=16).digest() if len(b) else None
+            blake2b(b.tobytes() + n.tobytes(), digest_size=16).digest() if len(b) else wordless
             for b, n in bags
         ]
         offsets = np.arange(len(bags) + 1, dtype=np.int32) * keys.shape[1]

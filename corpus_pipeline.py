@@ -23,6 +23,9 @@ from scorewright.llm import (
 from scorewright.llm.common import table
 from scorewright.sources.storage import materialize
 
+#: Stricter than op1, whose SQL lets templates be without a constant token.
+LINES = line_templates.Rule(constant=1 / 3)
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -33,7 +36,7 @@ def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def without_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that recur across documents; ``n_chars`` follows the text."""
-    kept = line_templates.without_recurring_lines(docs)
+    kept = line_templates.without_recurring_lines(docs, LINES)
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 

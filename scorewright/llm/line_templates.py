@@ -6,6 +6,10 @@ are variable fields everywhere.  So a line has one template that fixes all four
 and, if it has at least ``Rule.variable`` tokens, three more, each of which leaves one
 quarter open.  Lines that agree in a template differ in that field alone.
 
+With ``Rule.constant`` a template needs that share of constant tokens with a letter; a
+line whose own template has fewer is compared by its tokens as they are, so that rows of
+numbers are alike only if the numbers are.
+
 A template recurs if at least ``Rule.documents`` documents with different texts have it
 (exact copies of a document count once).  A line with a recurring template is dropped,
 except in the document with the smallest doc_id that has the template.
@@ -21,6 +25,7 @@ the largest; other columns are handed through.  An empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -36,10 +41,14 @@ ANY = "<*>"
 
 @dataclass(frozen=True)
 class Rule:
-    """Documents that make a template recur, and tokens from which a quarter may vary."""
+    """Documents that make a template recur, and tokens from which a quarter may vary.
+
+    ``constant``: least share of constant tokens with a letter in a template.
+    """
 
     documents: int = 5
     variable: int = 8
+    constant: float = 0.0
 
 
 def lines_of(text: Column) -> Column:
@@ -61,6 +70,16 @@ def _quarter(i: int) -> Column:
     return F.array_join(F.slice("tokens", begin + 1, end - begin), " ")
 
 
+def _lettered(quarter: Column) -> Column:
+    """Constant tokens with a letter; fields have none."""
+    return F.regexp_count(quarter, F.lit(r"\p{L}[^ ]*+"))
+
+
+def _enough(rule: Rule, fixed: Iterable[int]) -> Column:
+    """Whether the fixed quarters have the constant tokens that a template needs."""
+    return sum(F.col(f"c{i}") for i in fixed) >= F.col("n") * F.lit(rule.constant)
+
+
 def _templates(docs: DataFrame, rule: Rule) -> DataFrame:
     """(doc, th, line, key): each line under the keys of its templates."""
     whole = F.coalesce("text", F.lit(""))
@@ -73,17 +92,31 @@ def _templates(docs: DataFrame, rule: Rule) -> DataFrame:
         F.col("words")
     )
     tokens = F.filter(F.split(masked, SPACE), lambda t: t != "")
-    counted = lines.select("doc", "th", "line", tokens.alias("tokens"))
+    passed, more = [], []
+    if rule.constant:
+        own = F.filter(F.split(F.col("words"), SPACE), lambda t: t != "")
+        plain = F.when(F.col("words").rlike("[0-9]"), F.xxhash64(F.lit(4), F.array_join(own, " ")))
+        lines = lines.withColumn("plain", plain)
+        unmasked = F.coalesce("plain", F.xxhash64(F.lit(4), F.array_join("tokens", " ")))
+        passed = ["plain"]
+        more = [unmasked.alias("own"), *[_lettered(_quarter(i)).alias(f"c{i}") for i in range(4)]]
+    counted = lines.select("doc", "th", "line", tokens.alias("tokens"), *passed)
     sized = counted.withColumn("n", F.size("tokens")).where("n > 0")
     hashed = sized.select(
-        "doc", "th", "line", "n", *[F.xxhash64(_quarter(i)).alias(f"q{i}") for i in range(4)]
+        "doc", "th", "line", "n", *more, *[F.xxhash64(_quarter(i)).alias(f"q{i}") for i in range(4)]
     )
     fixed = F.xxhash64(F.lit(0), "n", "q0", "q1", "q2", "q3")
     open_ones = [
         F.xxhash64(F.lit(i), "n", *[f"q{j}" for j in range(4) if j != i]) for i in (1, 2, 3)
     ]
+    if rule.constant:
+        fixed = F.when(_enough(rule, (0, 1, 2, 3)), fixed).otherwise(F.col("own"))
+        open_ones = [
+            F.when(_enough(rule, [j for j in range(4) if j != i]), key) for i, key in zip((1, 2, 3), open_ones)
+        ]
     keys = F.when(F.col("n") >= rule.variable, F.array(fixed, *open_ones)).otherwise(F.array(fixed))
-    return hashed.select("doc", "th", "line", F.explode(keys).alias("key"))
+    exploded = hashed.select("doc", "th", "line", F.explode(keys).alias("key"))
+    return exploded.where("key IS NOT NULL") if rule.constant else exploded
 
 
 def dropped_lines(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:

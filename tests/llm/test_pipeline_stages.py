@@ -18,3 +18,12 @@ def test_near_copies_that_lose_all_lines_end_as_one_row(spark):
     assert [r.text for r in lines.orderBy("doc_id").collect()] == [copies[0], *[""] * 6, "own words", " \t", None]
     kept = corpus_pipeline.one_of_each_class(spark, lines, "")
     assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 7]
+
+
+def test_lines_of_numbers_are_alike_only_if_the_numbers_are(spark):
+    texts = [f"own{w} text\n{i} | {i * i}\n| 1  2 | 3 |\npage {i} of 20" for i, w in enumerate("abcdefg")]
+    texts += [f"{i}.1 {i}.2 {i}.3 {i}.4 {i}.5 {i}.6 {i}.7 8{w}" for i, w in enumerate("abcdefg")]
+    docs = as_docs(spark, texts)
+    kept = corpus_pipeline.without_recurring_lines(spark, docs, "").orderBy("doc_id").collect()
+    assert [r.text for r in kept[:7]] == [texts[0], *[f"own{w} text\n{i} | {i * i}" for i, w in enumerate("abcdefg")][1:]]
+    assert [r.text for r in kept[7:]] == texts[7:]

@@ -10,6 +10,12 @@ With ``Rule.constant`` a template needs that share of constant tokens with a let
 line whose own template has fewer is compared by its tokens as they are, so that rows of
 numbers are alike only if the numbers are.
 
+With ``Rule.leaf`` the fields of a line of three tokens or more are also decided by the
+other documents: a line is in one leaf of the tree for each of its quarters with a word
+(by its number of tokens and that quarter), and a token that too few texts of the leaf
+have at its place is a field.  So any number of fields is open, in the first quarter too,
+as long as one quarter has none.  Half of such a template must be constant, and two words.
+
 A template recurs if at least ``Rule.documents`` documents with different texts have it
 (exact copies of a document count once).  A line with a recurring template is dropped,
 except in the document with the smallest doc_id that has the template.
@@ -43,12 +49,14 @@ ANY = "<*>"
 class Rule:
     """Documents that make a template recur, and tokens from which a quarter may vary.
 
-    ``constant``: least share of constant tokens with a letter in a template.
+    ``constant``: least share of constant tokens with a letter in a template.  ``leaf``:
+    least share of the texts of a leaf that have a constant token; 0 for no leaves.
     """
 
     documents: int = 5
     variable: int = 8
     constant: float = 0.0
+    leaf: float = 0.0
 
 
 def lines_of(text: Column) -> Column:
@@ -80,6 +88,12 @@ def _enough(rule: Rule, fixed: Iterable[int]) -> Column:
     return sum(F.col(f"c{i}") for i in fixed) >= F.col("n") * F.lit(rule.constant)
 
 
+def _masked(words: Column) -> Column:
+    """The tokens of a line, those with a digit as fields."""
+    masked = F.when(words.rlike("[0-9]"), F.regexp_replace(words, _FIELD, ANY)).otherwise(words)
+    return F.filter(F.split(masked, SPACE), lambda t: t != "")
+
+
 def _templates(docs: DataFrame, rule: Rule) -> DataFrame:
     """(doc, th, line, key): each line under the keys of its templates."""
     whole = F.coalesce("text", F.lit(""))
@@ -88,10 +102,7 @@ def _templates(docs: DataFrame, rule: Rule) -> DataFrame:
         F.xxhash64(whole).alias("th"),
         F.posexplode(lines_of(whole)).alias("line", "words"),
     )
-    masked = F.when(F.col("words").rlike("[0-9]"), F.regexp_replace("words", _FIELD, ANY)).otherwise(
-        F.col("words")
-    )
-    tokens = F.filter(F.split(masked, SPACE), lambda t: t != "")
+    tokens = _masked(F.col("words"))
     passed, more = [], []
     if rule.constant:
         own = F.filter(F.split(F.col("words"), SPACE), lambda t: t != "")
@@ -119,9 +130,87 @@ def _templates(docs: DataFrame, rule: Rule) -> DataFrame:
     return exploded.where("key IS NOT NULL") if rule.constant else exploded
 
 
+def _in_leaves(docs: DataFrame, rule: Rule) -> DataFrame:
+    """(doc, th, lines): the lines that are in leaves of enough texts, and those leaves."""
+    whole = F.coalesce("text", F.lit(""))
+    lines = docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"),
+        F.xxhash64(whole).alias("th"),
+        F.posexplode(lines_of(whole)).alias("line", "words"),
+    )
+    sized = lines.select("doc", "th", "line", _masked(F.col("words")).alias("tokens"))
+    sized = sized.withColumn("n", F.size("tokens")).where("n > 2")
+    leaves = [
+        F.when(_lettered(_quarter(i)) > 0, F.xxhash64(F.lit(5 + i), "n", _quarter(i))) for i in range(4)
+    ]
+    rows = sized.select("doc", "th", "line", F.explode(F.array(*leaves)).alias("leaf"))
+    cells = materialize(rows.where("leaf IS NOT NULL"), "line-leaves")
+    several = materialize(
+        cells.groupBy("leaf").agg(F.min("th").alias("a"), F.max("th").alias("b")).where("a < b").select("leaf"),
+        "shared-leaves",
+    )
+    shared = materialize(cells.join(several, "leaf"), "lines-in-leaves")
+    sizes = materialize(
+        shared.groupBy("leaf", "th").agg(F.lit(1).alias("_"))
+        .groupBy("leaf").agg(F.count("*").alias("texts"))
+        .where(F.col("texts") >= rule.documents),
+        "leaf-sizes",
+    )
+    of_line = shared.join(sizes, "leaf").groupBy("doc", "th", "line").agg(
+        F.collect_set(F.struct("leaf", "texts")).alias("leaves")
+    )
+    return of_line.groupBy("doc", "th").agg(F.collect_list(F.struct("line", "leaves")).alias("lines"))
+
+
+def _leaf_templates(docs: DataFrame, rule: Rule) -> DataFrame:
+    """(doc, th, line, key): lines under the keys of what is constant in their leaves."""
+    listed = materialize(_in_leaves(docs, rule), "leaves-of-texts")
+    whole = F.coalesce("text", F.lit(""))
+    texts = docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"),
+        F.xxhash64(whole).alias("th"),
+        lines_of(whole).alias("all"),
+    )
+    words = F.transform(
+        "lines", lambda l: F.struct(l["line"].alias("line"), l["leaves"].alias("leaves"), F.get("all", l["line"]).alias("words"))
+    )
+    found = texts.join(listed.hint("merge"), ["doc", "th"]).select("doc", "th", F.inline(words))
+    # A token and its place as one number; the last bit says whether it has a letter.
+    placed = F.transform(
+        _masked(F.col("words")),
+        lambda t, i: F.shiftleft(F.xxhash64(t, i), 1).bitwiseOR(t.rlike(r"\p{L}").cast("long")),
+    )
+    lines = materialize(
+        found.select("doc", "th", "line", F.explode("leaves").alias("of"), placed.alias("tokens")).select(
+            "doc", "th", "line", "of.leaf", "of.texts", "tokens"
+        ),
+        "leaf-lines",
+    )
+    of_texts = lines.select("leaf", "texts", "th", F.explode("tokens").alias("token"))
+    counted = (
+        of_texts.groupBy("leaf", "token", "th").agg(F.max("texts").alias("texts"))
+        .groupBy("leaf", "token").agg(F.count("*").alias("have"), F.max("texts").alias("texts"))
+        .where((F.col("have") >= rule.documents) & (F.col("have") >= F.col("texts") * F.lit(rule.leaf)))
+    )
+    constants = materialize(
+        counted.groupBy("leaf").agg(F.collect_list("token").alias("constants")), "leaf-constants"
+    )
+    fixed = lines.join(constants, "leaf").select(
+        "doc", "th", "line", "leaf",
+        F.size("tokens").alias("n"), F.array_intersect("tokens", "constants").alias("fixed"),
+    )
+    lettered = F.size(F.filter("fixed", lambda t: t.bitwiseAND(F.lit(1)) == 1))
+    least = F.greatest(F.lit(2), F.col("n") * F.lit(rule.constant))
+    enough = (lettered >= least) & (2 * F.size("fixed") >= F.col("n"))
+    return fixed.where(enough).select("doc", "th", "line", F.xxhash64("leaf", "fixed").alias("key"))
+
+
 def dropped_lines(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """(doc, th, lines): numbers of the lines to drop from each text."""
-    lines = materialize(_templates(docs, rule), "line-keys")
+    keys = _templates(docs, rule)
+    if rule.leaf:
+        keys = keys.unionByName(_leaf_templates(docs, rule))
+    lines = materialize(keys, "line-keys")
     several = materialize(
         lines.groupBy("key")
         .agg(F.min("doc").alias("first"), F.min("th").alias("a"), F.max("th").alias("b"))

@@ -27,3 +27,25 @@ def test_lines_of_numbers_are_alike_only_if_the_numbers_are(spark):
     kept = corpus_pipeline.without_recurring_lines(spark, docs, "").orderBy("doc_id").collect()
     assert [r.text for r in kept[:7]] == [texts[0], *[f"own{w} text\n{i} | {i * i}" for i, w in enumerate("abcdefg")][1:]]
     assert [r.text for r in kept[7:]] == texts[7:]
+
+
+def test_fields_are_decided_by_the_other_documents(spark):
+    names = ["Alice", "Bob", "Carol", "Dan", "Eve", "Frank", "Grace", "Heidi"]
+    places = ["Sports", "News", "Music", "Art", "Food", "Law", "Tech", "Film"]
+    recurring = [
+        "Posted by {a}",
+        "Posted by {a} in {b} on {c} with all the usual tags",
+        "{a} wrote this comment on {b}",
+        "{a} and {b} like this page of the old site {c}",
+    ]
+    texts = []
+    for i, a in enumerate(names):
+        fields = {"a": a, "b": places[i], "c": names[-1 - i] + "day"}
+        lines = [line.format(**fields) for line in recurring]
+        texts.append("\n".join([f"{a} {places[i]}", *lines, f"{a} went home {places[i]} {a}", f"The {a}"]))
+    docs = as_docs(spark, texts)
+    kept = corpus_pipeline.without_recurring_lines(spark, docs, "").orderBy("doc_id").collect()
+    assert kept[0].text == texts[0]
+    for i, a in enumerate(names[1:], 1):
+        own = [f"{a} {places[i]}", f"{a} went home {places[i]} {a}", f"The {a}"]
+        assert kept[i].text.split("\n") == own

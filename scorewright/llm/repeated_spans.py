@@ -8,8 +8,9 @@ words they cover: equal windows have equal anchors, so equal edges meet at one a
    out.  Where all bundles of an anchor are equal the graph does not branch there.
 2. Non-branching bundles that follow each other, each being the only neighbour of the
    other, are compacted into paths by joining them with their anchors.  A path has one
-   source: its first document.  The coordinates of its span there, and a checksum over
-   its bundles, verify the spans of the other documents.
+   source: its first document.  A checksum over its bundles finds the coordinates of its
+   span there, which are reported; spans without them are repeats all the same, as the
+   digests of their bundles are equal.
 3. At branching anchors the single edges decide: the texts of one copy of each different
    bundle are read again, and their windows are counted by anchor and digest.
 
@@ -262,7 +263,7 @@ def _packed(docs: DataFrame, text: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Repeats:
-    """What was found: verified spans of paths, and single edges at branches."""
+    """What was found: spans of paths, and single edges at branches."""
 
     paths: DataFrame
     edges: DataFrame

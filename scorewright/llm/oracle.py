@@ -177,7 +177,64 @@ SELECT whole.conv_id, n_turns, sha256(turns) AS turns_sha256, len(loss) AS loss_
 FROM whole LEFT JOIN repeated ON whole.conv_id IS NOT DISTINCT FROM repeated.conv_id
 """
 
+_DRAWN = r"""
+WITH RECURSIVE bits AS (
+  -- the table of crc32 for each byte: eight steps of shifting
+  SELECT i::UBIGINT AS byte, i::UBIGINT AS c, 0 AS k FROM range(256) AS t(i)
+  UNION ALL
+  SELECT byte, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END, k + 1
+  FROM bits WHERE k < 8
+), crc AS (SELECT byte, c FROM bits WHERE k = 8),
+given AS (
+  SELECT true AS is_doc, row_number() OVER () AS r, doc_id, text FROM documents
+  UNION ALL SELECT false, row_number() OVER (), NULL, text FROM benchmark
+), cut AS (
+  SELECT is_doc, r, doc_id, coalesce(regexp_extract_all(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+  FROM given
+), runs AS (
+  SELECT is_doc, r, unnest(w) AS f FROM cut
+  UNION ALL
+  SELECT is_doc, r, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM cut
+), counted AS (SELECT is_doc, r, f, count(*) AS n FROM runs GROUP BY ALL),
+steps AS (
+  SELECT f, hex(encode(f)) AS h, 4294967295::UBIGINT AS c, 0 AS k FROM (SELECT DISTINCT f FROM counted)
+  UNION ALL
+  SELECT f, h, xor(steps.c >> 8, crc.c), k + 1 FROM steps JOIN crc
+    ON crc.byte = xor(steps.c & 255, ('0x' || substr(h, 2 * k + 1, 2))::UBIGINT)
+  WHERE 2 * k < length(h)
+), buckets AS (
+  SELECT f, (xor(c, 4294967295::UBIGINT) % 10000)::BIGINT AS bucket FROM steps WHERE 2 * k = length(h)
+), sums AS (
+  SELECT bucket, coalesce(sum(n) FILTER (WHERE is_doc), 0)::DOUBLE AS s,
+         coalesce(sum(n) FILTER (WHERE NOT is_doc), 0)::DOUBLE AS t
+  FROM counted JOIN buckets USING (f) GROUP BY bucket
+), gains AS (
+  SELECT bucket, floor(1000 * ln(((t + 1) * ((SELECT sum(s) FROM sums) + 10000))
+                                 / ((s + 1) * ((SELECT sum(t) FROM sums) + 10000)))) AS gain FROM sums
+), weighed AS (
+  SELECT r, sum(n) AS n_features, floor(sum(n * gain) / sum(n))::BIGINT AS weight
+  FROM counted JOIN buckets USING (f) JOIN gains USING (bucket) WHERE is_doc GROUP BY r
+), scored AS (
+  SELECT cut.r, doc_id, len(w) AS n_words, coalesce(n_features, 0)::BIGINT AS n_features,
+         coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln(
+           (('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE)
+           / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM cut LEFT JOIN weighed ON weighed.r = cut.r WHERE is_doc
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id, r) AS place,
+         count(*) FILTER (WHERE n_words >= 20) OVER () AS eligible
+  FROM scored
+)
+SELECT doc_id, n_words::BIGINT AS n_words, n_features, weight, score,
+       CASE WHEN n_words >= 20 AND place <= 25 * eligible // 100 THEN place END AS rank
+FROM ranked
+"""
+
 SQL = {
+    "op11_target_sample": _DRAWN,
     "op7_chat_windows": _CHATS,
     "op2_repeated_spans": _SPANS,
     "op1_line_templates": _LINES,

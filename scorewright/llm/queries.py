@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from scorewright.llm import (
     block_names,
     chat_windows,
+    importance,
     line_templates,
     near_duplicates,
     neighbours,
@@ -86,6 +87,10 @@ def op10_word_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_languages.document_languages(table(spark, sf_dir, "documents"))
 
 
+def op11_target_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
     return {name: job for name, job in globals().items() if name.startswith("op")}
 

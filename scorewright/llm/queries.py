@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from scorewright.llm import (
     block_names,
     chat_windows,
+    hard_negatives,
     importance,
     line_templates,
     near_duplicates,
@@ -91,6 +92,12 @@ def op11_target_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    is_anchor = F.col("vec_id") % 50 == 0
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), is_anchor, label)
+
+
 def queries() -> dict[str, Query]:
     return {name: job for name, job in globals().items() if name.startswith("op")}
 

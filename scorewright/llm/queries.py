@@ -19,6 +19,7 @@ from scorewright.llm import (
     repeated_spans,
     source_mix,
     token_files,
+    toxicity,
     word_languages,
 )
 from scorewright.llm.common import table
@@ -92,6 +93,10 @@ def op11_target_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxic_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     is_anchor = F.col("vec_id") % 50 == 0

@@ -109,17 +109,14 @@ class Words:
 class Interned:
     """The n-grams of a block: ``slot`` of each occurrence, ``bucket`` and ``count`` of each slot."""
 
-    def __init__(self, data: bytes, begins: np.ndarray, ends: np.ndarray, buckets: int, key=xxhash.xxh64_intdigest):
-        n = len(begins)
-        spans = list(zip(begins.tolist(), ends.tolist()))
-        keys = np.fromiter((key(data[b:e]) for b, e in spans), np.uint64, n)
-        size = 1 << max(4, (2 * n - 1).bit_length())
-        mask = np.uint64(size - 1)
-        holder = np.full(size, -1, np.int64)  # the occurrence that a slot was made for
+    def __init__(self, data: bytes, begins: np.ndarray, ends: np.ndarray, buckets: int, key=None):
         lanes = _eight_bytes(data)
         lengths = ends - begins
-        self.slot = (keys & mask).astype(np.int64)
-        left = np.arange(n)
+        keys = (key or xxhash64)(data, lanes, begins, lengths)
+        size = 1 << max(4, (2 * len(begins) - 1).bit_length())
+        holder = np.full(size, -1, np.int64)  # the occurrence that a slot was made for
+        self.slot = (keys & np.uint64(size - 1)).astype(np.int64)
+        left = np.arange(len(begins))
         while len(left):
             at = self.slot[left]
             free = holder[at] < 0
@@ -132,8 +129,89 @@ class Interned:
         self.count = np.bincount(self.slot, minlength=size)
         self.bucket = np.zeros(size, np.int64)
         used = np.flatnonzero(holder >= 0)
-        made_for = [spans[i] for i in holder[used].tolist()]
-        self.bucket[used] = [zlib.crc32(data[b:e]) % buckets for b, e in made_for]
+        made_for = holder[used]
+        self.bucket[used] = crc32(data, lanes, begins[made_for], lengths[made_for]) % buckets
+
+
+def _by_length(lengths: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Numbers of the n-grams of each length; those above ``longest`` come as one group."""
+    short = np.minimum(lengths, longest + 1).astype(np.uint16)
+    order = np.argsort(short, kind="stable")
+    edges = np.searchsorted(short[order], np.arange(longest + 3))
+    for length, (begin, end) in enumerate(zip(edges, edges[1:])):
+        if end > begin:
+            yield length, order[begin:end]
+
+
+#: The five primes of xxhash64.
+_PRIMES = np.array(
+    [11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261],
+    np.uint64,
+)
+
+
+def _turned(x: np.ndarray, n: int) -> np.ndarray:
+    return (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+
+
+def xxhash64(data: bytes, lanes: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Hashes of n-grams, those of one length at once; long ones by the library."""
+    one, two, three, four, five = _PRIMES
+    found = np.empty(len(begins), np.uint64)
+    for length, which in _by_length(lengths, 31):
+        at = begins[which]
+        if length > 31:
+            spans = zip(at.tolist(), lengths[which].tolist())
+            found[which] = [xxhash.xxh64_intdigest(data[b : b + n]) for b, n in spans]
+            continue
+        h = np.full(len(at), five + np.uint64(length), np.uint64)
+        done = 0
+        while length - done >= 8:
+            h ^= _turned(lanes[at + done] * two, 31) * one
+            h = _turned(h, 27) * one + four
+            done += 8
+        if length - done >= 4:
+            h ^= (lanes[at + done] & np.uint64(0xFFFFFFFF)) * one
+            h = _turned(h, 23) * two + three
+            done += 4
+        while done < length:
+            h ^= (lanes[at + done] & np.uint64(0xFF)) * five
+            h = _turned(h, 11) * one
+            done += 1
+        h = (h ^ (h >> np.uint64(33))) * two
+        h = (h ^ (h >> np.uint64(29))) * three
+        found[which] = h ^ (h >> np.uint64(32))
+    return found
+
+
+def _crc_table() -> np.ndarray:
+    """crc32 steps of each byte, by shifting out its eight bits."""
+    table = np.arange(256, dtype=np.uint64)
+    for _ in range(8):
+        table = np.where(table & np.uint64(1), (table >> np.uint64(1)) ^ np.uint64(0xEDB88320), table >> np.uint64(1))
+    return table
+
+
+_CRC = _crc_table()
+
+
+def crc32(data: bytes, lanes: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Checksums of n-grams, those of one length at once; long ones by the library."""
+    found = np.empty(len(begins), np.int64)
+    for length, which in _by_length(lengths, 63):
+        at = begins[which]
+        if length > 63:
+            spans = zip(at.tolist(), lengths[which].tolist())
+            found[which] = [zlib.crc32(data[b : b + n]) for b, n in spans]
+            continue
+        c = np.full(len(at), 0xFFFFFFFF, np.uint64)
+        for done in range(0, length, 8):
+            ahead = lanes[at + done]
+            for _ in range(min(8, length - done)):
+                c = _CRC[(c ^ ahead) & np.uint64(0xFF)] ^ (c >> np.uint64(8))
+                ahead = ahead >> np.uint64(8)
+        found[which] = (c ^ np.uint64(0xFFFFFFFF)).astype(np.int64)
+    return found
 
 
 def _eight_bytes(data: bytes) -> np.ndarray:

@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from scorewright.llm import hard_negatives, importance, toxicity
@@ -43,11 +44,24 @@ def test_interned_slots_like_a_dictionary(monkeypatch):
     assert all(per_text[i] == len(plain_features(t)) for i, t in enumerate(texts))
 
 
+def test_hashes_like_the_libraries():
+    draw = np.random.default_rng(2)
+    data = draw.integers(0, 256, 5000, np.uint8).tobytes()
+    begins = draw.integers(0, 4000, 3000)
+    lengths = draw.integers(0, 90, 3000)
+    lanes = importance._eight_bytes(data)
+    spans = [data[b : b + n] for b, n in zip(begins, lengths)]
+    assert importance.xxhash64(data, lanes, begins, lengths).tolist() == [
+        xxhash.xxh64_intdigest(s) for s in spans
+    ]
+    assert importance.crc32(data, lanes, begins, lengths).tolist() == list(map(zlib.crc32, spans))
+
+
 def test_equal_keys_of_unlike_ngrams_are_told_apart():
     data = b"ab cd ab abcdefghi abcdefghj abcdefghi "
     begins = np.array([0, 3, 6, 9, 19, 29])
     ends = np.array([2, 5, 8, 18, 28, 38])
-    grams = importance.Interned(data, begins, ends, 1000, key=lambda _: 5)
+    grams = importance.Interned(data, begins, ends, 1000, key=lambda _, __, b, ___: np.full(len(b), 5, np.uint64))
     slots = grams.slot.tolist()
     assert slots[0] == slots[2] and slots[3] == slots[5] and len(set(slots)) == 4
     assert [int(grams.count[s]) for s in slots] == [2, 1, 2, 2, 1, 2]

@@ -437,12 +437,26 @@ def _after_cleaning(text: str) -> str:
 def oracle_sql() -> dict[str, str]:
     texts = _texts()
     names = ("q30_points_summary", "q52_top_players_per_month", "q66_multiple_regression")
-    return texts | {f"{name}_after_cleaning": _after_cleaning(texts[name]) for name in names}
+    cleaned = {f"{name}_after_cleaning": _after_cleaning(texts[name]) for name in names}
+    same = {
+        "q22_row_account_while_writing": "q22_row_account",
+        "q22_rejection_counts_while_writing": "q22_rejection_counts",
+        "q36_enriched_facts_by_user": "q36_enriched_facts",
+        "q56_user_totals_by_user": "q56_user_totals",
+    }
+    return texts | cleaned | {name: texts[other] for name, other in same.items()}
 
 
 def _texts() -> dict[str, str]:
     return {
         "s01_load_users_csv": _with("users_staging", "select * from users_staging"),
+        "s01_line_breaks_in_quotes": _with(
+            "users_staging",
+            """select case when subscriber = '1'
+                           then userid || chr(10) || '"x",' || chr(10) || coalesce(country, '')
+                           else userid end as userid, subscriber, country
+               from users_staging""",
+        ),
         "s02_load_facts_csv": _with(
             "event_performance_staging", "select * from event_performance_staging"
         ),
@@ -699,6 +713,24 @@ def _texts() -> dict[str, str]:
                 from player_classes group by user_type""",
         ),
         "q43_monthly_activity": _with("monthly", "select * from monthly"),
+        "q43_monthly_activity_of_a_year": _with("monthly", "select * from monthly where year(month) = 2012"),
+        "q44_monthly_changes_on_calendar": _with(
+            "event_performance",
+            """
+            , busy as (
+                select cast(date_trunc('month', event_date) as date) as month,
+                       cast(sum(points) as bigint) as total_points, count(distinct userid) as total_users
+                from event_performance where points >= 2150 group by 1),
+            months as (
+                select cast(unnest(generate_series(
+                    (select min(month) from busy), (select max(month) from busy), interval 1 month)) as date) as month)
+            select months.month, total_points, total_users, total_users is not null as has_events,
+                   total_points - lag(total_points) over w as total_points_change,
+                   total_users - lag(total_users) over w as total_users_change,
+                   row_number() over w > 1 and lag(total_users) over w is null as after_gap
+            from months left join busy on busy.month = months.month
+            window w as (order by months.month)""",
+        ),
         "q44_monthly_extent": _with(
             "monthly",
             f"""select {_ratio('sum(total_points)', 'count(*)', 4)} as avg_total_points,

@@ -6,8 +6,9 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from scorewright.sources.storage import materialize, new_path
 
@@ -54,6 +55,15 @@ def failed_casts(df: DataFrame, column: str, parsed: Column) -> DataFrame:
     return df.where(F.col(column).isNotNull() & parsed.isNull())
 
 
+def first_failed_cast(df: DataFrame, column: str, parsed: Column) -> DataFrame:
+    """The first value in file order that ``parsed`` could not turn into the target type.
+
+    ``df`` has the ``file`` and ``line`` of its rows (``load_csv_lines`` with positions).
+    """
+    failed = failed_casts(df, column, parsed).select("file", "line", column)
+    return failed.orderBy("file", "line").limit(1)
+
+
 @dataclass(frozen=True)
 class Rule:
     """A named row rule; ``violated`` is true for rows that break it."""
@@ -137,13 +147,54 @@ def split_flagged(flagged: DataFrame) -> tuple[DataFrame, DataFrame]:
     return flagged.where(fine).drop("failed_rules"), flagged.where(~fine)
 
 
-def write_split(flagged: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
-    """The valid and the rejected rows, written in one pass as two parts of the shared folder."""
+class Written(NamedTuple):
+    """The two parts of a written table, and the counts taken by the write itself."""
+
+    valid: DataFrame
+    rejected: DataFrame
+    counts: dict[str, int]
+
+    def row_account(self, spark: SparkSession) -> DataFrame:
+        """(outcome, num_rows): valid and rejected rows, and those in neither part."""
+        n = self.counts
+        rest = n["all"] - n["valid"] - n["rejected"]
+        rows = [("valid", n["valid"]), ("rejected", n["rejected"]), ("unaccounted", rest)]
+        return spark.createDataFrame(rows, "outcome string, num_rows long")
+
+    def rejection_counts(self, spark: SparkSession) -> DataFrame:
+        """Number of rejected rows per rule that was broken."""
+        marked = [(k.removeprefix(_RULE), n) for k, n in self.counts.items() if k.startswith(_RULE) and n]
+        return spark.createDataFrame(marked, "rule string, num_rows long")
+
+
+_RULE = "rule:"
+
+
+def write_split(flagged: DataFrame, label: str, rules: Sequence[str] = ()) -> Written:
+    """The valid and the rejected rows, written in one pass as two parts of the shared folder.
+
+    The same pass counts both, and the rows that break each of the named rules.
+    """
     spark, path = flagged.sparkSession, new_path(flagged.sparkSession, label)
     marked = flagged.withColumn("valid", F.size("failed_rules") == 0)
-    marked.write.partitionBy("valid").parquet(path)
+    counted = Observation()
+    (
+        marked.observe(
+            counted,
+            F.count("*").alias("all"),
+            F.count_if("valid").alias("valid"),
+            F.count_if(~F.col("valid")).alias("rejected"),
+            *[F.count_if(F.array_contains("failed_rules", r)).alias(f"{_RULE}{r}") for r in rules],
+        )
+        .write.partitionBy("valid")
+        .parquet(path)
+    )
     rows = spark.read.schema(marked.schema).parquet(path)
-    return rows.where("valid").drop("valid", "failed_rules"), rows.where("NOT valid").drop("valid")
+    return Written(
+        rows.where("valid").drop("valid", "failed_rules"),
+        rows.where("NOT valid").drop("valid"),
+        dict(counted.get),
+    )
 
 
 def validate(

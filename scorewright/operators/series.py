@@ -18,6 +18,29 @@ def monthly_activity(facts: DataFrame) -> DataFrame:
     )
 
 
+def on_calendar(series: DataFrame, values: Sequence[str], month: str = "month") -> DataFrame:
+    """Every month from the first to the last of a series, with changes from month to month.
+
+    A month without events has null values and ``has_events`` false; a change is null where
+    one of the two months has no events, and ``after_gap`` tells that the month before has none.
+    One row per month, so the one window is over few rows.
+    """
+    span = series.agg(F.min(month).alias("first"), F.max(month).alias("last"))
+    months = span.where(F.col("first").isNotNull()).select(
+        F.explode(F.expr("sequence(first, last, interval 1 month)")).alias(month)
+    )
+    found = months.join(series.withColumn("has_events", F.lit(True)), month, "left")
+    order = Window.orderBy(month)
+    changes = {f"{v}_change": F.col(v) - F.lag(v).over(order) for v in values}
+    return found.withColumns(
+        {
+            **changes,
+            "after_gap": ~F.coalesce(F.lag("has_events").over(order), F.row_number().over(order) == 1),
+            "has_events": F.coalesce("has_events", F.lit(False)),
+        }
+    )
+
+
 def daily_totals(facts: DataFrame) -> DataFrame:
     """Points per event day."""
     return facts.groupBy(F.col("event_date").alias("day")).agg(

@@ -8,6 +8,9 @@ from scorewright.functions.dates import SORTABLE_SEASON_NAMES
 from scorewright.operators import ranking, segments, series
 from scorewright.plans.inputs import Inputs
 
+#: Points of the few events that the series on the calendar is made of.
+_BUSY = 2_150
+
 
 def q43_monthly_activity(t: Inputs) -> DataFrame:
     return series.monthly_activity(t.facts).orderBy("month")
@@ -26,6 +29,13 @@ def q44_monthly_changes(t: Inputs) -> DataFrame:
     return series.with_change_label(changed, "total_points").orderBy("month")
 
 
+def q44_monthly_changes_on_calendar(t: Inputs) -> DataFrame:
+    """Of the busiest days alone, so that some months have no events."""
+    busy = t.facts.where(F.col("points") >= _BUSY)
+    monthly = series.monthly_activity(busy)
+    return series.on_calendar(monthly, ["total_points", "total_users"]).orderBy("month")
+
+
 def q45_monthly_points_of_positive_users(t: Inputs) -> DataFrame:
     return segments.monthly_points_of_class(t.facts, segments.POSITIVE, "total_positive_points")
 

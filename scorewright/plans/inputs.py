@@ -9,11 +9,18 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from scorewright.operators import encoding
-from scorewright.operators.cleaning import flagged_facts, flagged_users, normalise_dates
+from scorewright.operators.cleaning import (
+    fact_rules,
+    flagged_facts,
+    flagged_users,
+    normalise_dates,
+    user_rules,
+)
 from scorewright.operators.joins import users_with_totals
-from scorewright.operators.quality import write_split
+from scorewright.operators.quality import Written, write_split
 from scorewright.sources import derived, schemas
 from scorewright.sources.csv_files import load_csv_lines
+from scorewright.sources.layout import ByUser, store_by_user
 
 
 class Inputs:
@@ -52,6 +59,20 @@ class Inputs:
         """Every staging fact, repaired, with the rules it breaks."""
         return flagged_facts(self.staging_facts, self.as_of)
 
+    def written_facts(self) -> Written:
+        """The staging facts, checked, written as valid and rejected ones, and counted."""
+        rules = [rule.name for rule in fact_rules(self.as_of)]
+        return write_split(self.flagged_facts(), "event-performance", rules)
+
+    def written_users(self) -> Written:
+        rules = [rule.name for rule in user_rules(self.levels, self.attribute)]
+        return write_split(self.flagged_users(), "users", [*rules, "userid_unique"])
+
+    @cached_property
+    def stored(self) -> ByUser:
+        """Facts and users in buckets by user and folders by month."""
+        return store_by_user(self.facts, self.users)
+
     @cached_property
     def dated_facts(self) -> DataFrame:
         """Staging facts after the date repair."""
@@ -104,28 +125,28 @@ class Cleaned(Inputs):
     """
 
     @cached_property
-    def _checked_users(self) -> tuple[DataFrame, DataFrame]:
-        return write_split(self.flagged_users(), "users")
+    def _checked_users(self) -> Written:
+        return self.written_users()
 
     @cached_property
-    def _checked_facts(self) -> tuple[DataFrame, DataFrame]:
-        return write_split(self.flagged_facts(), "event-performance")
+    def _checked_facts(self) -> Written:
+        return self.written_facts()
 
     @cached_property
     def users(self) -> DataFrame:
-        return self._checked_users[0]
+        return self._checked_users.valid
 
     @cached_property
     def facts(self) -> DataFrame:
-        return self._checked_facts[0]
+        return self._checked_facts.valid
 
     @property
     def rejected_users(self) -> DataFrame:
-        return self._checked_users[1]
+        return self._checked_users.rejected
 
     @property
     def rejected_facts(self) -> DataFrame:
-        return self._checked_facts[1]
+        return self._checked_facts.rejected
 
 
 class CleanedOrderTables(Cleaned, OrderTables):

@@ -9,13 +9,7 @@ from scorewright.operators import cleaning, quality, ranking
 from scorewright.plans.inputs import Inputs
 from scorewright.sources import schemas, tables
 from scorewright.sources.csv_files import export_csv, load_csv, load_csv_lines
-from scorewright.sources.storage import new_path
-
-
-def _own_table(t: Inputs, name: str) -> tuple[str, str]:
-    """A table name and a place that no other table has."""
-    place = new_path(t.spark, name)
-    return f"{name}_{place.rsplit('-', 1)[1]}", place
+from scorewright.sources.storage import new_path, new_table
 
 
 def s01_load_users_csv(t: Inputs) -> DataFrame:
@@ -24,6 +18,17 @@ def s01_load_users_csv(t: Inputs) -> DataFrame:
     return load_csv(t.spark, path, schemas.staging_users(t.attribute))
 
 
+def s01_line_breaks_in_quotes(t: Inputs) -> DataFrame:
+    """Users whose ids hold line breaks, quotes and commas, written and loaded again."""
+    path = new_path(t.spark, "users-csv")
+    broken = F.concat("userid", F.lit('\n"x",\n'), F.coalesce(t.attribute, F.lit("")))
+    rows = t.staging_users.withColumn(
+        "userid", F.when(F.col("subscriber") == "1", broken).otherwise(F.col("userid"))
+    )
+    export_csv(rows, path)
+    return load_csv_lines(t.spark, path, schemas.staging_users(t.attribute))[0]
+
+
 def s02_load_facts_csv(t: Inputs) -> DataFrame:
     path = new_path(t.spark, "facts-csv")
     export_csv(t.staging_facts, path)
@@ -45,7 +50,7 @@ def s02_malformed_lines(t: Inputs) -> DataFrame:
 
 
 def s03_replace_staging_table(t: Inputs) -> DataFrame:
-    return tables.replace_table(t.staging_users, *_own_table(t, "users_staging"))
+    return tables.replace_table(t.staging_users, *new_table(t.spark, "users_staging"))
 
 
 def s06_sql_with_dates(t: Inputs) -> DataFrame:
@@ -60,7 +65,7 @@ def s06_sql_with_dates(t: Inputs) -> DataFrame:
 
 
 def s07_persisted_step(t: Inputs) -> DataFrame:
-    name, location = _own_table(t, "dated_facts")
+    name, location = new_table(t.spark, "dated_facts")
     return tables.run_step(
         cleaning.normalise_dates, t.staging_facts, table=name, location=location
     )
@@ -68,7 +73,7 @@ def s07_persisted_step(t: Inputs) -> DataFrame:
 
 def s08_insert_select(t: Inputs) -> DataFrame:
     """Staging rows, repaired, into an empty clean table, but for those that break a rule."""
-    name, location = _own_table(t, "event_performance")
+    name, location = new_table(t.spark, "event_performance")
     tables.replace_table(t.spark.createDataFrame([], schemas.clean_facts()), name, location)
     return tables.insert_select(
         t.flagged_facts(),

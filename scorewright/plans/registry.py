@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scorewright.plans import activity, loading, participation, statistics
+from scorewright.plans import activity, loading, participation, statistics, stored
 from scorewright.plans.inputs import CleanedOrderTables, Inputs, OrderTables
 
 _JOB_NAME = re.compile(r"[qs]\d\d_\w+")
@@ -22,7 +22,7 @@ def jobs_on_inputs() -> dict[str, Callable[[Inputs], DataFrame]]:
     """The jobs over any loaded tables, such as ``CsvTables``."""
     found = {
         name: job
-        for module in (loading, participation, activity, statistics)
+        for module in (loading, participation, activity, statistics, stored)
         for name, job in vars(module).items()
         if _JOB_NAME.fullmatch(name)
     }

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+#: Folders of the scopes that are open, and the catalog's tables that lie in the shared folder.
+_scopes: list[str] = []
+_tables: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,7 +35,15 @@ def app_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{app_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{'/'.join([app_dir(spark), *_scopes])}/{label}-{uuid.uuid4().hex}"
+
+
+def new_table(spark: SparkSession, label: str) -> tuple[str, str]:
+    """A table name and a place in the shared folder that no other table has."""
+    place = new_path(spark, label)
+    name = f"{label}_{place.rsplit('-', 1)[1]}"
+    _tables[name] = place
+    return name, place
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -44,7 +57,30 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    for name in [n for n, place in _tables.items() if place.startswith(f"{folder}/")]:
+        spark.sql(f"DROP TABLE IF EXISTS `{name}`")
+        del _tables[name]
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def remove_intermediates(spark: SparkSession) -> None:
     """Delete this application's part of the shared folder, once its results are consumed."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(app_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _remove(spark, app_dir(spark))
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables of the jobs inside are removed at the end, also after a failure.
+
+    Lazy results read them, so a result is to be written or collected inside the scope.
+    Scopes may be nested; jobs of other threads do not share the scope's end with safety.
+    """
+    _scopes.append(f"scope-{uuid.uuid4().hex}")
+    folder = "/".join([app_dir(spark), *_scopes])
+    try:
+        yield
+    finally:
+        _scopes.pop()
+        _remove(spark, folder)

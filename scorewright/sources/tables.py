@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -36,9 +36,16 @@ def run_query(
     sql: str,
     index_columns: Sequence[str] = (),
     date_columns: Sequence[str] = (),
+    args: Mapping[str, object] | Sequence[object] | None = None,
 ) -> DataFrame:
-    """Run a SQL query; index columns come first, date columns are parsed to DATE."""
-    result = spark.sql(sql)
+    """Run a SQL query; index columns come first, date columns are parsed to DATE.
+
+    ``args`` are values for the query's parameters (``:name`` or ``?``); they are bound, never
+    pasted into the text.  Columns that the result does not have are refused.
+    """
+    result = spark.sql(sql, args=args) if args else spark.sql(sql)
+    if unknown := {*index_columns, *date_columns}.difference(result.columns):
+        raise ValueError(f"no such columns in the result: {', '.join(sorted(unknown))}")
     if date_columns:
         result = result.withColumns({name: F.to_date(name) for name in date_columns})
     others = [name for name in result.columns if name not in index_columns]

@@ -16,8 +16,9 @@ each worker keeps the ids of the chunks it has met in a bounded table.  Other ki
 tokenizer files get whole texts.
 
 Defined results: null texts count as empty and get the end id alone; documents go by
-doc_id (null last), repeated ids by their token ids; other columns are ignored.  An
-empty table gives files without blocks and no rows.
+doc_id (null last), rows of one id by the hash of their token ids, so any number of rows of
+one id or without one is split over tasks; other columns are ignored.  An empty table gives
+files without blocks and no rows.  A very long text is a row of the files like any other.
 """
 
 from __future__ import annotations
@@ -48,10 +49,12 @@ _SPELLING = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in
 _SPACE = chr(_SPELLING[32])
 _SLOW = re.compile(f"[{_RARE}]")
 #: Words whose ids a worker keeps.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 800_000
 #: Tokens of a block and of a partition of the files.
 BLOCK_TOKENS = 1 << 19
 PARTITION_TOKENS = 1 << 23
+#: Partitions of the files at most; beyond, each holds more blocks.
+MOST_PARTITIONS = 20_000
 
 _BLOCK_SCHEMA = """
     part int, block int, start long, n_tokens long, lanes int, doc_ids array<long>,
@@ -94,7 +97,7 @@ class Tokens:
             and not parts.get("normalizer")
             and (parts["model"].get("type"), parts["model"].get("dropout")) == ("BPE", None)
             and not any(
-                re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"]
+                re.search(r"\s", t["content"]) or t["content"].isalpha() or t["lstrip"] or t["rstrip"] or t["single_word"]
                 for t in parts.get("added_tokens", [])
             )
         )
@@ -248,10 +251,12 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int, text: str
     spark.createDataFrame(table, "id long, frequency long").coalesce(1).write.parquet(
         f"{folder}/frequencies"
     )
-    n_parts = max(1, -(-int(seen.sum()) // PARTITION_TOKENS))
-    order = [F.col("doc_id").isNull(), F.col("doc_id")]
-    dealt = ids.repartitionByRange(n_parts, *order).sortWithinPartitions(*order, "ids")
-    blocks = dealt.mapInArrow(_blocks(spark.sparkContext.broadcast(frequencies), kind), _BLOCK_SCHEMA)
+    n_parts = min(max(1, -(-int(seen.sum()) // PARTITION_TOKENS)), MOST_PARTITIONS)
+    # Rows of one id are split by their ids' hash, rows that are alike by their place.
+    order = [F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("ids")]
+    placed = ids.withColumn("place", F.monotonically_increasing_id())
+    dealt = placed.repartitionByRange(n_parts, *order, "place").sortWithinPartitions(*order, "ids")
+    blocks = dealt.select("doc_id", "ids").mapInArrow(_blocks(spark.sparkContext.broadcast(frequencies), kind), _BLOCK_SCHEMA)
     blocks.write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
 
 

@@ -77,6 +77,24 @@ def test_token_files_of_odd_rows(spark, monkeypatch):
     assert all(by_start[r.start] == zlib.crc32(r.ids) for r in rows)
 
 
+def test_a_hot_id_is_split_over_the_partitions(spark, monkeypatch):
+    """A third of the rows have no id, another third one id and one text."""
+    monkeypatch.setattr(token_files, "PARTITION_TOKENS", 500)
+    docs = spark.range(0, 3000, 1, 4).selectExpr(
+        "case id % 3 when 0 then null when 1 then 7L else id end as doc_id",
+        "if(id % 3 = 1, 'the same words', concat('number ', id)) as text",
+    )
+    folder = new_path(spark, "test-tokens")
+    token_files.write_tokens(docs, folder, BYTES, 2)
+    parts = spark.read.parquet(f"{folder}/blocks").groupBy("part").sum("n_tokens").collect()
+    total = sum(r[1] for r in parts)
+    assert len(parts) > 10 and max(r[1] for r in parts) < 0.25 * total
+    rows = sorted(token_files.read_tokens(spark, folder).collect(), key=lambda r: r.start)
+    ids = [r.doc_id for r in rows]
+    assert ids == sorted(ids, key=lambda i: (i is None, i or 0)) and len(ids) == 3000
+    assert [r.start for r in rows] == [0, *np.cumsum([r.n_tokens for r in rows])[:-1].tolist()]
+
+
 def test_token_files_of_no_rows(spark):
     folder = new_path(spark, "test-tokens")
     token_files.write_tokens(no_docs(spark), folder, BYTES, 2)

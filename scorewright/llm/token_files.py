@@ -49,7 +49,7 @@ _SPELLING = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in
 _SPACE = chr(_SPELLING[32])
 _SLOW = re.compile(f"[{_RARE}]")
 #: Words whose ids a worker keeps.
-CACHED_WORDS = 800_000
+CACHED_WORDS = 500_000
 #: Tokens of a block and of a partition of the files.
 BLOCK_TOKENS = 1 << 19
 PARTITION_TOKENS = 1 << 23
@@ -117,9 +117,9 @@ class Tokens:
         lead, rest = (self.line_end, word[1:]) if word[:1] == "\n" else (b"", word)
         stem = rest.rstrip(".,")
         if stem.isalpha() and (stem.isascii() or max(stem) < "\u0250"):
-            ids = lead + self._unit(stem if lead else " " + stem)
-            tail = rest[len(stem) :]
-            return ids + self.tail(tail) if tail else ids
+            if tail := rest[len(stem) :]:
+                return self.table[word[: -len(tail)]] + self.tail(tail)
+            return lead + self._unit(stem if lead else " " + stem)
         return self._encode_chunk(word if lead else " " + word)
 
     def _unit(self, unit: str) -> bytes:

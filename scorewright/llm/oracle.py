@@ -7,7 +7,8 @@ _WORDS = r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)"
 _MIX = rf"""
 WITH docs AS (
   SELECT doc_id, source, {_WORDS}::BIGINT AS size,
-         ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT
+         ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))
+             || ':' || (row_number() OVER (PARTITION BY doc_id, source, coalesce(text, '')) - 1)), 1, 13))::BIGINT
            / 4503599627370496.0::DOUBLE AS draw
   FROM documents
 ), sources AS (

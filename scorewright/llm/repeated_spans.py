@@ -9,8 +9,9 @@ words they cover: equal windows have equal anchors, so equal edges meet at one a
 2. Non-branching bundles that follow each other, each being the only neighbour of the
    other, are compacted into paths by joining them with their anchors.  A path has one
    source: its first document.  A checksum over its bundles finds the coordinates of its
-   span there, which are reported; spans without them are repeats all the same, as the
-   digests of their bundles are equal.
+   span there; a span is taken only with them.  Neighbours are compared by a part of their
+   digests, so a path may run on too far: it is not found in its source, and all bundles
+   with its anchors go to step 3.
 3. At branching anchors the single edges decide: the texts of one copy of each different
    bundle are read again, and their windows are counted by anchor and digest.
 
@@ -23,8 +24,10 @@ splits a passage that a third of the documents share.  Digests have 64 bits and
 compared under one 64-bit anchor.
 
 Defined results: null texts have no words; texts shorter than a window keep all words;
-rows with the same doc_id are no repeats of each other; a null doc_id counts as the
-largest; repeats within one document stay; other columns are ignored.
+rows with the same doc_id are no repeats of each other, and rows of one id and one text go
+through the graph once, however many there are; a null doc_id counts as the largest; repeats
+within one document stay; a very long text is bundled whole, in one task; other columns are
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -49,10 +52,14 @@ _MIX2 = np.uint64(0xFF51AFD7ED558CCD)
 
 @dataclass(frozen=True)
 class Shape:
-    """Words of a window (an edge) and of the k-mers that anchor it."""
+    """Words of a window (an edge) and of the k-mers that anchor it.
+
+    ``near_bits``: bits of a neighbouring bundle's digest that travel with a bundle.
+    """
 
     window: int = 50
     anchor: int = 16
+    near_bits: int = 32
 
 
 def _digest(data: bytes) -> int:
@@ -88,7 +95,7 @@ def _bundles_of(text: bytes, shape: Shape) -> list[np.ndarray] | None:
     offsets = np.concatenate([[0], np.cumsum(sizes)])
     lows, highs = offsets[starts].tolist(), (offsets[ends + shape.window - 1] - 1).tolist()
     digests = np.array([_digest(joined[a:b]) for a, b in zip(lows, highs)], np.int64)
-    short = digests.astype(np.int32)
+    short = (digests & ((1 << shape.near_bits) - 1)).astype(np.uint32).view(np.int32)
     before = np.concatenate([[0], short[:-1]])
     after = np.append(short[1:], 0)
     return [kmers[places[starts]].view(np.int64), digests, starts, ends - starts, before, after]
@@ -129,6 +136,19 @@ def _texts(docs: DataFrame, text: str) -> DataFrame:
     )
 
 
+def _once(texts: DataFrame) -> DataFrame:
+    """Each text of an id once; only rows that occur again are dealt by their key."""
+    key = ["doc", "th"]
+    again = materialize(
+        texts.groupBy(*key).agg(F.count("*").alias("rows")).where("rows > 1").select(*key),
+        "repeated-rows",
+    )
+    if again.isEmpty():
+        return texts
+    several = texts.join(again, key, "left_semi").groupBy(*key).agg(F.first("text").alias("text"))
+    return texts.join(again, key, "left_anti").unionByName(several)
+
+
 def _anchors(bundles: DataFrame) -> DataFrame:
     """Anchors that several documents have, with their first document and how they branch."""
     both = [f(c).alias(f"{f.__name__}_{c}") for c in ("doc", "digest", "before", "after") for f in (F.min, F.max)]
@@ -162,8 +182,8 @@ def _paths(bundles: DataFrame) -> DataFrame:
     )
 
 
-def _verified(paths: DataFrame) -> DataFrame:
-    """Spans outside their source, with the start of the same path in the source."""
+def _placed(paths: DataFrame) -> DataFrame:
+    """Spans outside their source, with the start of the same path there; null if it has none."""
     sources = materialize(
         paths.where("doc = source")
         .groupBy("head", "checksum", "n", "source")
@@ -171,9 +191,21 @@ def _verified(paths: DataFrame) -> DataFrame:
         "span-sources",
     )
     copies = paths.where("doc > source").select("doc", "th", "start", "n", "head", "checksum", "source")
-    return copies.join(sources, ["head", "checksum", "n", "source"], "left").select(
-        "doc", "th", "start", "n", "source", "source_start"
+    found = copies.join(sources, ["head", "checksum", "n", "source"], "left")
+    return materialize(found.select("doc", "th", "start", "n", "source", "source_start"), "placed-spans")
+
+
+def _of_unplaced(bundles: DataFrame, placed: DataFrame) -> DataFrame | None:
+    """All bundles with an anchor that a span without coordinates goes through."""
+    lost = placed.where("source_start IS NULL").select("doc", "th", F.col("start").alias("low"), "n")
+    if lost.isEmpty():
+        return None
+    spans = lost.groupBy("doc", "th").agg(
+        F.collect_list(F.struct("low", (F.col("low") + F.col("n")).alias("high"))).alias("lost")
     )
+    inside = F.exists("lost", lambda s: F.col("start").between(s["low"], s["high"] - 1))
+    anchors = bundles.join(spans, ["doc", "th"]).where(inside).select("anchor").distinct()
+    return bundles.join(materialize(anchors, "unplaced-anchors"), "anchor", "left_semi")
 
 
 _EDGE = "anchor long, edge long, bundle long, i int, first long, last long"
@@ -217,7 +249,7 @@ def _branching(bundles: DataFrame, packed: DataFrame, shape: Shape) -> DataFrame
             F.struct("anchor", "bundle", "start", "n", F.col("doc").alias("first"), "last")
         ).alias("bundles")
     )
-    again = packed.dropDuplicates(["doc", "th"]).join(listed, ["doc", "th"]).select("packed", "bundles")
+    again = packed.join(listed, ["doc", "th"]).select("packed", "bundles")
     edges = materialize(again.mapInArrow(_edges_of(shape), _EDGE), "span-edges")
     firsts = materialize(
         edges.groupBy("anchor", "edge")
@@ -246,7 +278,7 @@ def _branching(bundles: DataFrame, packed: DataFrame, shape: Shape) -> DataFrame
     )
 
 
-def _packed(docs: DataFrame, text: str) -> DataFrame:
+def _packed(texts: DataFrame) -> DataFrame:
     """doc, th, and the text packed for travelling."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,7 +290,7 @@ def _packed(docs: DataFrame, text: str) -> DataFrame:
                 [batch.column(0), batch.column(1), small], ["doc", "th", "packed"]
             )
 
-    return _texts(docs, text).mapInArrow(pack, "doc long, th long, packed binary")
+    return texts.mapInArrow(pack, "doc long, th long, packed binary")
 
 
 @dataclass(frozen=True)
@@ -275,15 +307,23 @@ def find_repeats(docs: DataFrame, text: str = "text", shape: Shape = Shape()) ->
 
     ``paths``: doc, th, start, n (windows), source, source_start; ``edges``: doc, th, spans.
     """
-    bundles = _texts(docs, text).mapInArrow(_bundled(shape), _BUNDLE)
+    once = _once(_texts(docs, text))
+    bundles = once.mapInArrow(_bundled(shape), _BUNDLE)
     anchors = _anchors(bundles)
     repeated = materialize(
         bundles.drop("before", "after").join(anchors, "anchor"), "span-repeated-bundles"
     )
-    packed = _packed(docs, text)
-    paths = materialize(_paths(repeated.where("whole")), "span-paths")
-    branching = repeated.where("NOT whole").select("anchor", "digest", "doc", "th", "start", "n")
-    return Repeats(_verified(paths), _branching(branching, packed, shape), packed)
+    placed = _placed(materialize(_paths(repeated.where("whole")), "span-paths"))
+    columns = ["anchor", "digest", "doc", "th", "start", "n"]
+    branching = repeated.where("NOT whole").select(*columns)
+    unplaced = _of_unplaced(repeated.where("whole").select(*columns), placed)
+    if unplaced is not None:
+        branching = branching.unionByName(unplaced)
+    return Repeats(
+        placed.where("source_start IS NOT NULL"),
+        _branching(branching, _packed(once), shape),
+        _packed(_texts(docs, text)),
+    )
 
 
 def _kept(shape: Shape):

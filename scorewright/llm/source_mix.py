@@ -12,18 +12,22 @@ rows costs no more than its rows (the join side is the small table, and Spark sp
 or broadcasts by size).
 
 Defined results: null texts count 0 words; null is a source of its own; a source
-without words has target 0 and its documents are taken 0 times; rows with the same
-doc_id share one decision, so repeated rows are taken alike; an empty table gives no
-rows.  Clashing column names are left alone (rows travel as one struct).
+without words has target 0 and its documents are taken 0 times; every row draws for itself:
+by its id (null too), source and text, and rows alike in all three by a number among them,
+given in the order in which the table is read; an empty table gives no rows; a very long
+text counts as a whole.  Clashing column names are left alone (rows travel as one struct).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from scorewright.llm.common import n_words
+from scorewright.operators.ranking import global_rank
 from scorewright.sources.storage import materialize
 
 WEIGHTS = (5, 2, 1)
@@ -79,12 +83,37 @@ def targets(
     return level.select("source", "source_size", target.alias("target"))
 
 
-def _draw(doc_id: Column, seed: str) -> Column:
-    """A number in [0, 1) that depends on the id alone."""
-    key = F.concat_ws(":", F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("null")))
+_KEY = ["id", "source", "digest"]
+
+
+def _draw(seed: str) -> Column:
+    """A number in [0, 1) from the id, the text's digest and the number among equal rows."""
+    doc_id = F.coalesce(F.col("id"), F.lit("null"))
+    key = F.concat_ws(":", F.lit(seed), doc_id, "digest", F.col("number").cast("string"))
     return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("long") / float(16**13)
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Add ``number``: 0, 1, ... among rows with the same id, source and text.
+
+    Only rows that are repeated are numbered; they are placed by ranges, so that any number
+    of them is split.
+    """
+    again = materialize(
+        rows.groupBy(*_KEY).agg(F.count("*").alias("rows")).where("rows > 1").select(*_KEY),
+        "repeated-rows",
+    )
+    if again.isEmpty():
+        return rows.withColumn("number", F.lit(0).cast("long"))
+    same = reduce(and_, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in _KEY])
+    keys = rows.select(*_KEY, "uid").alias("l").join(again.alias("r"), same, "left_semi")
+    numbers = global_rank(keys, ["uid"], within=_KEY).select(
+        "uid", (F.col("rank") - 1).alias("number")
+    )
+    found = rows.join(materialize(numbers, "row-numbers"), "uid", "left")
+    return found.withColumn("number", F.coalesce("number", F.lit(0).cast("long")))
+
+
 def with_copies(
     docs: DataFrame, *columns: str, seed: str = SEED, **shares
 ) -> DataFrame:
@@ -94,7 +123,16 @@ def with_copies(
     so that Spark knows their size when it chooses how to join them.
     """
     size = n_words(F.col("text")).alias("size")
-    rows = docs.select(F.struct(*(columns or ["*"])).alias("row"), "source", size)
+    rows = _numbered(
+        docs.select(
+            F.struct(*(columns or ["*"])).alias("row"),
+            F.col("doc_id").cast("string").alias("id"),
+            "source",
+            F.md5(F.coalesce("text", F.lit(""))).alias("digest"),
+            size,
+            F.monotonically_increasing_id().alias("uid"),
+        )
+    )
     sizes = docs.select("source", size).groupBy("source").agg(F.sum("size").alias("source_size"))
     rates = materialize(
         targets(sizes, **shares).select(
@@ -106,7 +144,7 @@ def with_copies(
         "mix-rates",
     )
     whole = F.floor("rate")
-    extra = (_draw(F.col("row.doc_id"), seed) < F.col("rate") - whole).cast("long")
+    extra = (_draw(seed) < F.col("rate") - whole).cast("long")
     return rows.join(rates, F.col("source").eqNullSafe(F.col("of"))).select(
         "row", "size", "source_size", "target", F.coalesce(whole + extra, F.lit(0)).alias("copies")
     )

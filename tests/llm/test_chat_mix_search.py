@@ -8,6 +8,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -115,6 +116,17 @@ def test_search_of_all_cells_is_exact_and_ties_go_by_id(spark):
     assert {r.query_id for r in found} == set(range(0, 400, 20))
 
 
+@pytest.mark.parametrize("text", ["concat('w', id, ' x y z')", "'the same seven words of every row'"])
+def test_a_mix_of_rows_without_ids_meets_its_target(spark, text):
+    """3,000 rows without an id, with a text each or one text for all."""
+    docs = spark.range(0, 3000, 1, 4).selectExpr("cast(null as long) as doc_id", f"{text} as text", "'a' as source")
+    docs = docs.unionByName(spark.sql("select 1L as doc_id, 'one two' as text, 'b' as source"))
+    report = source_mix.mix_report(docs)
+    (row,) = report.where("doc_id is null").groupBy("target").sum("taken").collect()
+    assert abs(row[1] / row.target - 1) < 0.05
+    assert sorted(map(str, report.collect())) == sorted(map(str, source_mix.mix_report(docs).collect()))
+
+
 def test_search_of_a_part_finds_nine_tenths(spark):
     """On 500 vectors without structure; tables this small are searched whole by default."""
     vectors = table(spark, SMALL, "embeddings")

@@ -84,8 +84,8 @@ def spans_removed(texts, window):
         yield i, len(w), sum(gone), b" ".join(x for x, g in zip(w, gone) if not g).decode()
 
 
-@pytest.mark.parametrize("letters", ["ab", "abcdefghijklm"])
-def test_repeated_spans_like_plain_code(spark, letters):
+@pytest.mark.parametrize(("letters", "bits"), [("ab", 32), ("abcdefghijklm", 32), ("abcdefghijklm", 0)])
+def test_repeated_spans_like_plain_code(spark, letters, bits):
     draw = random.Random(len(letters))
     texts = []
     for _ in range(60):
@@ -96,7 +96,7 @@ def test_repeated_spans_like_plain_code(spark, letters):
             at = draw.randrange(0, len(words) + 1)
             words[at:at] = old[begin : begin + draw.randrange(0, 40)]
         texts.append("  ".join(words))
-    shape = repeated_spans.Shape(window=8, anchor=3)
+    shape = repeated_spans.Shape(window=8, anchor=3, near_bits=bits)
     found = repeated_spans.without_repeats(as_docs(spark, texts), shape=shape).collect()
     assert sorted(map(tuple, found)) == sorted(spans_removed(texts, 8))
 
@@ -200,3 +200,26 @@ def test_components_of_chains_and_stars(spark):
     for row in found:
         groups[row.component].add(row.node)
     assert groups == {100: set(range(100, 141)), 0: {*range(30), 200}}
+
+
+def test_coordinates_in_the_source_catch_paths_that_run_on(spark):
+    """Without any bit of the neighbours' digests, passages that follow each other run together."""
+    draw = random.Random(9)
+    passages = [" ".join(f"p{i}w{draw.randrange(10**6)}" for _ in range(30)) for i in range(6)]
+    orders = [(0, 1), (2, 3), (4, 5), (0, 3), (2, 5), (4, 1), (0, 1, 2), (3, 2)]
+    texts = [" ".join(passages[i] for i in order) for order in orders]
+    shape = repeated_spans.Shape(window=8, anchor=3, near_bits=0)
+    found = repeated_spans.without_repeats(as_docs(spark, texts), shape=shape).collect()
+    assert sorted(map(tuple, found)) == sorted(spans_removed(texts, 8))
+    paths = repeated_spans.find_repeats(as_docs(spark, texts), shape=shape).paths
+    assert paths.where("source_start IS NULL").count() == 0
+
+
+def test_many_equal_rows_of_one_id_are_one_text(spark):
+    words = " ".join(f"w{i}" for i in range(400))
+    docs = spark.range(4000).selectExpr(
+        "if(id = 0, 1L, null) as doc_id", f"'{words}' as text", "id as other"
+    )
+    found = repeated_spans.without_repeats(docs).groupBy("doc_id", "n_removed").count().collect()
+    assert sorted((r.doc_id or 0, r.n_removed, r["count"]) for r in found) == [(0, 400, 3999), (1, 0, 1)]
+    assert repeated_spans.find_repeats(docs).paths.count() + 0 <= 2

@@ -714,6 +714,14 @@ def _texts() -> dict[str, str]:
         ),
         "q43_monthly_activity": _with("monthly", "select * from monthly"),
         "q43_monthly_activity_of_a_year": _with("monthly", "select * from monthly where year(month) = 2012"),
+        "q43_players_by_month_quarter_year": _with(
+            "event_performance",
+            "\nunion all\n".join(
+                f"select '{unit}' as unit, cast(date_trunc('{unit}', event_date) as date) as period,"
+                " count(distinct userid) as num_players from event_performance group by all"
+                for unit in ("month", "quarter", "year")
+            ),
+        ),
         "q44_monthly_changes_on_calendar": _with(
             "event_performance",
             """

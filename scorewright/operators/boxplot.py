@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from scorewright.operators.ranking import group_quantiles, place_by_range
+from scorewright.operators.ranking import quantiles_by_narrowing
 from scorewright.sources.storage import materialize
 
 # Fixed value: whiskers reach at most this many interquartile ranges beyond the box.
@@ -29,12 +29,14 @@ def _by_attribute(totals: DataFrame, attributes: Sequence[str]) -> DataFrame:
 def _with_fences(totals: DataFrame, attributes: Sequence[str]) -> DataFrame:
     """The users of every level with the quartiles and fences of their level.
 
-    The quartiles are written out: Catalyst then sees one small row per level and joins
-    them to the users without a shuffle.
+    The totals are written once, whatever the number of attributes, and read in each round
+    that narrows the quartiles.  The quartiles are written out too: Catalyst then sees one
+    small row per level and joins them to the users without a shuffle.
     """
-    placed = place_by_range(_by_attribute(totals, attributes), ("total_points", "userid"), _GROUP)
+    stored = materialize(totals.select("userid", "total_points", *attributes), "box-totals")
+    rows = _by_attribute(stored, attributes)
     quartiles = materialize(
-        group_quantiles(placed, "total_points", {"q1": 0.25, "median": 0.5, "q3": 0.75}),
+        quantiles_by_narrowing(rows, "total_points", _GROUP, {"q1": 0.25, "median": 0.5, "q3": 0.75}),
         "quartiles",
     )
     fences = quartiles.selectExpr(
@@ -42,7 +44,7 @@ def _with_fences(totals: DataFrame, attributes: Sequence[str]) -> DataFrame:
         f"q1 - {WHISKER_REACH}D * (q3 - q1) as low_fence",
         f"q3 + {WHISKER_REACH}D * (q3 - q1) as high_fence",
     )
-    return placed.rows.join(fences, list(_GROUP))
+    return rows.join(fences, list(_GROUP))
 
 
 def box_stats(totals: DataFrame, attributes: Sequence[str]) -> DataFrame:

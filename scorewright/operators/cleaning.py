@@ -15,11 +15,8 @@ from scorewright.sources.schemas import ANALYSIS_DATE, FIRST_VALID_DATE, MAX_ID_
 
 def split_invalid_dates(staging: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows whose date text parses (or is missing), and the rows to drop."""
-    flagged = quality.compute_once(
-        staging.withColumn("_parsed", parse_month_day_year("event_date"))
-    )
-    bad = F.col("event_date").isNotNull() & F.col("_parsed").isNull()
-    return tuple(flagged.where(rows).select(*staging.columns) for rows in (~bad, bad))
+    bad = F.col("event_date").isNotNull() & parse_month_day_year("event_date").isNull()
+    return staging.where(~bad), staging.where(bad)
 
 
 def _with_parsed_date(staging: DataFrame, **repairs: Column) -> DataFrame:
@@ -102,7 +99,8 @@ def clean_users(
 
 def clean_facts(staging: DataFrame, as_of: date = ANALYSIS_DATE) -> tuple[DataFrame, DataFrame]:
     """Valid facts, and rejected rows with their reasons; each row is in one of them."""
-    return quality.split_flagged(quality.compute_once(flagged_facts(staging, as_of)))
+    # The repaired values are computed once already; the rules on them are cheap.
+    return quality.split_flagged(flagged_facts(staging, as_of))
 
 
 def row_account(staging: DataFrame, flagged: DataFrame) -> DataFrame:

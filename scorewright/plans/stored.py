@@ -6,7 +6,7 @@ from datetime import date
 
 from pyspark.sql import DataFrame
 
-from scorewright.operators import joins, series
+from scorewright.operators import distinct, joins, series
 from scorewright.plans.inputs import Inputs
 
 #: The period of the job that reads a part of the months.
@@ -30,5 +30,9 @@ def q43_monthly_activity_of_a_year(t: Inputs) -> DataFrame:
     return series.monthly_activity(t.stored.period(*PERIOD)).orderBy("month")
 
 
+def q43_players_by_month_quarter_year(t: Inputs) -> DataFrame:
+    return distinct.counts_by_month_quarter_year(t.facts, "event_date", "userid", "num_players")
+
+
 def q56_user_totals_by_user(t: Inputs) -> DataFrame:
     return t.stored.each_part(lambda facts, users: joins.users_with_totals(users, facts, t.attribute))

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F, types as T
 
 from scorewright.functions.dates import parse_month_day_year
-from scorewright.operators import joins, quality, series
+from scorewright.operators import boxplot, distinct, joins, quality, ranking, series
 from scorewright.sources import csv_records, layout, schemas, storage, tables
 from scorewright.sources.csv_files import export_csv, load_csv, load_csv_lines
 
@@ -214,3 +214,56 @@ def test_query_parameters_are_bound(spark):
     assert none.count() == 0
     with pytest.raises(ValueError, match="missing"):
         tables.run_query(spark, "SELECT name FROM people", index_columns=["missing"])
+
+
+def test_bitmaps_of_new_months_merge(spark):
+    rows = spark.range(5000).selectExpr(
+        "concat('u', pmod(xxhash64(id), 70000 div (1 + id % 3))) as userid",
+        "date_add(date'2019-01-01', cast(id % 300 as int)) as event_date",
+    )
+    old, new = rows.where("event_date < '2019-07-01'"), rows.where("event_date >= '2019-07-01'")
+    known = storage.materialize(distinct.dense_numbers(old), "known")
+    numbers = storage.materialize(distinct.dense_numbers(new, known=known), "numbers")
+    assert numbers.agg(F.max("number")).first()[0] == numbers.count() == rows.select("userid").distinct().count()
+    assert known.join(numbers, ["userid", "number"]).count() == known.count()
+    month = F.trunc("event_date", "month")
+    maps = distinct.bitmaps(old, known, month).unionByName(distinct.bitmaps(new, numbers, month))
+    found = distinct.distinct_counts(distinct.merged(maps, F.trunc("period", "year")), "n").collect()
+    assert [r.n for r in found] == [rows.select("userid").distinct().count()]
+    empty = distinct.counts_by_month_quarter_year(rows.limit(0), "event_date", "userid", "n")
+    assert empty.count() == 0
+
+
+def test_quantiles_by_narrowing_like_sorting(spark):
+    draw = random.Random(6)
+    values = [("a", draw.randrange(-(10**12), 10**12)) for _ in range(500)]
+    values += [("b", 7)] * 40 + [("c", v) for v in (3, -1, 10)] + [("d", draw.randrange(3)) for _ in range(200)]
+    values += [("e", None), ("a", None)]
+    frame = spark.createDataFrame(values, "g string, v long")
+    wanted = {"q1": 0.25, "median": 0.5, "q9": 0.9}
+    found = ranking.quantiles_by_narrowing(frame, "v", ["g"], wanted, bins=16).collect()
+    assert {r.g for r in found} == set("abcd")
+    for row in found:
+        ordered = sorted(v for g, v in values if g == row.g and v is not None)
+        assert row.n == len(ordered)
+        for name, p in wanted.items():
+            at = (len(ordered) - 1) * p
+            low, high = ordered[int(at)], ordered[min(int(at) + (at > int(at)), len(ordered) - 1)]
+            assert row[name] == pytest.approx(low + (high - low) * (at - int(at)), rel=1e-12)
+
+
+def test_box_totals_are_written_once(spark, monkeypatch):
+    written = []
+    original = storage.materialize
+
+    def noted(df, label):
+        found = original(df, label)
+        written.append((label, found.count()))
+        return found
+
+    for module in (boxplot, ranking):
+        monkeypatch.setattr(module, "materialize", noted)
+    totals = spark.range(3000).selectExpr("id as userid", "id * 37 % 1009 as total_points", "id % 2 as a", "id % 3 as b")
+    boxplot.box_stats(totals, ["a", "b"]).collect()
+    assert [n for label, n in written if n >= 3000] == [3000]
+    assert sum(n for label, n in written) < 3200

@@ -8,7 +8,7 @@ distribution over the languages, so a text that switches language is labelled wo
 word; a document's language is the one with the largest share of the words.
 
 Training: a bounded sample of labelled rows that are not held out, ``Sample`` documents
-per language by the hash of the id; the model (hashed weights, one row per feature) has
+per language by the hash of the id, of longer documents a part; the model (hashed weights, one row per feature) has
 a fixed size and goes to the tasks as a broadcast.  Prediction reads the text alone and
 covers every whole text; potentials are kept per distinct word in a bounded cache of
 each Python worker, so lines cost a look-up per word and a few array operations for
@@ -16,7 +16,9 @@ each step of many chains at once.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; so is
 everything if there is no labelled row; ties go to the language first in code point
-order; repeated rows get the same answer; other columns are ignored or handed through.
+order; repeated rows get the same answer; rows without an id are learned from and labelled
+like any other; an empty table gives an empty result; a text of any length is labelled whole;
+other columns are ignored or handed through.
 """
 
 from __future__ import annotations
@@ -191,16 +193,23 @@ class Model:
 
 
 def _training_rows(docs: DataFrame, text: str, lang: str, sample: Sample) -> DataFrame:
-    """(lang, text) of the sampled documents; the limit is applied before the shuffle."""
-    rows = docs.select(
-        F.col("doc_id").alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")
-    ).where(
-        F.col("lang").isNotNull()
-        & F.col("text").isNotNull()
-        & ~held_out(F.col("id"))
-        & (F.length("text") <= sample.characters)
+    """(lang, text) of the sampled documents; the limit is applied before the shuffle.
+
+    Documents of at most ``Sample.characters`` come first; of a longer one that many in a
+    row are taken, from a place that the hash of its id names.
+    """
+    size = F.length("text")
+    begin = F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), size - sample.characters)).cast("int")
+    part = F.substring(F.col("text"), begin + 1, F.lit(sample.characters))
+    rows = (
+        docs.select(
+            F.col("doc_id").alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")
+        )
+        .where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")))
+        .withColumn("long", size > sample.characters)
+        .withColumn("text", F.when(F.col("long"), part).otherwise(F.col("text")))
     )
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", F.xxhash64("text"))
+    order = Window.partitionBy("lang").orderBy("long", F.xxhash64("id"), "id", F.xxhash64("text"))
     ranked = rows.withColumn("rank", F.row_number().over(order))
     return ranked.where(F.col("rank") <= sample.documents).select("lang", "text")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from scorewright.llm import word_languages
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -49,3 +50,15 @@ def test_fields_are_decided_by_the_other_documents(spark):
     for i, a in enumerate(names[1:], 1):
         own = [f"{a} {places[i]}", f"{a} went home {places[i]} {a}", f"The {a}"]
         assert kept[i].text.split("\n") == own
+
+
+def test_a_language_of_long_documents_only_is_learned(spark):
+    """Documents of 30,000 characters are above the sample's bound; a part of each is learned."""
+    docs = spark.range(40).selectExpr(
+        "id as doc_id",
+        "if(id % 2 = 0, repeat('der hund und die katze nicht ', 1050), repeat('the dog and a cat not ', 40)) as text",
+        "if(id % 2 = 0, 'de', 'en') as lang",
+    )
+    found = word_languages.document_languages(docs).collect()
+    assert [r.lang_pred for r in sorted(found, key=lambda r: r.doc_id)] == ["de", "en"] * 20
+    assert docs.where("length(text) > 30000 - 1000 AND lang = 'de'").count() == 20

@@ -443,6 +443,9 @@ def oracle_sql() -> dict[str, str]:
         "q22_rejection_counts_while_writing": "q22_rejection_counts",
         "q36_enriched_facts_by_user": "q36_enriched_facts",
         "q56_user_totals_by_user": "q56_user_totals",
+        "q59_subscriber_correlation_from_moments": "q59_subscriber_correlation",
+        "q63_anova_from_moments": "q63_anova",
+        "q66_multiple_regression_from_moments": "q66_multiple_regression",
     }
     return texts | cleaned | {name: texts[other] for name, other in same.items()}
 
@@ -853,6 +856,20 @@ def _texts() -> dict[str, str]:
             "user_totals",
             "select round(corr(total_points, subscriber), 4) as correlation from user_totals",
         ),
+        "q59_subscriber_correlation_by_month": _with(
+            "users event_performance",
+            """, months as (
+                 select distinct cast(date_trunc('month', event_date) as date) as month
+                 from event_performance join users using (userid)),
+               so_far as (
+                 select month, u.userid, any_value(subscriber) as subscriber,
+                        coalesce(sum(points), 0) as total_points
+                 from months cross join users u left join event_performance e
+                   on e.userid = u.userid and e.event_date < month + interval 1 month
+                 group by month, u.userid)
+               select month, round(corr(total_points, subscriber), 4) as correlation
+               from so_far group by month""",
+        ),
         "q60_subscriber_regression": _with(
             "user_totals",
             _SIMPLE_FIT

@@ -29,6 +29,11 @@ def one_way_anova(df: DataFrame, value: str, group: str) -> DataFrame:
         )
         .where("n > 0")
     )
+    return anova_of_groups(groups)
+
+
+def anova_of_groups(groups: DataFrame) -> DataFrame:
+    """The test from a row for each group: ``n``, ``mean`` and (population) ``variance``."""
     grand_mean = groups.agg(F.expr("sum(n * mean) / sum(n)")).scalar()
     sums = (
         groups.withColumn("deviation", F.col("mean") - grand_mean)
@@ -45,7 +50,7 @@ def one_way_anova(df: DataFrame, value: str, group: str) -> DataFrame:
         raise ValueError("the test needs two groups and more values than groups")
     within = sums["within"] / df_within
     f = sums["between"] / df_between / within if within else math.inf
-    return df.sparkSession.createDataFrame(
+    return groups.sparkSession.createDataFrame(
         [(f, f_upper(f, df_between, df_within), df_between, df_within)],
         "f_statistic double, p_value double, df_between int, df_within bigint",
     )

@@ -128,14 +128,20 @@ def fit_linear(df: DataFrame, y: str, xs: Sequence[str]) -> LinearFit:
         *[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)],
         *[F.covar_pop(columns[i], columns[j]).alias(f"c{i}_{j}") for i, j in pairs],
     ).first()
-    n, p = sums["n"], len(xs)
+    n, size = sums["n"], len(columns)
+    means = np.array([sums[f"m{i}"] or 0.0 for i in range(size)])
+    block = np.zeros((size, size))
+    for i, j in pairs:
+        block[i, j] = block[j, i] = n * (sums[f"c{i}_{j}"] or 0.0)
+    return solve(xs, n, means, block)
+
+
+def solve(xs: Sequence[str], n: int, means: np.ndarray, block: np.ndarray) -> LinearFit:
+    """The fit from the number of rows, the means and the centred co-moments of ``xs`` and y."""
+    p = len(xs)
     df_residual = n - p - 1
     if df_residual < 1:
         raise ValueError(f"{n} rows are too few to fit {p} predictors and a constant")
-    means = np.array([sums[f"m{i}"] for i in range(p + 1)])
-    block = np.zeros((p + 1, p + 1))
-    for i, j in pairs:
-        block[i, j] = block[j, i] = n * sums[f"c{i}_{j}"]
     # The block is scaled to correlations, so that the units of the columns do not matter.
     scale = np.sqrt(np.diag(block))
     correlations = block / np.outer(np.where(scale > 0, scale, 1), np.where(scale > 0, scale, 1))

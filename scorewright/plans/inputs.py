@@ -6,9 +6,9 @@ from collections.abc import Sequence
 from datetime import date
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scorewright.operators import encoding
+from scorewright.operators import encoding, moments
 from scorewright.operators.cleaning import (
     fact_rules,
     flagged_facts,
@@ -22,6 +22,9 @@ from scorewright.sources import derived, schemas
 from scorewright.sources.csv_files import load_csv_lines
 from scorewright.sources.layout import ByUser, store_by_user
 
+#: First day of the batch that is added to the moments of the earlier days.
+SECOND_BATCH = date(2015, 1, 1)
+
 
 class Inputs:
     """Raw and clean users and facts, and the user attribute under study with its levels."""
@@ -73,6 +76,14 @@ class Inputs:
         """Facts and users in buckets by user and folders by month."""
         return store_by_user(self.facts, self.users)
 
+    @cached_property
+    def moments(self) -> moments.UserMoments:
+        """Moments of the user totals, from two batches of facts: before a day and from it on."""
+        later = F.col("event_date") >= F.lit(SECOND_BATCH)
+        earlier = self.facts.where(~F.coalesce(later, F.lit(False)))
+        first = moments.start(self.users, earlier, self.profile)
+        return first.add(self.facts.where(later))
+
     @cached_property
     def dated_facts(self) -> DataFrame:
         """Staging facts after the date repair."""

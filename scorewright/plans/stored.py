@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
-from scorewright.operators import distinct, joins, series
+from scorewright.operators import distinct, joins, moments, series
 from scorewright.plans.inputs import Inputs
 
 #: The period of the job that reads a part of the months.
@@ -36,3 +36,21 @@ def q43_players_by_month_quarter_year(t: Inputs) -> DataFrame:
 
 def q56_user_totals_by_user(t: Inputs) -> DataFrame:
     return t.stored.each_part(lambda facts, users: joins.users_with_totals(users, facts, t.attribute))
+
+
+def q59_subscriber_correlation_from_moments(t: Inputs) -> DataFrame:
+    return moments.correlation(t.moments, "subscriber")
+
+
+def q59_subscriber_correlation_by_month(t: Inputs) -> DataFrame:
+    return moments.correlation_by_month(t.moments, "subscriber")
+
+
+def q63_anova_from_moments(t: Inputs) -> DataFrame:
+    found = moments.one_way_anova(t.moments, t.attribute)
+    return found.withColumns({c: F.round(c, 4) for c in ("f_statistic", "p_value")})
+
+
+def q66_multiple_regression_from_moments(t: Inputs) -> DataFrame:
+    table = moments.fit_linear(t.moments, t.attribute, t.levels).table(t.spark)
+    return table.withColumns({c: F.round(c, 4) for c, kind in table.dtypes if kind == "double"})

@@ -6,8 +6,8 @@ are variable fields everywhere.  So a line has one template that fixes all four
 and, if it has at least ``Rule.variable`` tokens, three more, each of which leaves one
 quarter open.  Lines that agree in a template differ in that field alone.
 
-With ``Rule.constant`` a template needs that share of constant tokens with a letter; a
-line whose own template has fewer is compared by its tokens as they are, so that rows of
+A template needs a share of constant tokens with a letter (``Rule.constant``); a line
+whose own template has fewer is compared by its tokens as they are, so that rows of
 numbers are alike only if the numbers are.
 
 With ``Rule.leaf`` the fields of a line of three tokens or more are also decided by the
@@ -18,7 +18,8 @@ as long as one quarter has none.  Half of such a template must be constant, and
 
 A template recurs if at least ``Rule.documents`` documents with different texts have it
 (exact copies of a document count once).  A line with a recurring template is dropped,
-except in the document with the smallest doc_id that has the template.
+except in the document with the smallest doc_id that has the template; of several texts
+of that id (rows without an id are of one id) the one with the smallest hash keeps it.
 
 Lines are cut once and their 64-bit keys written; the keys are counted, combined before
 the shuffle; only those of two texts or more are joined back to their lines and counted exactly, from a written table,
@@ -55,7 +56,7 @@ class Rule:
 
     documents: int = 5
     variable: int = 8
-    constant: float = 0.0
+    constant: float = 1 / 3
     leaf: float = 0.0
 
 
@@ -219,12 +220,15 @@ def dropped_lines(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
         "line-templates",
     )
     again = materialize(lines.join(several, "key"), "templated-lines")
-    texts = again.groupBy("key", "th").agg(F.lit(1).alias("_"))
+    texts = again.groupBy("key", "th").agg(F.min(F.col("doc") > F.col("first")).alias("later"))
     recurring = materialize(
-        texts.groupBy("key").agg(F.count("*").alias("texts")).where(F.col("texts") >= rule.documents),
+        texts.groupBy("key")
+        .agg(F.count("*").alias("texts"), F.min(F.when(~F.col("later"), F.col("th"))).alias("keeps"))
+        .where(F.col("texts") >= rule.documents)
+        .select("key", "keeps"),
         "recurring-templates",
     )
-    dropped = again.where("doc > first").join(recurring.select("key"), "key")
+    dropped = again.join(recurring, "key").where("doc > first OR th <> keeps")
     return dropped.groupBy("doc", "th").agg(F.collect_set("line").alias("lines"))
 
 

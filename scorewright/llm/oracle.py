@@ -66,23 +66,29 @@ WITH docs AS (
 ), numbered AS (
   SELECT uid, doc_id, text, unnest(lines) AS line, generate_subscripts(lines, 1) AS nr FROM docs
 ), cut AS (
-  SELECT uid, doc_id, text, nr,
-         list_transform(
-           list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda t: t <> ''),
-           lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS tokens
-  FROM numbered
+  SELECT uid, doc_id, text, nr, array_to_string(own, ' ') AS own,
+         list_transform(own, lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS tokens
+  FROM (SELECT *, list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda t: t <> '') AS own FROM numbered)
 ), quarters AS (
-  SELECT uid, doc_id, text, nr, len(tokens) AS n,
+  SELECT uid, doc_id, text, nr, len(tokens) AS n, own,
+         list_transform([0, 1, 2, 3], lambda k: len(list_filter(
+           tokens[n * k // 4 + 1 : n * (k + 1) // 4], lambda t: regexp_matches(t, '\p{L}')))) AS c,
          array_to_string(tokens[1 : n // 4], ' ') AS q0,
          array_to_string(tokens[n // 4 + 1 : n * 2 // 4], ' ') AS q1,
          array_to_string(tokens[n * 2 // 4 + 1 : n * 3 // 4], ' ') AS q2,
          array_to_string(tokens[n * 3 // 4 + 1 : n], ' ') AS q3
   FROM cut WHERE len(tokens) > 0
 ), keyed AS (
-  SELECT uid, doc_id, text, nr, (0, n, q0, q1, q2, q3) AS key FROM quarters
-  UNION ALL SELECT uid, doc_id, text, nr, (1, n, q0, '', q2, q3) FROM quarters WHERE n >= 8
-  UNION ALL SELECT uid, doc_id, text, nr, (2, n, q0, q1, '', q3) FROM quarters WHERE n >= 8
-  UNION ALL SELECT uid, doc_id, text, nr, (3, n, q0, q1, q2, '') FROM quarters WHERE n >= 8
+  -- a third of a template's tokens must be constant and hold a letter
+  SELECT uid, doc_id, text, nr,
+         CASE WHEN 3 * list_sum(c) >= n THEN (0, n, q0, q1, q2, q3) ELSE (4, n, own, '', '', '') END AS key
+  FROM quarters
+  UNION ALL SELECT uid, doc_id, text, nr, (1, n, q0, '', q2, q3)
+  FROM quarters WHERE n >= 8 AND 3 * (list_sum(c) - c[2]) >= n
+  UNION ALL SELECT uid, doc_id, text, nr, (2, n, q0, q1, '', q3)
+  FROM quarters WHERE n >= 8 AND 3 * (list_sum(c) - c[3]) >= n
+  UNION ALL SELECT uid, doc_id, text, nr, (3, n, q0, q1, q2, '')
+  FROM quarters WHERE n >= 8 AND 3 * (list_sum(c) - c[4]) >= n
 ), recurring AS (
   SELECT key, min(doc_id) AS first FROM keyed GROUP BY key HAVING count(DISTINCT text) >= 5
 ), dropped AS (

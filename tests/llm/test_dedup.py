@@ -63,6 +63,27 @@ def test_line_templates_generalise_fields(spark):
     assert all(kept[i].kept == "" for i in range(7, 11))
 
 
+def test_rows_of_numbers_keep_their_contents(spark):
+    texts = [f"own{w} text\n{i} | {i * i}\n| 1  2 | 3 |" for i, w in enumerate("abcdefg")]
+    kept = {r.row.doc_id: r.kept for r in line_templates.with_kept_text(as_docs(spark, texts)).collect()}
+    assert kept[0] == texts[0]
+    assert [kept[i] for i in range(1, 7)] == [t.rsplit("\n", 1)[0] for t in texts[1:]]
+
+
+def test_a_line_of_rows_without_an_id_stays_in_one_text(spark):
+    """Seven texts of no id; one of them is there three times, and its copies go alike."""
+    texts = [f"the line that all of them share\nonly {w}" for w in "abcdefg"]
+    rows = [(None, t) for t in [*texts, texts[3], texts[3]]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [r.text for r in line_templates.without_recurring_lines(docs).collect()]
+    whole = [t for t in kept if t.startswith("the line")]
+    assert len(set(whole)) == 1 and len(whole) == rows.count((None, whole[0]))
+    assert sorted(set(kept) - set(whole)) == sorted({t.split("\n")[1] for t in texts if t != whole[0]})
+    with_id = docs.unionByName(spark.createDataFrame([(4, texts[5] + "!")], docs.schema))
+    found = {(r.doc_id, r.text) for r in line_templates.without_recurring_lines(with_id).collect()}
+    assert found == {(4, texts[5] + "!"), *[(None, t.split("\n")[1]) for t in texts]}
+
+
 def test_line_templates_of_odd_rows(spark):
     docs = odd_docs(spark)
     assert line_templates.without_recurring_lines(docs).columns == docs.columns

@@ -23,9 +23,8 @@ from scorewright.llm import (
 from scorewright.llm.common import table
 from scorewright.sources.storage import materialize
 
-#: More than op1, whose SQL has no fields that other documents decide, and lets templates
-#: be without a constant token.
-LINES = line_templates.Rule(constant=1 / 3, leaf=1 / 4)
+#: More than op1, whose SQL has no fields that other documents decide.
+LINES = line_templates.Rule(leaf=1 / 4)
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 

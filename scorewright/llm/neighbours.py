@@ -5,11 +5,16 @@ query goes through the pairs in the order of their summed inner products, with a
 over the two sorted lists, until the cells hold enough entries; all entries of these
 cells are then scored exactly, in double precision.
 
-The codebooks are fitted on a bounded sample; every row is indexed.  Their size follows
-the number of rows, so that cells keep their size.  What tasks are handed is bounded: the
+Equal vectors are one entry: a cell's size counts it once, so copies do not use up a search,
+and it brings along the k + 1 rows of smallest id, which are all of its rows that the k best
+of any query can hold (a row is no neighbour of itself).
+
+The codebooks are fitted on a bounded sample of the entries; every row is indexed.  Their
+size follows the number of entries up to ``Shape.most_centroids``, so that cells keep their
+size until then and grow with the table beyond.  What tasks are handed is bounded: the
 codebooks and the number of entries of each cell.  Cells with the same first centroid
 stand on one shelf; shelves are dealt into blocks of entries, and their probes into
-teams, so a vector that very many rows share is scored by many tasks; each hands on its
+teams, so a shelf that very many probes meet is scored by many tasks; each hands on its
 best rows only.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null
@@ -34,7 +39,7 @@ from scorewright.sources.storage import materialize
 class Shape:
     """Bounds of the index and of a search.
 
-    A search goes on until its cells hold ``share`` of all entries, and ``least`` at least.
+    A search goes on until its cells hold ``share`` of all distinct vectors, and ``least`` at least.
     Vectors without structure need a large share: on the uniform test vectors a half finds
     more than nine tenths of the true neighbours.
     """
@@ -118,7 +123,19 @@ def _part_taking(vectors: DataFrame, vector: str) -> DataFrame:
     )
 
 
-def _fit(rows: DataFrame, shape: Shape) -> Codebooks | None:
+def _entries(rows: DataFrame, k: int) -> DataFrame:
+    """uid, vec_id, vector, place of the first k + 1 rows of each vector; written.
+
+    The limit of the window is applied before the shuffle too, so a vector that very many
+    rows share is a few rows of each task.
+    """
+    of_vector = Window.partitionBy(F.xxhash64("vector"), "vector").orderBy("vec_id", "uid")
+    first = rows.withColumn("place", F.row_number().over(of_vector)).where(F.col("place") <= k + 1)
+    return materialize(first.select("uid", "vec_id", "vector", "place"), "distinct-vectors")
+
+
+def _fit(entries: DataFrame, shape: Shape) -> Codebooks | None:
+    rows = entries.where("place = 1")
     n = rows.count()
     if not n:
         return None
@@ -136,7 +153,8 @@ def _indexed(books):
             if batch.num_rows:
                 cells = books.value.cells(_matrix(batch.column(2)))
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.array(cells, pa.int32())], ["uid", "vec_id", "vector", "cell"]
+                    [*batch.columns, pa.array(cells, pa.int32())],
+                    ["uid", "vec_id", "vector", "place", "cell"],
                 )
 
     return made
@@ -233,22 +251,23 @@ def nearest(
     """
     spark = vectors.sparkSession
     rows = _part_taking(vectors, vector)
-    books = _fit(rows, shape)
+    distinct = _entries(rows, k)
+    books = _fit(distinct, shape)
     kind = "query_id long, rank int, vec_id long, score double"
     if books is None:
         return spark.createDataFrame([], kind)
     shared = spark.sparkContext.broadcast(books)
     columns = "uid long, vec_id long, vector array<double>"
     index = materialize(
-        rows.select("uid", "vec_id", "vector").mapInArrow(_indexed(shared), f"{columns}, cell int"),
+        distinct.mapInArrow(_indexed(shared), f"{columns}, place int, cell int"),
         "vector-index",
     )
-    counts = index.groupBy("cell").agg(F.count("*").alias("size"))
+    counts = index.where("place = 1").groupBy("cell").agg(F.count("*").alias("size"))
     sizes = np.zeros(len(books.first) * len(books.second), np.int64)
     for row in counts.collect():  # a row per pair of centroids at most
         sizes[row["cell"]] = row["size"]
     enough = max(shape.least, int(shape.share * sizes.sum()))
-    queries = index.where(is_query).select("uid", "vec_id", "vector")
+    queries = rows.where(is_query).select("uid", "vec_id", "vector")
     probing = _probing(shared, spark.sparkContext.broadcast(sizes), enough)
     probes = materialize(
         queries.mapInArrow(probing, f"{columns}, shelf int, cells array<int>"), "probes"

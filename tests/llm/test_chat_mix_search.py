@@ -144,6 +144,26 @@ def test_search_of_a_part_finds_nine_tenths(spark):
     assert neighbours.nearest(empty, F.col("vec_id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("copies", [0, 1 / 3])
+def test_search_with_the_default_shape_finds_nine_tenths(spark, copies):
+    """10,000 vectors without structure, none equal or a third of them; the mean of all queries."""
+    draw = np.random.default_rng(9)
+    points = draw.normal(size=(10_000, 64)).astype(np.float32)
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    same = draw.random(len(points)) < copies
+    points[same] = points[0]
+    frame = spark.createDataFrame([(i, p.tolist(), 1, 2) for i, p in enumerate(points)], VECTORS)
+    found = neighbours.nearest(frame, F.col("vec_id") % 20 == 0, 20).toPandas()
+    exact, recalls = points.astype(np.float64), []
+    for q, own in found.groupby("query_id"):
+        scores = (exact * exact[q]).sum(axis=1)
+        best = [i for i in np.lexsort((np.arange(len(points)), -scores)).tolist() if i != q][:20]
+        assert sorted(own["rank"]) == list(range(1, 21))
+        if not same[q]:
+            recalls.append(len(set(best) & set(own["vec_id"])) / 20)
+    assert len(found) == 500 * 20 and np.mean(recalls) >= 0.93
+
+
 def test_forward_backward_like_all_paths():
     draw = np.random.default_rng(8)
     lengths = np.array([3, 1, 4])

@@ -106,12 +106,8 @@ def _templates(docs: DataFrame, rule: Rule) -> DataFrame:
     tokens = _masked(F.col("words"))
     passed, more = [], []
     if rule.constant:
-        own = F.filter(F.split(F.col("words"), SPACE), lambda t: t != "")
-        plain = F.when(F.col("words").rlike("[0-9]"), F.xxhash64(F.lit(4), F.array_join(own, " ")))
-        lines = lines.withColumn("plain", plain)
-        unmasked = F.coalesce("plain", F.xxhash64(F.lit(4), F.array_join("tokens", " ")))
-        passed = ["plain"]
-        more = [unmasked.alias("own"), *[_lettered(_quarter(i)).alias(f"c{i}") for i in range(4)]]
+        passed = ["words"]
+        more = ["words", *[_lettered(_quarter(i)).alias(f"c{i}") for i in range(4)]]
     counted = lines.select("doc", "th", "line", tokens.alias("tokens"), *passed)
     sized = counted.withColumn("n", F.size("tokens")).where("n > 0")
     hashed = sized.select(
@@ -122,7 +118,10 @@ def _templates(docs: DataFrame, rule: Rule) -> DataFrame:
         F.xxhash64(F.lit(i), "n", *[f"q{j}" for j in range(4) if j != i]) for i in (1, 2, 3)
     ]
     if rule.constant:
-        fixed = F.when(_enough(rule, (0, 1, 2, 3)), fixed).otherwise(F.col("own"))
+        # Few lines get here, and only theirs are cut again.
+        own = F.filter(F.split(F.col("words"), SPACE), lambda t: t != "")
+        by_text = F.xxhash64(F.lit(4), F.array_join(own, " "))
+        fixed = F.when(_enough(rule, (0, 1, 2, 3)), fixed).otherwise(by_text)
         open_ones = [
             F.when(_enough(rule, [j for j in range(4) if j != i]), key) for i, key in zip((1, 2, 3), open_ones)
         ]

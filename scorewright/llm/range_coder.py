@@ -1,7 +1,8 @@
 """Static range asymmetric numeral system over interleaved lanes.
 
 Token i of a block belongs to lane i mod ``lanes``; one step codes a token of every lane
-with array operations.  Lane states are 64-bit and give out 32-bit words.  Coding goes
+with array operations.  Lane states lie between 2 ** 20 and 2 ** 52, so quotients of doubles
+are exact once rounded down, and give out 32-bit words.  Coding goes
 from the last step to the first, so reading goes forward through the tokens and
 backward through the words.  The lane states before the first step and before every
 ``CHECK_STEPS``-th one are kept as checkpoints, from each of which a reader can start.
@@ -15,10 +16,11 @@ from dataclasses import dataclass
 import numpy as np
 
 BITS = 18
-LANES = 1024
-CHECK_STEPS = 256
-_LOW = np.uint64(1 << 31)
-_WORD = np.uint64(32)
+LANES = 2048
+CHECK_STEPS = 128
+_LOW = 1 << 20
+_HIGH_BITS = 52
+_WORD = 32
 
 
 class DamagedBlock(ValueError):
@@ -48,12 +50,12 @@ class Table:
     """Shared frequencies in the forms that coding and reading need."""
 
     def __init__(self, frequencies: np.ndarray, bits: int = BITS):
-        self.bits = np.uint64(bits)
-        self.frequency = frequencies.astype(np.uint64)
+        self.bits = bits
+        self.frequency = frequencies.astype(np.int64)
         self.begin = np.cumsum(self.frequency) - self.frequency
-        self.symbol = np.repeat(np.arange(len(frequencies), dtype=np.uint32), frequencies)
-        self.limit = self.frequency << np.uint64(63 - bits)
-        self.mask = np.uint64((1 << bits) - 1)
+        self.symbol = np.repeat(np.arange(len(frequencies)), frequencies)
+        self.limit = self.frequency << (_HIGH_BITS - bits)
+        self.mask = (1 << bits) - 1
 
 
 @dataclass
@@ -74,22 +76,23 @@ class Block:
 def encode(tokens: np.ndarray, table: Table, lanes: int = LANES) -> Block:
     lanes = max(1, min(lanes, len(tokens) // 16))
     steps = -(-len(tokens) // lanes)
-    state = np.full(lanes, _LOW, np.uint64)
+    state = np.full(lanes, _LOW, np.int64)
+    tokens = tokens.astype(np.int64)
     words: list[np.ndarray] = []
     written = 0
     states: list[np.ndarray] = []
     at: list[int] = []
     for step in range(steps - 1, -1, -1):
         now = tokens[step * lanes : (step + 1) * lanes]
-        frequency, x = table.frequency[now], state[: len(now)]
-        full = x >= table.limit[now]
-        out = x[full]
-        if len(out):
+        frequency, x = table.frequency.take(now), state[: len(now)]
+        full = np.flatnonzero(x >= table.limit.take(now))
+        if len(full):
+            out = x[full]
             words.append(out.astype(np.uint32))
             written += len(out)
-            x = np.where(full, x >> _WORD, x)
-        whole, rest = np.divmod(x, frequency)
-        state[: len(now)] = (whole << table.bits) + rest + table.begin[now]
+            x[full] = out >> _WORD
+        whole = (x / frequency).astype(np.int64)
+        x += whole * ((1 << table.bits) - frequency) + table.begin.take(now)
         if step % CHECK_STEPS == 0:
             states.append(state.copy())
             at.append(written)
@@ -110,17 +113,17 @@ def decode(block: Block, table: Table, checkpoint: int = 0, checkpoints: int | N
     steps = -(-block.n_tokens // lanes)
     first = checkpoint * CHECK_STEPS
     last = steps if checkpoints is None else min(steps, first + checkpoints * CHECK_STEPS)
-    words = np.frombuffer(block.words, "<u4").astype(np.uint64)
+    words = np.frombuffer(block.words, "<u4").astype(np.int64)
     states = np.frombuffer(block.states, "<u8").reshape(-1, lanes)
-    state, end = states[checkpoint].astype(np.uint64), block.at[checkpoint]
+    state, end = states[checkpoint].astype(np.int64), block.at[checkpoint]
     tokens = np.empty(min(block.n_tokens, last * lanes) - first * lanes, np.uint32)
     for step in range(first, last):
         place = (step - first) * lanes
         x = state[: min(lanes, block.n_tokens - step * lanes)]
         slot = x & table.mask
-        now = table.symbol[slot]
+        now = table.symbol.take(slot)
         tokens[place : place + len(x)] = now
-        x = table.frequency[now] * (x >> table.bits) + slot - table.begin[now]
+        x = table.frequency.take(now) * (x >> table.bits) + slot - table.begin.take(now)
         low = np.flatnonzero(x < _LOW)
         if len(low):
             x[low] = (x[low] << _WORD) | words[end - len(low) : end]

@@ -23,6 +23,7 @@ files without blocks and no rows.  A very long text is a row of the files like a
 
 from __future__ import annotations
 
+import codecs
 import json
 import os
 import re
@@ -45,9 +46,15 @@ _CHUNK = re.compile(rf"[ \n{_RARE}]*[^ \n{_RARE}]+|[ \n{_RARE}]+")
 #: The characters that stand for bytes in byte-level vocabularies: printable ones for
 #: themselves, the others in order from U+0100.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_SPELLING = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
-_SPACE = chr(_SPELLING[32])
+_OTHER = [b for b in range(256) if b not in _PLAIN]
+_SPELLING = "".join(chr(256 + _OTHER.index(b)) if b in _OTHER else chr(b) for b in range(256))
 _SLOW = re.compile(f"[{_RARE}]")
+#: A run of Latin letters is one unit of the pattern, and so is the run of ASCII marks after
+#: it; an apostrophe may begin another kind of unit.
+_LATIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
+#: Words of ASCII without apostrophes fall into runs of letters, digits and marks.
+_ASCII = re.compile(r"[!-&(-~]+")
+_UNITS = re.compile(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9]+")
 #: Words whose ids a worker keeps.
 CACHED_WORDS = 500_000
 #: Tokens of a block and of a partition of the files.
@@ -101,31 +108,37 @@ class Tokens:
                 for t in parts.get("added_tokens", [])
             )
         )
+        self.added = [t["content"] for t in parts.get("added_tokens", [])]
+        self.model = self.library.model
         self.size = self.library.get_vocab_size()
         self.code = "H" if self.library.get_vocab_size() <= 1 << 16 else "I"
         self.kind = np.dtype(f"<u{array(self.code).itemsize}")
         self.line_end = self._encode_chunk("\n")
         self.table = _Table(self, {})
-        self.tail = lru_cache(maxsize=1000)(self._unit)
+        self.part = lru_cache(maxsize=20_000)(self._unit)
 
     def learn(self, word: str) -> bytes:
         """Ids of a word of a text as it stands after a space or, with it, a line end.
 
-        A run of Latin letters is one unit of the pattern, with the space before it, and so
-        are the full stops and commas after it; units go straight to the model.
+        The units of the pattern that such a word falls into go straight to the model, the
+        first one with the space before it.
         """
         lead, rest = (self.line_end, word[1:]) if word[:1] == "\n" else (b"", word)
-        stem = rest.rstrip(".,")
-        if stem.isalpha() and (stem.isascii() or max(stem) < "\u0250"):
-            if tail := rest[len(stem) :]:
-                return self.table[word[: -len(tail)]] + self.tail(tail)
-            return lead + self._unit(stem if lead else " " + stem)
+        latin = _LATIN.fullmatch(rest)
+        if latin and not latin[2]:
+            return lead + self._unit(rest if lead else " " + rest)
+        if any(content in rest for content in self.added):
+            return self._encode_chunk(word if lead else " " + word)
+        if latin:
+            return self.table[word[: -len(latin[2])]] + self.part(latin[2])
+        if _ASCII.fullmatch(rest):
+            first, *others = _UNITS.findall(rest)
+            return lead + self.part(first if lead else " " + first) + b"".join(map(self.part, others))
         return self._encode_chunk(word if lead else " " + word)
 
     def _unit(self, unit: str) -> bytes:
-        spelled = unit if unit.isascii() else unit.encode().decode("latin-1").translate(_SPELLING)
-        found = self.library.model.tokenize(spelled.replace(" ", _SPACE))
-        return array(self.code, [token.id for token in found]).tobytes()
+        spelled = codecs.charmap_decode(unit.encode(), "strict", _SPELLING)[0]
+        return array(self.code, [token.id for token in self.model.tokenize(spelled)]).tobytes()
 
     def _encode_chunk(self, chunk: str) -> bytes:
         ids = self.library.encode(chunk, add_special_tokens=False).ids
@@ -152,7 +165,9 @@ class Tokens:
         """The words of a text with single spaces and line ends alone; empty for other texts."""
         if not self.by_chunk or text[:1] in ("", " ", "\n") or text[-1] in " \n":
             return []
-        if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or _SLOW.search(text):
+        if "  " in text or " \n" in text or "\n " in text or "\n\n" in text:
+            return []
+        if any(c in text for c in "\t\x0b\x0c\r") if text.isascii() else _SLOW.search(text):
             return []
         return text.replace("\n", " \n").split(" ")
 

@@ -35,6 +35,27 @@ def test_ids_of_odd_texts(path):
     assert [np.frombuffer(f, tokens.kind).tolist() for f in tokens.encode(texts)] == expected
 
 
+def test_ids_of_words_that_fall_into_units():
+    """Letters, digits, marks and added tokens next to one another, with Latin and other letters."""
+    library = tokenizers.Tokenizer.from_file(BYTES)
+    parts = ["ab", " cd", "<|endoftext|>", "<|", "|>", "'s", "12", "...", "!!", "@x.y", "A1b2", "²", "ª", "µ", "×", "ÿ", "ɐ", "ʰ", "İ", "\x1c", "\x7f", "\x00", "\n"]
+    texts = random_texts(parts, 6000, 7)
+    tokens = token_files.load(BYTES)
+    found = [np.frombuffer(ids, tokens.kind).tolist() for ids in tokens.encode(texts)]
+    assert found == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_quotients_of_the_largest_states_are_exact():
+    """Tables of one symbol, of rare ones and of all alike, with states up to their limit."""
+    for counts in ([1], [10**9, 1, 1], [1] * 70_000):
+        table = range_coder.Table(range_coder.shared_out(np.array(counts)))
+        frequency = np.repeat(table.frequency, 4)
+        states = (table.limit[:, None] - np.array([1, 2, 3, 4])).ravel()
+        assert ((states / frequency).astype(np.int64) == states // frequency).all()
+        tokens = np.arange(150_000, dtype=np.uint32)[::-1] % len(counts)
+        assert (range_coder.decode(range_coder.encode(tokens, table), table) == tokens).all()
+
+
 def test_range_coder_round_trip_from_every_checkpoint():
     draw = np.random.default_rng(2)
     tokens = np.minimum(draw.geometric(0.01, 200_000), 5_000).astype(np.uint32)

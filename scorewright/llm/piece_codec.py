@@ -13,9 +13,9 @@ then decided by playing both lists by score, the left one first on a tie, agains
 piece that would join the two symbols at the border.
 
 No piece holds a mark after another character (checked when the model is loaded), so
-texts are cut before marks, and each worker keeps the ids of the words it has met in a
-bounded table.  Characters without a piece become their bytes and nothing merges over
-them.
+texts are cut before marks, and each task keeps the ids of the words it has met in a
+bounded table, over slices of the texts; a worker that waits holds the model alone.
+Characters without a piece become their bytes and nothing merges over them.
 
 Defined results: null and empty texts have no ids and decode to an empty text; repeated
 rows get the same answer; other columns are ignored or handed through.  Models with
@@ -34,10 +34,10 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import Column, DataFrame, functions as F
 
-from scorewright.llm.common import in_groups
+from scorewright.llm.common import in_slices
 
 MARK = "▁"
-#: Entries of each table that a worker keeps.
+#: Entries of each table that a task keeps.
 CACHED = 400_000
 _RUN = re.compile(f"{MARK}+[^{MARK}]*")
 
@@ -104,7 +104,7 @@ class PieceModel:
             self._add(piece, i)
         self.automaton.make_automaton()
         self.outcome: dict[int, bool] = {}
-        #: Ids of words with a mark before them, and of their parts.
+        #: Ids of words with a mark before them, and of the parts of words of several.
         self.parts: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         self.texts = [self._bytes_of(i, library) for i in ids]
@@ -181,9 +181,13 @@ class PieceModel:
             if i == len(chunk) or chunk[i - 1 : i + 1] not in self.joints:
                 part = chunk[begin:i]
                 ids = self.parts.get(part)
+                if ids is None and not begin:
+                    ids = self.words.get(part[1:])
                 if ids is None:
                     run = self._encode_run if part[0] in self.letters else self._fallback
-                    ids = self.parts[part] = np.array(run(part), "<i4").tobytes()
+                    ids = np.array(run(part), "<i4").tobytes()
+                    if len(part) < len(chunk):
+                        self.parts[part] = ids
                 found.append(ids)
                 begin = i
         return b"".join(found)
@@ -203,6 +207,11 @@ class PieceModel:
                 known[word] = self._encode_word(word)
         return [b"".join(map(known.__getitem__, words)) for words in cut]
 
+    def forget(self) -> None:
+        """Empty the tables of what was met in texts."""
+        for table in (self.words, self.parts, self.outcome):
+            table.clear()
+
     def decode(self, ids: list[int]) -> str:
         joined = b"".join(map(self.texts.__getitem__, ids)).decode("utf-8", "replace")
         return joined.removeprefix(" ")
@@ -214,21 +223,28 @@ def load(path: str) -> PieceModel:
     return PieceModel(path)
 
 
+def _coded(model: PieceModel, texts: pa.Array) -> pa.Array:
+    packed = model.encode([text or "" for text in texts.to_pylist()])
+    sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+    values = np.frombuffer(b"".join(packed), "<i4")
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    decoded = pa.array([model.decode(np.frombuffer(p, "<i4").tolist()) for p in packed], pa.string())
+    ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))
+    return pa.StructArray.from_arrays([ids, decoded], ["ids", "decoded"])
+
+
 def codec(path: str) -> Column:
     """struct(ids, decoded) of the text column it is applied to."""
 
     @F.arrow_udf("struct<ids: array<int>, decoded: string>")
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = load(path)
-        for batch in batches:
-            some = list(in_groups([text or "" for text in batch.to_pylist()]))
-            packed = [ids for group in some for ids in model.encode(group)]
-            sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
-            values = np.frombuffer(b"".join(packed), "<i4")
-            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            texts = pa.array([model.decode(np.frombuffer(p, "<i4").tolist()) for p in packed], pa.string())
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))
-            yield pa.StructArray.from_arrays([ids, texts], ["ids", "decoded"])
+        try:
+            for batch in batches:
+                for texts in in_slices(batch):
+                    yield _coded(model, texts)
+        finally:
+            model.forget()
 
     return encoded
 

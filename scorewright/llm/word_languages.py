@@ -11,7 +11,7 @@ Training: a bounded sample of labelled rows that are not held out, ``Sample`` do
 per language by the hash of the id, of longer documents a part; the model (hashed weights, one row per feature) has
 a fixed size and goes to the tasks as a broadcast.  Prediction reads the text alone and
 covers every whole text; potentials are kept per distinct word in a bounded cache of
-each Python worker, so lines cost a look-up per word and a few array operations for
+each task, so lines cost a look-up per word and a few array operations for
 each step of many chains at once.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; so is
@@ -38,7 +38,7 @@ UNKNOWN = "und"
 HELD_OUT_PART = 5
 CHAIN_WORDS = 128
 _LETTERS = re.compile(r"[^\W\d_]+")
-#: Hashed features, and potentials that a worker keeps.
+#: Hashed features, and potentials that a task keeps.
 BUCKETS = 1 << 16
 CACHED_WORDS = 500_000
 
@@ -164,7 +164,7 @@ class Model:
         return {**self.__dict__, "rows": None, "table": None}
 
     def look_up(self, words: list[str]) -> np.ndarray:
-        """Potentials of all words, computed once for each distinct word of a worker."""
+        """Potentials of all words, computed once for each distinct word of a task."""
         if self.rows is None or len(self.rows) > CACHED_WORDS:
             self.rows, self.table = _Rows(), np.empty((len(self.langs), 0), np.float32)
         numbers = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
@@ -174,6 +174,10 @@ class Model:
             self.rows.new = []
         return self.table[:, numbers]
 
+    def forget(self) -> None:
+        """Let go of the words met in texts."""
+        self.rows = self.table = None
+
     def label(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """Word marginals of all texts, one text after the other, and their word numbers."""
         words: list[str] = []
@@ -290,11 +294,15 @@ def predict(docs: DataFrame, model: Model) -> Column:
 
     @F.pandas_udf(kind)
     def labelled(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame(
-                _answers(shared.value, batch.tolist()),
-                columns=["lang_pred", "score", "n_words", "n_switches"],
-            )
+        try:
+            for batch in batches:
+                yield pd.DataFrame(
+                    _answers(shared.value, batch.tolist()),
+                    columns=["lang_pred", "score", "n_words", "n_switches"],
+                )
+        finally:
+            # A worker that waits for other tasks holds its memory.
+            shared.value.forget()
 
     return labelled
 

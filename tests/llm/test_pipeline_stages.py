@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
+import pandas as pd
+
 import corpus_pipeline
 from scorewright.llm import word_languages
 
@@ -62,3 +66,16 @@ def test_a_language_of_long_documents_only_is_learned(spark):
     found = word_languages.document_languages(docs).collect()
     assert [r.lang_pred for r in sorted(found, key=lambda r: r.doc_id)] == ["de", "en"] * 20
     assert docs.where("length(text) > 30000 - 1000 AND lang = 'de'").count() == 20
+
+
+def test_a_waiting_worker_keeps_no_potentials_of_words(spark, monkeypatch):
+    """In this process: tasks have a copy of the model."""
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda _, model: SimpleNamespace(value=model))
+    model = word_languages.fit([("de", "der hund und die katze"), ("en", "the dog and a cat")] * 5, 100)
+    labelled = word_languages.predict(spark.range(1), model).func
+    made = labelled(iter([pd.Series(["der hund", None]), pd.Series(["the new cat"])]))
+    found = [next(made)]
+    assert set(model.rows) == {"der", "hund"}
+    found += made
+    assert [lang for f in found for lang in f["lang_pred"]] == ["de", "und", "en"]
+    assert model.rows is None and model.table is None

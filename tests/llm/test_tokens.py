@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import tokenizers
@@ -141,3 +142,17 @@ def test_pieces_of_odd_rows(spark):
         (repr(i), ids, library.decode(ids)) for i, ids in expected
     )
     assert piece_codec.encode_decode(no_docs(spark), PIECES).count() == 0
+
+
+def test_pieces_are_made_in_slices_and_a_waiting_worker_keeps_no_words(spark):
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    texts = ["", None, "some words, " * 60_000, "more words", "x" * 1_200_000, None, "the last, the last"]
+    batches = [pa.array(texts, pa.string()), pa.array([], pa.string()), pa.array([None], pa.string())]
+    made = piece_codec.codec(PIECES).func(iter(batches))
+    found = [next(made)]
+    model = piece_codec.load(PIECES)
+    assert "more" in model.words
+    found += made
+    assert [len(f) for f in found] == [5, 2, 1]
+    assert [row["ids"] for f in found for row in f.to_pylist()] == library.encode([t or "" for t in [*texts, None]])
+    assert not (model.words or model.parts or model.outcome)
